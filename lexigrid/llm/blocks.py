@@ -83,7 +83,7 @@ class Keys:
         self.many = np.diff(np.append(at, len(k))) > 1
         self.bucket, self.key = b[at], k[at]
         starts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
-        self.cuts = list(zip(starts, np.append(starts[1:], len(self.bucket)), strict=True))
+        self.cuts = list(zip(starts, np.append(starts[1:], len(self.bucket)), strict=False))  # none without keys
 
     def rows(self, block: int) -> Iterator[dict]:
         for s, e in self.cuts:

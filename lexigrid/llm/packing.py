@@ -26,23 +26,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.llm.shared import shuffle_partitions, written
-from lexigrid.llm.tokens import encoder, slices
+from lexigrid.llm.tokens import encoded
 
 
 def _pieces(vocab: str, end_id: int, size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab, True)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s, e in slices(texts):
-                out: list[tuple] = []
-                for name, ids in zip(names[s:e], enc.encode(texts[s:e]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for k in range(0, len(ids), size):
-                        part = ids[k : k + size]
-                        out.append((name, k // size, k, len(part), zlib.crc32(part.tobytes())))
+            out: list[tuple] = []
+            for name, ids in encoded(vocab, True, batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for k in range(0, len(ids), size):
+                    part = ids[k : k + size]
+                    out.append((name, k // size, k, len(part), zlib.crc32(part.tobytes())))
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return cut
@@ -119,7 +117,7 @@ def _place(table: pd.DataFrame):
 def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = written(rows.mapInArrow(_pieces(vocab, end_id, size), columns), "pack_pieces")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(64, shuffle_partitions(spark)))))

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexigrid.llm.language_model import score_texts
 from lexigrid.llm.media import add_media, media_features
 from lexigrid.llm.mixing import MIX_SQL, mix_report
+from lexigrid.llm.ngram_join import ngram_groups
 from lexigrid.llm.packing import pack
 from lexigrid.llm.repeats import repeat_digest
 from lexigrid.llm.simple8b import token_report
@@ -37,6 +39,14 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(_table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

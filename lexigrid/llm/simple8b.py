@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.llm.shared import written
-from lexigrid.llm.tokens import encoder, slices
+from lexigrid.llm.tokens import encoded
 
 #: Fixed values of the format: ids in a word and bits of an id, by selector; selector 15 is the escape.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -30,7 +30,7 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 15
 MAGIC = b"S8B1"
 BLOCK_IDS = 4096
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 18
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -116,7 +116,7 @@ def _files(vocab: str, end_id: int, file_ids: int):
     schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, first = encoder(vocab, False), TaskContext.get().partitionId(), 0
+        part, first = TaskContext.get().partitionId(), 0
         docs, sizes, parts, held = [], [], [], 0
 
         def file() -> pa.RecordBatch:
@@ -124,17 +124,15 @@ def _files(vocab: str, end_id: int, file_ids: int):
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s, e in slices(texts):
-                for name, ids in zip(names[s:e], enc.encode(texts[s:e]), strict=True):
-                    docs.append(name)
-                    sizes.append(len(ids) + 1)
-                    parts += [ids, end]
-                    held += sizes[-1]
-                    if held >= file_ids:
-                        yield file()
-                        first += held
-                        docs, sizes, parts, held = [], [], [], 0
+            for name, ids in encoded(vocab, False, batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                docs.append(name)
+                sizes.append(len(ids) + 1)
+                parts += [ids, end]
+                held += sizes[-1]
+                if held >= file_ids:
+                    yield file()
+                    first += held
+                    docs, sizes, parts, held = [], [], [], 0
         if docs:
             yield file()
 
@@ -143,7 +141,7 @@ def _files(vocab: str, end_id: int, file_ids: int):
 
 def write_token_files(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 0, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written files of all documents: part, first (ids of the part before the file), doc_ids, n_tokens, data."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     placed = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     return written(placed.mapInArrow(_files(vocab, end_id, file_ids), "part int, first long, doc_ids array<long>, n_tokens array<long>, data binary"), "token_files")
 

@@ -21,3 +21,88 @@ def repeats(texts: dict, depth: int = 200) -> dict:
         spans = sum(1 for i in range(len(t)) if gone[i] and (i == 0 or not gone[i - 1]))
         out[k] = (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def words(text):
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def find(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
+
+
+def ngram_groups(texts: dict, n: int = 4, percent: int = 85) -> dict:
+    sets = {}
+    for k, t in texts.items():
+        w = words(t)
+        sets[k] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    parent, ids = {k: k for k in sets}, sorted(sets)
+    by = {}
+    for k in ids:
+        for s in sets[k]:
+            by.setdefault(s, []).append(k)
+    seen = set()
+    for held in by.values():
+        for i, a in enumerate(held):
+            for b in held[i + 1 :]:
+                if (a, b) in seen:
+                    continue
+                seen.add((a, b))
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * len(sets[a] | sets[b]):
+                    x, y = sorted((find(parent, a), find(parent, b)))
+                    parent[y] = x
+    return {k: (len(sets[k]), find(parent, k)) for k in ids}
+
+
+def language_model(texts: dict, min_count: int, k: float) -> dict:
+    """Scores by plain dictionaries: doc -> (held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    import math
+    import zlib
+
+    tokens = {d: [*words(t), ""] for d, t in texts.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    grams = [Counter(), Counter(), Counter()]
+    for d, t in tokens.items():
+        if not held[d]:
+            for m in range(3):
+                grams[m].update(tuple(t[i : i + m + 1]) for i in range(len(t) - m))
+    total, kinds = sum(grams[0].values()), len(grams[0])
+    known2 = {g: c for g, c in grams[1].items() if grams[0][g[:1]] >= min_count and grams[0][g[1:]] >= 2}
+    known3 = {g: c for g, c in grams[2].items() if known2.get(g[:2], 0) >= min_count and known2.get(g[1:], 0) >= 2}
+    p0 = lambda g: (grams[0][g[-1:]] + 1) / (total + kinds + 1)
+
+    def states(known, shorter):
+        sums = {}
+        for g, c in known.items():
+            if c >= 2:
+                s = sums.setdefault(g[:-1], [0, 0.0, 0])
+                s[0] += c
+                s[1] += c * math.log(c / shorter(g))
+                s[2] += 1
+        return {s: n for s, (n, fit, m) in sums.items() if fit - n * math.log(n) > math.log(total) / 2 * m}
+
+    one = states(known2, p0)
+
+    def p1(g):
+        n, c = one.get(g[-2:-1], 0), known2.get(g[-2:], 0)
+        return ((c if c >= 2 else 0) + k * p0(g)) / (n + k) if n and len(g) > 1 else p0(g)
+
+    two = states(known3, p1)
+
+    def p2(g):
+        n, c = two.get(g[:2], 0) if len(g) == 3 else 0, known3.get(g, 0)
+        return ((c if c >= 2 else 0) + k * p1(g)) / (n + k) if n else p1(g)
+
+    out = {}
+    for d, t in tokens.items():
+        grams_at = [tuple(t[max(0, i - 2) : i + 1]) for i in range(len(t))]
+        out[d] = (held[d], len(t), sum(grams[0][(w,)] > 0 for w in t), total, sum(math.log10(p0(g)) for g in grams_at), sum(math.log10(p2(g)) for g in grams_at))
+    return out
