@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexigrid.llm.embedding_dedup import near_duplicates
 from lexigrid.llm.language_model import score_texts
 from lexigrid.llm.media import add_media, media_features
 from lexigrid.llm.mixing import MIX_SQL, mix_report
 from lexigrid.llm.ngram_join import ngram_groups
 from lexigrid.llm.packing import pack
+from lexigrid.llm.quality import quality_scores
 from lexigrid.llm.repeats import repeat_digest
 from lexigrid.llm.simple8b import token_report
+from lexigrid.llm.url_filter import URL_SQL, judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +26,18 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +46,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(add_media(_table(spark, sf_dir, "documents")))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(_table(spark, sf_dir, "documents"))
 
@@ -52,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": MIX_SQL}
+    return {"op2_url_filters": URL_SQL, "op5_source_mixing": MIX_SQL}
