@@ -35,7 +35,7 @@ def _pieces(vocab: str, end_id: int, size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for name, ids in encoded(vocab, True, batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, ids in encoded(vocab, True, batch):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k in range(0, len(ids), size):
                     part = ids[k : k + size]

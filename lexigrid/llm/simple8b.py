@@ -124,7 +124,7 @@ def _files(vocab: str, end_id: int, file_ids: int):
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for name, ids in encoded(vocab, False, batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, ids in encoded(vocab, False, batch):
                 docs.append(name)
                 sizes.append(len(ids) + 1)
                 parts += [ids, end]

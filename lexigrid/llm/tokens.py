@@ -17,10 +17,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MARKS = b".,;:!?%&$*#()"  # not those of special tokens
-MOST_PIECES = 1_500_000
-SLICE_BYTES = 2_000_000
+MOST_PIECES = 500_000
+SLICE_BYTES = 1_000_000
 STEP = 0x9E3779B97F4A7C15
 
 SPACES = np.zeros(256, bool)
@@ -89,7 +91,9 @@ class Encoder:
         return np.flatnonzero(cut | first[:n])
 
     def _store(self, hashes: np.ndarray, texts: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        got = []
+        for s in range(0, len(texts), 4096):  # the tokenizer's own results are large
+            got += [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts[s : s + 4096]], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         total, used, n = int(sizes.sum()), int(self.bounds[self.pieces]), self.pieces
         while used + total > len(self.flat):
@@ -149,11 +153,13 @@ def encoder(name: str, drops_space: bool) -> Encoder:
     return Encoder(name, drops_space)
 
 
-def encoded(name: str, drops_space: bool, names: list, texts: list[bytes]) -> Iterator[tuple[object, np.ndarray]]:
-    """(name, ids) for each text, a few MB at a time."""
-    enc, start, size = encoder(name, drops_space), 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_BYTES or i == len(texts) - 1:
-            yield from zip(names[start : i + 1], enc.encode(texts[start : i + 1]), strict=True)
-            start, size = i + 1, 0
+def encoded(name: str, drops_space: bool, batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
+    """(first column, ids of the second) for each row of a batch, about a MB of text at a time."""
+    enc, start = encoder(name, drops_space), 0
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)))
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+        part = batch.slice(start, end - start)
+        yield from zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True)
+        start = end
