@@ -223,3 +223,17 @@ def ngram_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     first = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("first"))
     out = named.where("n > 0").join(first, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("first").alias("component_id"))
     return out.union(named.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
+
+
+def keep_first(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """``docs`` with one document of each group, that of the smallest doc_id; all columns stay.
+
+    Of rows that repeat a doc_id one stays.  Documents without words are linked with nothing and stay.  Rows with a null doc_id
+    stay unless they are linked with a document that has one.
+    """
+    groups = written(ngram_groups(docs, words, percent), "ngram_groups")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
+    kept = written(kept, "ngram_kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    once = docs.join(kept.where("__rows = 1 OR __id IS NULL"), same, "left_semi")
+    return once.unionByName(docs.join(kept.where("__rows > 1 AND __id IS NOT NULL"), same, "left_semi").dropDuplicates(["doc_id"]))
