@@ -1,22 +1,55 @@
-"""The corpus pipeline: each stage applies one operator of ``lexigrid.llm`` to all that the stage before it kept."""
+"""The corpus pipeline: each stage applies one operator of ``lexigrid.llm`` to all that the stage before it kept.
+
+Every stage but the last returns the columns it was given; extra columns pass through.  Null texts pass as empty documents, an
+empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexigrid.llm.mixing import mix
+from lexigrid.llm.ngram_join import keep_first
+from lexigrid.llm.packing import pack
+from lexigrid.llm.quality import keep_good
 from lexigrid.llm.repeats import remove_repeats
 from lexigrid.llm.shared import written
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects (low quality or toxic) go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, a similarity of 0.8 or more."""
+    return keep_first(docs, words=5, percent=80)
+
+
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every 200-byte string that starts at two places from the texts."""
-    return remove_repeats(docs)
+    """Every 200-byte string that starts at two places is cut from the texts; n_chars follows."""
+    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document stands as often as it is taken."""
+    return mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces and their places in sequences of 2048 tokens."""
+    return pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
     ("suffix_array_dedup", repeats_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: No stage but the mixing can be said in SQL; the tests hold each stage against a brute-force version.
