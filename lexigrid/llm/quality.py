@@ -1,13 +1,13 @@
 """Quality classifier by co-training of two views of a page.
 
-The text view sees which words and mark runs occur and a few shape buckets; the metadata view sees source, language and length.
+The text view sees which words, beginnings of words and mark runs occur and a few shape buckets; the metadata view sees source, language and length.
 Both are logistic regressions.  They start from a bounded sample of labelled documents (``labelled`` rows, picked by a hash of
 the id) and in each round label the documents of a bounded unlabelled pool that they are surest of for *each other*.  At the end
 each view is calibrated on labelled documents held out from training, and the calibrated views are combined by their log-odds
 (less the prior, which both contain) into one score for every document.
 
 A document is good if its quality is 1 and it isn't toxic; it is kept if its score is ``keep`` or more.  Everything but the
-bounded training sample covers all rows: scoring is a map over documents with the weights (1 MB) in the task.
+bounded training sample covers all rows: scoring is a map over documents with the weights (4 MB) in the task.
 
 Nulls: a null or empty text has no text features and scores by its metadata and the prior; null metadata are values of their own.
 Labels with a null count as unlabelled.  Without labels of both kinds every score is 0.5 and everything is kept.
@@ -23,11 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 18
+BITS = 20
 META_BITS = 10
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MARKS = bytes(32 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 or c < 33 else c for c in range(256))
 UPPER = bytes(range(65, 91))
+#: Bytes of the beginnings of words that are features as well.
+STEMS = (6, 7, 8)
 
 
 def _hash(x: bytes | str, bits: int) -> int:
@@ -41,7 +43,8 @@ def text_features(text: bytes) -> np.ndarray:
     n = max(1, len(text))
     upper = n - len(text.translate(None, UPPER))
     shape = (f"#upper{round(8 * upper / n)}", f"#mark{round(16 * sum(map(len, marks)) / n)}", f"#kinds{round(8 * len(kinds) / max(1, len(words)))}", f"#size{len(words).bit_length()}") if text else ()
-    return np.unique(np.fromiter((_hash(x, BITS) for x in (*kinds, *set(marks), *shape)), np.int64))
+    stems = {b"^" + w[:k] for w in kinds for k in STEMS if len(w) > k}  # compounds and endings share them
+    return np.unique(np.fromiter((_hash(x, BITS) for x in (*kinds, *stems, *set(marks), *shape)), np.int64))
 
 
 def meta_features(source: str | None, lang: str | None, chars: int | None) -> np.ndarray:
