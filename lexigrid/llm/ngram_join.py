@@ -10,9 +10,8 @@ result is each document's connected component.  Equal sets are one class from th
 2. Small sets (below a boundary) are keyed by each pair of common shingles in the start with c = 2; large sets, and small ones
    that a large one can be linked to by size, by each single shingle in the start with c = 1.  The boundary is where the
    subsets of the sets below it cost less than their inverted lists would, by sums over powers of two of the sizes.
-3. Each key's smallest set is compared with all others of the key; links found so far give components.  After a second such
-   round with another centre, what is left is compared in full: for each key all sets outside its largest component against all
-   others of other components.  So a large group of near copies costs a few comparisons a member, and no link between two
+3. Each key's smallest and largest sets are compared with all others of the key; links found so far give components.  What is
+   left is compared in full: for each key all sets outside its largest component against all others of other components.  So a large group of near copies costs a few comparisons a member, and no link between two
    components is lost.
    Before sets are compared, sizes and 256-bit parity sketches are: the sketches' Hamming distance is never more than the sets'
    difference, so this drops no link.
@@ -40,6 +39,8 @@ from lexigrid.llm.components import connected_components
 from lexigrid.llm.shared import written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Making, shuffling and sorting a keyed row costs about as much as so many comparisons in a list.
+ROW_COST = 20
 BOUNDARIES = (0, 8, 16, 32, 64, 128, 256, 512, 1024)
 
 
@@ -149,60 +150,62 @@ def _starts(state: Prefixes, skip_below: int):
 def _boundary(starts: DataFrame) -> int:
     """Sets below it are keyed by pairs: the boundary of the least cost.  A row for each power of two reaches the driver."""
     pairs = F.size("two") * (F.size("two") - 1) / 2
-    cost = starts.groupBy(F.ceil(F.log2("n")).alias("power")).agg(F.sum(pairs).alias("subsets"), F.sum("lists").alias("lists")).collect()
+    keying = lambda rows: F.sum(rows * ROW_COST)
+    cost = starts.groupBy(F.ceil(F.log2("n")).alias("power")).agg(keying(pairs).alias("subsets"), (keying(F.size("one")) + F.sum("lists")).alias("lists")).collect()
     return min(BOUNDARIES, key=lambda x: sum(r.subsets if 2**r.power <= x else r.lists for r in cost))
 
 
-def _keyed(starts: DataFrame, boundary: int, jaccard: float) -> DataFrame:
-    pairs = F.flatten(F.transform("two", lambda x, i: F.transform(F.slice("two", i + 2, F.size("two")), lambda y: F.xxhash64(x, y))))
-    about = ["sid", "n", "b0", "b1", "b2", "b3"]
-    small = starts.where(F.col("n") < boundary).select(F.explode(pairs).alias("key"), F.lit(2).alias("c"), *about)
-    large = starts.where(F.col("n") >= jaccard * boundary).select(F.explode("one").alias("key"), F.lit(1).alias("c"), *about)
+def _keyed(starts: DataFrame, boundary: int, jaccard: float, *about: str) -> DataFrame:
+    """(key, the columns asked for): a row for each subset of a small set and each list of a large one."""
+    pairs = F.flatten(F.transform("two", lambda x, i: F.transform(F.slice("two", i + 2, F.size("two")), lambda y: F.xxhash64(F.lit(2), x, y))))
+    small = starts.where(F.col("n") < boundary).select(F.explode(pairs).alias("key"), *about)
+    large = starts.where(F.col("n") >= jaccard * boundary).select(F.explode("one").alias("key"), *about)
     return small.union(large)
 
 
-def _close(x: str, y: str, jaccard: float) -> Column:
-    """Sizes and sketches allow a link."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    apart = sum((F.bit_count(F.col(f"{x}.b{k}").bitwiseXOR(F.col(f"{y}.b{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
-    difference = (n + m) * ((1 - jaccard) / (1 + jaccard)) + 1e-6
-    return (n >= m * jaccard - 1e-6) & (m >= n * jaccard - 1e-6) & (apart <= difference)
+def _sizes_fit(n: Column, m: Column, jaccard: float) -> Column:
+    return (n >= m * jaccard - 1e-6) & (m >= n * jaccard - 1e-6)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that are linked."""
-    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("hashes").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    """Of the pairs (a, b) of sets' ids those that are linked: by sketches first, then by the sets."""
+    jaccard = percent / 100
+    sketch = [F.col(f"b{k}") for k in range(4)]
+    left = sets.select(F.col("id").alias("a"), F.col("n"), F.array(*sketch).alias("p"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.array(*sketch).alias("q"))
+    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(left, "a").join(right, "b").where(apart <= (F.col("n") + F.col("m")) * ((1 - jaccard) / (1 + jaccard)) + 1e-6)
+    near = written(near.select("a", "b", "n", "m"), "ngram_near")
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
 
 
 def similar_sets(starts: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the sets that have links, ids being the sets' names."""
-    jaccard = percent / 100
-    keyed = written(_keyed(starts, _boundary(starts), jaccard), "ngram_keys")
-    links, label, done = None, None, None
-    for pick in (F.min, F.max):
-        item = F.struct("n", "sid", "b0", "b1", "b2", "b3")
-        centre = keyed.groupBy("key", "c").agg(F.count("*").alias("many"), pick(item).alias("y")).where("many > 1").select("key", "c", "y.*")
-        pairs = keyed.alias("x").join(centre.alias("y"), ["key", "c"]).where((F.col("x.sid") != F.col("y.sid")) & _close("x", "y", jaccard))
-        pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "ngram_pairs")
-        done = pairs if done is None else done.union(pairs)
-        found = written(_linked(pairs, starts, percent), "ngram_links")
-        links = found if links is None else links.union(found)
+    """(id, component) of the sets that have links."""
+    jaccard, boundary = percent / 100, _boundary(starts)
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # each key's smallest and largest set against all others of the key
+    keyed = _keyed(starts, boundary, jaccard, "id", "n")
+    item = F.struct("n", "id")
+    centres = keyed.groupBy("key").agg(F.min(item).alias("low"), F.max(item).alias("high")).where("low.id <> high.id")
+    stars = keyed.join(centres, "key").select(F.col("id").alias("a"), "n", F.explode(F.array("low", "high")).alias("y")).select("a", F.col("y.id").alias("b"), "n", F.col("y.n").alias("m"))
+    tried = written(stars.where((F.col("a") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m"), jaccard)).select(*pair).distinct(), "ngram_pairs")
+    links = written(_linked(tried, starts, percent), "ngram_links")
+    # what no link joins yet: the sets outside each key's largest component against those of all its other components
     label = written(connected_components(links), "ngram_labels")
-    named = keyed.join(label.withColumnRenamed("id", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid"))
-    sizes = named.groupBy("key", "c", "part").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("key", "c").agg(F.max(F.struct("size", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "c", F.col("top.part").alias("major"))
-    mixed = named.join(major, ["key", "c"])
-    minor = mixed.where("part <> major")
-    pairs = minor.alias("x").join(mixed.alias("y"), ["key", "c"]).where((F.col("x.part") != F.col("y.part")) & _close("x", "y", jaccard))
-    pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    links = links.union(written(_linked(pairs, starts, percent), "ngram_links"))
-    return connected_components(links)
+    parts = starts.join(label, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    named = _keyed(parts, boundary, jaccard, "id", "n", "part")
+    several = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    mixed = written(named.join(several, "key"), "ngram_mixed")
+    sizes = mixed.groupBy("key", "part").agg(F.count("*").alias("size"))
+    major = sizes.groupBy("key").agg(F.max(F.struct("size", "part"))["part"].alias("major"))
+    minor = mixed.join(major, "key").where("part <> major").drop("major")
+    x, y = minor.alias("x"), mixed.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & _sizes_fit(F.col("x.n"), F.col("y.n"), jaccard))
+    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+    more = written(_linked(rest, starts, percent), "ngram_links")
+    return connected_components(links.union(more))
 
 
 def ngram_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,9 +219,12 @@ def ngram_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     # below this size a set is linked with equal ones only
     skip = next(n for n in range(1, 1 << 20) if Fraction(n, n + 1) >= jaccard) if jaccard < 1 else 1 << 30
     every = written(blocks.table.join(by_block.hint("shuffle_hash"), "block", "left").mapInArrow(_starts(state, skip), STARTS), "ngram_starts")
-    starts = written(every.where("hashes IS NOT NULL").dropDuplicates(["sid"]), "ngram_sets")
-    label = similar_sets(starts, percent).withColumnsRenamed({"id": "sid", "component": "root"})
-    named = every.select("doc_id", "sid", "n").join(label, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    # numbered in the written table, so the numbers stay
+    starts = written(every.where("hashes IS NOT NULL").dropDuplicates(["sid"]).withColumn("id", F.monotonically_increasing_id()), "ngram_sets")
+    label = similar_sets(starts, percent)
+    names = starts.select("sid", "id")
+    root = label.join(names, "id").join(names.select(F.col("sid").alias("root"), F.col("id").alias("component")), "component").select("sid", "root")
+    named = every.select("doc_id", "sid", "n").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     named = written(named, "ngram_named")
     first = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("first"))
     out = named.where("n > 0").join(first, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("first").alias("component_id"))
