@@ -1,11 +1,12 @@
 """Scoring texts by a probabilistic suffix tree over words.
 
 States are contexts of the last 0, 1 or 2 words.  A context needs ``min_count`` occurrences to be looked at, and is retained
-if its next-word distribution diverges from that of the context one word shorter: over its next words a seen at least twice,
-the sum of C(s,a) * ln(P(a|s) / P(a|s')) has to exceed half a logarithm of the training tokens for each such word (the cost of
-its probability in a description of the model).  Probabilities are smoothed towards the shorter context,
-P(a|s) = (C(s,a) + k * P(a|s')) / (N(s) + k), down to the words' own P(a) = (c+1) / (N+V+1), and each token is scored in the
-longest retained context that ends before it.  All of these sum to one over known words and one unknown word.
+if its next-word distribution diverges from that of the context one word shorter: with its next words a seen at least twice
+told apart and all others taken together, the sum of C(s,a) * ln(P(a|s) / P(a|s')) has to exceed half a logarithm of the training
+tokens for each word told apart (the cost of its probability in a description of the model).  Of a retained context's N(s)
+occurrences the M(s) before words told apart count for these, and the rest is smoothed over the shorter context,
+P(a|s) = (C(s,a) + (N(s) - M(s) + k) * P(a|s')) / (N(s) + k), down to the words' own P(a) = (c+1) / (N+V+1).  Each token is
+scored in the longest retained context that ends before it.  All of these sum to one over known words and one unknown word.
 
 Learning and scoring go over blocks of documents.  A block asks once for each of its distinct words, then pairs, then triples
 and contexts; counts are summed in the keys' buckets and sent back, so what is gathered grows with the corpus, is shuffled
@@ -82,11 +83,11 @@ class SuffixTree:
     def _p0(self, count: np.ndarray) -> np.ndarray:
         return (count + 1.0) / (self.n + self.v + 1.0)
 
-    def _state_rows(self, kind: int, block: int, sent: _Sent, place: np.ndarray, count: np.ndarray, own: np.ndarray, shorter: np.ndarray) -> Iterator[dict]:
-        """Each context's sums over the next words that the block owns: count, log-likelihood, number."""
+    def _state_rows(self, kind: int, block: int, sent: _Sent, place: np.ndarray, count: np.ndarray, own: np.ndarray, shorter: np.ndarray, seen: np.ndarray) -> Iterator[dict]:
+        """Each context's sums over the next words that the block owns: count, log-likelihood, number; and its occurrences."""
         mine = own & (count >= 2)
         c, at, size = count[mine].astype(float), place[mine], len(sent.keys)
-        sums = [np.bincount(at, c, size), np.bincount(at, c * np.log(c / shorter[mine]), size), np.bincount(at, None, size).astype(float)]
+        sums = [np.bincount(at, c, size), np.bincount(at, c * np.log(c / shorter[mine]), size), np.bincount(at, None, size).astype(float), seen.astype(float)]
         return sent.rows(kind, block, np.stack(sums, axis=1))
 
     def __call__(self, row: dict, answers: dict[int, dict], last: int) -> list[dict] | dict[str, np.ndarray]:
@@ -129,23 +130,24 @@ class SuffixTree:
         triple, first3, at3 = np.unique(_mix(key2[deep - 1] * STEP + word[token[deep]] + np.uint64(7)), return_index=True, return_inverse=True)
         triples = _Sent(triple, self.buckets)
         if last < TRIPLES:
-            out = list(self._state_rows(STATES1, block, states, place, count2, own2, self._p0(count[next_])))
+            out = list(self._state_rows(STATES1, block, states, place, count2, own2, self._p0(count[next_]), count[state]))
             return out + list(triples.rows(TRIPLES, block, np.bincount(at3[train[deep]], minlength=len(triple)).astype("<u4")))
         total1 = np.zeros(len(word))
         total1[state] = states.answered(answers.get(STATES1, {}), "<f8")
         p0 = self._p0(count[token])
         n1 = np.where(inner, total1[before], 0.0)
-        p1 = np.where(n1 > 0, (np.where(seen2 >= 2, seen2, 0) + self.k * p0) / (n1 + self.k), p0)
+        p1 = np.where(n1 > 0, (np.where(seen2 >= 2, seen2, 0) + (count[before] - n1 + self.k) * p0) / (count[before] + self.k), p0)
         count3, own3 = triples.answered(answers.get(TRIPLES, {}), "<u4"), triples.answered(answers.get(TRIPLES, {}), "", "own")
-        state3 = np.unique(key2[after - 1])
+        state3, first_after = np.unique(key2[after - 1], return_index=True)
         states3, place3 = _Sent(state3, self.buckets), np.searchsorted(state3, key2[deep - 1])
         if last < STATES2:
-            return list(self._state_rows(STATES2, block, states3, place3[first3], count3, own3, p1[deep[first3]]))
+            return list(self._state_rows(STATES2, block, states3, place3[first3], count3, own3, p1[deep[first3]], seen2[after - 1][first_after]))
         found = np.zeros(len(token))
         found[deep] = np.where(count3[at3] >= 2, count3[at3], 0)
         n2 = states3.answered(answers.get(STATES2, {}), "<f8")[np.searchsorted(state3, key2[after - 1])]
         p = p1.copy()
-        p[after] = np.where(n2 > 0, (found[after] + self.k * p1[after]) / (n2 + self.k), p1[after])
+        all2 = seen2[after - 1]
+        p[after] = np.where(n2 > 0, (found[after] + (all2 - n2 + self.k) * p1[after]) / (all2 + self.k), p1[after])
         sums = lambda x: np.bincount(doc, x, len(sizes))
         return {"n_tokens": np.array(sizes), "n_known": sums(count[token] > 0).astype(np.int64), "base_score": sums(np.log10(p0)), "score": sums(np.log10(p))}
 
@@ -183,9 +185,11 @@ def _sum(penalty: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         key, first, place = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
         own = np.zeros(len(place), bool)
         if stats:
-            values = np.concatenate([np.frombuffer(x, "<f8").reshape(-1, 3) for x in rows["values"]])
+            values = np.concatenate([np.frombuffer(x, "<f8").reshape(-1, 4) for x in rows["values"]])
             n, fit, number = (np.bincount(place, values[:, k], len(key)) for k in range(3))
-            gain = fit - n * np.log(np.maximum(n, 1))
+            seen = values[first, 3]
+            rest = np.maximum(seen - n, 0)
+            gain = fit - n * np.log(np.maximum(seen, 1)) + rest * np.log(np.maximum(rest, 1) / np.maximum(seen, 1))
             total = np.where((n > 0) & (gain > penalty * number), n, 0.0)
             local = np.zeros(len(place), np.int64)
         else:
@@ -202,7 +206,7 @@ def _sum(penalty: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return add
 
 
-def score_texts(docs: DataFrame, min_count: int = 12, smoothing: float = 8.0, parts: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, min_count: int = 12, smoothing: float = 4.0, parts: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks = BlockTable(docs, F.col(text_col), id_col, label="lm_blocks")
     tree = SuffixTree(blocks.buckets, min_count, smoothing, parts, held)

@@ -79,7 +79,7 @@ def language_model(texts: dict, min_count: int, k: float) -> dict:
     known3 = {g: c for g, c in grams[2].items() if known2.get(g[:2], 0) >= min_count and known2.get(g[1:], 0) >= 2}
     p0 = lambda g: (grams[0][g[-1:]] + 1) / (total + kinds + 1)
 
-    def states(known, shorter):
+    def states(known, shorter, seen):
         sums = {}
         for g, c in known.items():
             if c >= 2:
@@ -87,19 +87,26 @@ def language_model(texts: dict, min_count: int, k: float) -> dict:
                 s[0] += c
                 s[1] += c * math.log(c / shorter(g))
                 s[2] += 1
-        return {s: n for s, (n, fit, m) in sums.items() if fit - n * math.log(n) > math.log(total) / 2 * m}
+        out = {}
+        for s, (n, fit, m) in sums.items():
+            rest = seen[s] - n
+            if fit - n * math.log(seen[s]) + (rest * math.log(rest / seen[s]) if rest else 0) > math.log(total) / 2 * m:
+                out[s] = n
+        return out
 
-    one = states(known2, p0)
+    one = states(known2, p0, grams[0])
 
     def p1(g):
         n, c = one.get(g[-2:-1], 0), known2.get(g[-2:], 0)
-        return ((c if c >= 2 else 0) + k * p0(g)) / (n + k) if n and len(g) > 1 else p0(g)
+        seen = grams[0][g[-2:-1]]
+        return ((c if c >= 2 else 0) + (seen - n + k) * p0(g)) / (seen + k) if n and len(g) > 1 else p0(g)
 
-    two = states(known3, p1)
+    two = states(known3, p1, known2)
 
     def p2(g):
         n, c = two.get(g[:2], 0) if len(g) == 3 else 0, known3.get(g, 0)
-        return ((c if c >= 2 else 0) + k * p1(g)) / (n + k) if n else p1(g)
+        seen = known2.get(g[:2], 0)
+        return ((c if c >= 2 else 0) + (seen - n + k) * p1(g)) / (seen + k) if n else p1(g)
 
     out = {}
     for d, t in tokens.items():

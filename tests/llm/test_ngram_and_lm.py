@@ -68,7 +68,7 @@ def test_lm_against_dictionaries(spark, sf):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for min_count in (12, 3):
         got = scores(docs, min_count=min_count)
-        close(got, language_model(texts, min_count, 8.0))
+        close(got, language_model(texts, min_count, 4.0))
     held = [g for g in got.values() if g[0]]
     assert sum(g[5] for g in held) > sum(g[4] for g in held)
     assert scores(docs.limit(0)) == {}
@@ -83,6 +83,6 @@ def test_lm_on_markov_text(spark):
             w.append(rnd.choice(follow[w[-2], w[-1]]))
         texts[d] = " ".join(w)
     got = scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
-    close(got, language_model(texts, 12, 8.0))
+    close(got, language_model(texts, 12, 4.0))
     held = [g for g in got.values() if g[0]]
     assert sum(g[5] for g in held) > 0.6 * sum(g[4] for g in held)
