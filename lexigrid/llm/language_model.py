@@ -48,14 +48,15 @@ class _Sent:
     """Distinct keys in the order sent (by bucket), with what is said about each."""
 
     def __init__(self, keys: np.ndarray, buckets: int):
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        # most keys come sorted, from a unique()
+        self.order = None if (keys[1:] > keys[:-1]).all() else np.argsort(keys)
+        self.keys = keys if self.order is None else keys[self.order]
         bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # rises with the key
         starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
         self.cuts = [(int(bucket[s]), int(s), int(e)) for s, e in zip(starts, np.append(starts[1:], len(keys)), strict=False)]
 
     def rows(self, kind: int, block: int, values: np.ndarray, narrow: bool = True) -> Iterator[dict]:
-        values = values[self.order]
+        values = values if self.order is None else values[self.order]
         keys = (self.keys & np.uint64(0xFFFFFFFF)).astype("<u4") if narrow else self.keys
         for b, s, e in self.cuts:
             yield {"kind": kind, "bucket": b, "block": block, "keys": keys[s:e].tobytes(), "values": values[s:e].tobytes()}
@@ -65,9 +66,9 @@ class _Sent:
         for b, s, e in self.cuts:
             got = np.frombuffer(answers[b][name], np.uint8 if name == "own" else dtype)
             out[s:e] = np.unpackbits(got, count=e - s) if name == "own" else got
-        back = np.empty_like(out)
-        back[self.order] = out
-        return back
+        if self.order is not None:
+            out[self.order] = out.copy()
+        return out
 
 
 class SuffixTree:
@@ -98,7 +99,7 @@ class SuffixTree:
             at += n
             parts += [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), np.array([END])]
             sizes.append(len(words) + 1)
-        token, doc = np.concatenate(parts), np.repeat(np.arange(len(sizes)), sizes)
+        token = np.concatenate(parts)
         ends = np.cumsum(sizes)
         train = np.repeat([not self.held_out(d) for d in row["ids"]], sizes)
         block = row["block"]
@@ -148,7 +149,7 @@ class SuffixTree:
         p = p1.copy()
         all2 = seen2[after - 1]
         p[after] = np.where(n2 > 0, (found[after] + (all2 - n2 + self.k) * p1[after]) / (all2 + self.k), p1[after])
-        sums = lambda x: np.bincount(doc, x, len(sizes))
+        sums = lambda x: np.add.reduceat(x, ends - sizes, dtype=float)
         return {"n_tokens": np.array(sizes), "n_known": sums(count[token] > 0).astype(np.int64), "base_score": sums(np.log10(p0)), "score": sums(np.log10(p))}
 
 
