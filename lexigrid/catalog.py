@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from lexigrid.registry import QUERIES, SQL, Query
 
+MODULES = ("text", "filters", "joins", "aggregates", "windows", "ordering", "arrays", "sources", "streams")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"lexigrid.plans.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
