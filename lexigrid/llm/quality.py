@@ -62,7 +62,7 @@ class Logistic:
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> Logistic:
         lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat, row = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), lens)
+        flat, row = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), lens)
         good, all_ = np.bincount(flat, y[row], self.size), np.bincount(flat, minlength=self.size)
         share = y.mean()
         bad = all_ - good
@@ -147,7 +147,7 @@ def _view(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(*more, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.col("source"), F.col("lang"), F.length("text").alias("chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, unlabelled: int = 6_000, rounds: int = 3) -> CoTrained:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, unlabelled: int = 3_000, rounds: int = 3) -> CoTrained:
     """Fit both views on at most ``labelled`` + ``unlabelled`` documents; these are what reaches the driver."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("y"))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
@@ -155,9 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 12_000, unlabelled
     pool = ids.join(good, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).withColumn("y", F.lit(None).cast("double"))
     chosen = F.broadcast(picked.union(pool))  # at most labelled + unlabelled rows of 16 bytes
     rows = _view(docs.join(chosen, "doc_id"), F.col("y")).mapInPandas(_features, "y double, text array<int>, meta array<int>")
-    got = rows.limit(2 * (labelled + unlabelled)).toPandas()
-    text, meta = [np.asarray(x) for x in got["text"]], [np.asarray(x) for x in got["meta"]]
-    y, order = got["y"].to_numpy(float), np.argsort([xxhash.xxh3_64_intdigest(np.asarray(x).tobytes()) for x in got["text"]], kind="stable")
+    got = rows.limit(2 * (labelled + unlabelled)).toArrow().combine_chunks()
+    text, meta = ([x.values.to_numpy() if x.is_valid else np.empty(0, np.int32) for x in got.column(c)] for c in ("text", "meta"))
+    y = np.array([np.nan if v is None else v for v in got.column("y").to_pylist()], float)
+    order = np.argsort([xxhash.xxh3_64_intdigest(x.tobytes()) for x in text], kind="stable")
     known, rest = [i for i in order if y[i] == y[i]], [i for i in order if y[i] != y[i]]
     return CoTrained([text[i] for i in known], [meta[i] for i in known], y[known], [text[i] for i in rest], [meta[i] for i in rest], rounds)
 
