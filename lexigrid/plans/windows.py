@@ -9,17 +9,23 @@ from lexigrid.operators import lexicon as L
 from lexigrid.operators import series as S
 from lexigrid.registry import query, table
 
-W = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def _w():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 SER = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 NUM = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f FROM events"
 
 
+def _seconds():
+    """Seconds of ts, which holds no time zone."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)") / 1e6
+
+
 def _events(spark, sf):
     return table(spark, sf, "events")
 
 
 def _numbered(spark, sf):
-    return _events(spark, sf).withColumn("f", F.row_number().over(W) - 1)
+    return _events(spark, sf).withColumn("f", F.row_number().over(_w()) - 1)
 
 
 @query("w_first_wins", "SELECT c_mktsegment, c_custkey, c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_custkey) AS rn FROM customer) WHERE rn = 1")
@@ -43,7 +49,7 @@ def w_per_signer(spark, sf):
 
 @query("w_diff", f"SELECT event_id, round(value - lag(value, 1, value) OVER w, 6) AS diff FROM events {SER}")
 def w_diff(spark, sf):
-    return _events(spark, sf).select("event_id", F.round(F.col("value") - F.coalesce(F.lag("value").over(W), F.col("value")), 6).alias("diff"))
+    return _events(spark, sf).select("event_id", F.round(F.col("value") - F.coalesce(F.lag("value").over(_w()), F.col("value")), 6).alias("diff"))
 
 
 @query("w_runs", f"WITH a AS (SELECT *, value > 50 AS up, CASE WHEN value > 50 AND NOT coalesce(lag(value > 50) OVER w, false) THEN 1 ELSE 0 END AS s FROM events {SER}), b AS (SELECT *, sum(s) OVER w AS run FROM a {SER}) SELECT user_id, CAST(run AS BIGINT) AS run, CAST(count(*) AS BIGINT) AS n, min(event_id) AS low FROM b WHERE up GROUP BY user_id, run")
@@ -56,8 +62,7 @@ SESSION = f"WITH a AS (SELECT *, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER w <=
 
 
 def _sessions(spark, sf):
-    seconds = F.unix_micros("ts") / 1e6
-    return S.sessions(_events(spark, sf), seconds, 21600, "user_id", "ts", "event_id")
+    return S.sessions(_events(spark, sf), _seconds(), 21600, "user_id", "ts", "event_id")
 
 
 @query("w_runs_gap", SESSION + "SELECT user_id, CAST(session AS BIGINT) AS session, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY user_id, session HAVING count(*) >= 2")
@@ -72,8 +77,8 @@ BIO = f"WITH a AS (SELECT *, CASE event_type WHEN 'signup' THEN 'B' WHEN 'purcha
 def _bio(spark, sf):
     tag = F.when(F.col("event_type").isin("signup", "purchase"), "B").when(F.col("event_type") == "error", "O").otherwise("I")
     e = _events(spark, sf).withColumn("tag", tag)
-    opens = (F.col("tag") == "B") | ((F.col("tag") == "I") & (F.coalesce(F.lag("tag").over(W), F.lit("O")) == "O"))
-    return e.withColumn("s", F.when(opens, 1).otherwise(0)).withColumn("seg", F.sum("s").over(W)).where("tag <> 'O'")
+    opens = (F.col("tag") == "B") | ((F.col("tag") == "I") & (F.coalesce(F.lag("tag").over(_w()), F.lit("O")) == "O"))
+    return e.withColumn("s", F.when(opens, 1).otherwise(0)).withColumn("seg", F.sum("s").over(_w())).where("tag <> 'O'")
 
 
 @query("w_bio", BIO + "SELECT user_id, CAST(seg AS BIGINT) AS seg, CAST(count(*) AS BIGINT) AS n FROM c WHERE tag <> 'O' GROUP BY user_id, seg")
@@ -85,7 +90,7 @@ def w_bio(spark, sf):
 @query("w_merge_gap", SESSION + ", g AS (SELECT user_id, session, min(epoch(ts)) AS s, max(epoch(ts)) AS e FROM b GROUP BY ALL), m AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY user_id ORDER BY s) <= 86400 THEN 0 ELSE 1 END AS x FROM g), n AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY s) AS k FROM m) SELECT user_id, CAST(k AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS merged FROM n GROUP BY user_id, k HAVING max(e) - min(s) >= 3600")
 def w_merge_gap(spark, sf):
     """Segments no more than a day apart are merged, then those shorter than an hour dropped."""
-    g = _sessions(spark, sf).withColumn("t", F.unix_micros("ts") / 1e6).groupBy("user_id", "session").agg(F.min("t").alias("s"), F.max("t").alias("e"))
+    g = _sessions(spark, sf).withColumn("t", _seconds()).groupBy("user_id", "session").agg(F.min("t").alias("s"), F.max("t").alias("e"))
     w = Window.partitionBy("user_id").orderBy("s")
     n = g.withColumn("x", F.when(F.col("s") - F.lag("e").over(w) <= 86400, 0).otherwise(1)).withColumn("k", F.sum("x").over(w))
     return n.groupBy("user_id", "k").agg(F.count("*").alias("merged"), (F.max("e") - F.min("s")).alias("long")).where("long >= 3600").drop("long")
@@ -93,7 +98,7 @@ def w_merge_gap(spark, sf):
 
 @query("w_median_filter", "SELECT event_id, round(quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM events")
 def w_median_filter(spark, sf):
-    around = F.sort_array(F.collect_list("value").over(W.rowsBetween(-1, 1)))
+    around = F.sort_array(F.collect_list("value").over(_w().rowsBetween(-1, 1)))
     n = F.size(around)
     middle = (F.get(around, ((n - 1) / 2).cast("int")) + F.get(around, (n / 2).cast("int"))) / 2
     return _events(spark, sf).select("event_id", F.round(middle, 6).alias("smooth"))
@@ -101,14 +106,14 @@ def w_median_filter(spark, sf):
 
 @query("w_hann", f"SELECT event_id, round(0.25::DOUBLE * coalesce(lag(value) OVER w, value) + 0.5::DOUBLE * value + 0.25::DOUBLE * coalesce(lead(value) OVER w, value), 6) AS smooth FROM events {SER}")
 def w_hann(spark, sf):
-    side = lambda x: F.coalesce(x.over(W), F.col("value"))
+    side = lambda x: F.coalesce(x.over(_w()), F.col("value"))
     return _events(spark, sf).select("event_id", F.round(0.25 * side(F.lag("value")) + 0.5 * F.col("value") + 0.25 * side(F.lead("value")), 6).alias("smooth"))
 
 
 @query("w_boxcar", f"SELECT event_id, round((coalesce(lag(value) OVER w, 0) + value + coalesce(lead(value) OVER w, 0)) / 3, 6) AS smooth FROM events {SER}")
 def w_boxcar(spark, sf):
     """Zero beyond the edges."""
-    side = lambda x: F.coalesce(x.over(W), F.lit(0.0))
+    side = lambda x: F.coalesce(x.over(_w()), F.lit(0.0))
     return _events(spark, sf).select("event_id", F.round((side(F.lag("value")) + F.col("value") + side(F.lead("value"))) / 3, 6).alias("smooth"))
 
 
@@ -133,7 +138,7 @@ def w_resample_idx(spark, sf):
 @query("w_resample_lin", f"WITH n AS ({NUM}), c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), g AS (SELECT user_id, k, k * (n - 1) / 4.0::DOUBLE AS x FROM c, (SELECT unnest(range(5)) AS k)) SELECT g.user_id, CAST(k AS INT) AS k, round(a.value + (b.value - a.value) * (x - floor(x)), 6) AS value FROM g JOIN n a ON g.user_id = a.user_id AND a.f = floor(x) JOIN n b ON g.user_id = b.user_id AND b.f = ceil(x)")
 def w_resample_lin(spark, sf):
     """Five points of each series by linear interpolation."""
-    n = _numbered(spark, sf).select("user_id", "f", "value", F.lead("value", 1).over(W).alias("after"))
+    n = _numbered(spark, sf).select("user_id", "f", "value", F.lead("value", 1).over(_w()).alias("after"))
     counts = _events(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"))
     g = counts.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "n").withColumn("x", F.col("k") * (F.col("n") - 1) / 4.0).withColumn("f", F.floor("x").cast("int"))
     part = F.col("x") - F.floor("x")
@@ -158,24 +163,24 @@ def w_proportion(spark, sf):
     return _events(spark, sf).join(m, "user_id").select("event_id", F.round((F.col("value") - F.col("a")) * 0.5 / F.col("mid"), 5).alias("scaled"))
 
 
-@query("w_offsets", "SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(CAST(l_quantity AS BIGINT) + 5) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lineitem")
+@query("w_offsets", "SELECT l_orderkey, l_linenumber, CAST(coalesce(sum(CAST(l_quantity AS BIGINT) + 5) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lineitem")
 def w_offsets(spark, sf):
     """Starts of clips joined with transitions of five frames."""
-    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.sum(F.col("l_quantity").cast("long") + 5).over(before), F.lit(0)).alias("start"))
 
 
-@query("w_transition", f"WITH p AS (SELECT event_id, value, lead(value) OVER w AS after FROM events {SER}) SELECT event_id, CAST(k AS INT) AS k, round(value + (after - value) * (3 * (k / 4.0::DOUBLE) ** 2 - 2 * (k / 4.0::DOUBLE) ** 3), 6) AS value FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE after IS NOT NULL")
+@query("w_transition", f"WITH p AS (SELECT event_id, value, lead(value) OVER w AS after FROM events {SER}) SELECT event_id, CAST(k AS INT) AS k, round(value + (after - value) * (3 * (k / 4.0::DOUBLE) ** 2 - 2 * (k / 4.0::DOUBLE) ** 3), 9) AS value FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE after IS NOT NULL")
 def w_transition(spark, sf):
-    p = _events(spark, sf).select("event_id", "value", F.lead("value").over(W).alias("after")).where("after IS NOT NULL")
+    p = _events(spark, sf).select("event_id", "value", F.lead("value").over(_w()).alias("after")).where("after IS NOT NULL")
     s = F.col("k") / 4.0
-    return p.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select("event_id", "k", F.round(F.col("value") + (F.col("after") - F.col("value")) * (3 * s * s - 2 * s * s * s), 6).alias("value"))
+    return p.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select("event_id", "k", F.round(F.col("value") + (F.col("after") - F.col("value")) * (3 * s * s - 2 * s * s * s), 9).alias("value"))
 
 
 @query("w_velocity_seg", f"WITH d AS (SELECT *, abs(value - lag(value, 1, value) OVER w) AS v FROM events {SER}), m AS (SELECT *, max(v) OVER (PARTITION BY user_id) AS peak FROM d) SELECT user_id, CAST(count(*) FILTER (WHERE v >= 0.15 * peak) AS BIGINT) AS moving FROM m GROUP BY user_id")
 def w_velocity_seg(spark, sf):
     """Rows that move at least 0.15 times as fast as the series' fastest."""
-    d = _events(spark, sf).withColumn("v", F.abs(F.col("value") - F.coalesce(F.lag("value").over(W), F.col("value"))))
+    d = _events(spark, sf).withColumn("v", F.abs(F.col("value") - F.coalesce(F.lag("value").over(_w()), F.col("value"))))
     m = d.withColumn("peak", F.max("v").over(Window.partitionBy("user_id")))
     return m.groupBy("user_id").agg(F.count_if(F.col("v") >= F.lit(0.15) * F.col("peak")).alias("moving"))
 
@@ -203,7 +208,7 @@ def w_hold(spark, sf):
 
 @query("w_partition_mid", f"SELECT event_id, round((value + lead(value) OVER w) / 2, 6) AS cut FROM events {SER}")
 def w_partition_mid(spark, sf):
-    return _events(spark, sf).select("event_id", F.round((F.col("value") + F.lead("value").over(W)) / 2, 6).alias("cut"))
+    return _events(spark, sf).select("event_id", F.round((F.col("value") + F.lead("value").over(_w())) / 2, 6).alias("cut"))
 
 
 @query("w_cumshare", "WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, round(sum(n) OVER (ORDER BY n DESC, source)::DOUBLE / (SELECT sum(n) FROM n), 6) AS share FROM n")
@@ -222,7 +227,7 @@ def w_choice(spark, sf):
 @query("w_caption_change", f"WITH d AS (SELECT *, abs(value - lag(value) OVER w) AS v FROM events {SER}), m AS (SELECT user_id, avg(v) + 2 * stddev_pop(v) AS cut FROM d GROUP BY user_id) SELECT event_id FROM d JOIN m USING (user_id) WHERE v > cut + 1e-9")
 def w_caption_change(spark, sf):
     """Steps of more than mean + two standard deviations of their series."""
-    d = _events(spark, sf).withColumn("v", F.abs(F.col("value") - F.lag("value").over(W)))
+    d = _events(spark, sf).withColumn("v", F.abs(F.col("value") - F.lag("value").over(_w())))
     m = d.groupBy("user_id").agg((F.avg("v") + 2 * F.stddev_pop("v")).alias("cut"))
     return d.join(m, "user_id").where("v > cut + 1e-9").select("event_id")
 
@@ -231,5 +236,5 @@ def w_caption_change(spark, sf):
 def w_segment_fill(spark, sf):
     """Rows to fill hold the value before them, at the start the first one."""
     v = F.when(F.col("event_type") != "error", F.col("value"))
-    past, future = W.rowsBetween(Window.unboundedPreceding, 0), W.rowsBetween(0, Window.unboundedFollowing)
+    past, future = _w().rowsBetween(Window.unboundedPreceding, 0), _w().rowsBetween(0, Window.unboundedFollowing)
     return _events(spark, sf).withColumn("v", v).select("event_id", F.round(F.coalesce(F.last("v", True).over(past), F.first("v", True).over(future), F.lit(0.0)), 6).alias("held"))
