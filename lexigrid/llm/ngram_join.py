@@ -10,9 +10,10 @@ result is each document's connected component.  Equal sets are one class from th
 2. Small sets (below a boundary) are keyed by each pair of common shingles in the start with c = 2; large sets, and small ones
    that a large one can be linked to by size, by each single shingle in the start with c = 1.  The boundary is where the
    subsets of the sets below it cost less than their inverted lists would, by sums over powers of two of the sizes.
-3. Each key's smallest and largest sets are compared with all others of the key; links found so far give components.  What is
-   left is compared in full: for each key all sets outside its largest component against all others of other components.  So a large group of near copies costs a few comparisons a member, and no link between two
-   components is lost.
+3. Each key's first set and its set of the commonest shingles are compared with all others of the key; links found so far give
+   components.  What is left is compared in full: for each key all sets outside its largest component against all others of
+   other components.  So a large group of near copies costs a few comparisons a member, and no link between two components is
+   lost.
    Before sets are compared, sizes and 256-bit parity sketches are: the sketches' Hamming distance is never more than the sets'
    difference, so this drops no link.
 
@@ -41,6 +42,7 @@ from lexigrid.llm.shared import written
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Making, shuffling and sorting a keyed row costs about as much as so many comparisons in a list.
 ROW_COST = 20
+SKETCH = ("b0", "b1", "b2", "b3")
 BOUNDARIES = (0, 8, 16, 32, 64, 128, 256, 512, 1024)
 
 
@@ -167,15 +169,18 @@ def _sizes_fit(n: Column, m: Column, jaccard: float) -> Column:
     return (n >= m * jaccard - 1e-6) & (m >= n * jaccard - 1e-6)
 
 
+def _sketches_fit(x: str, y: str, jaccard: float) -> Column:
+    """Whether the sketches of two tables' sets leave room for a link."""
+    apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in SKETCH)
+    return apart <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * ((1 - jaccard) / (1 + jaccard)) + 1e-6
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of sets' ids those that are linked: by sketches first, then by the sets."""
     jaccard = percent / 100
-    sketch = [F.col(f"b{k}") for k in range(4)]
-    left = sets.select(F.col("id").alias("a"), F.col("n"), F.array(*sketch).alias("p"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.array(*sketch).alias("q"))
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(left, "a").join(right, "b").where(apart <= (F.col("n") + F.col("m")) * ((1 - jaccard) / (1 + jaccard)) + 1e-6)
-    near = written(near.select("a", "b", "n", "m"), "ngram_near")
+    left, right = (sets.select(F.col("id").alias(c), "n", *SKETCH).alias(c) for c in "ab")
+    near = pairs.join(left, "a").join(right, "b").where(_sketches_fit("a", "b", jaccard))
+    near = written(near.select("a", "b", F.col("a.n").alias("n"), F.col("b.n").alias("m")), "ngram_near")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
@@ -185,10 +190,12 @@ def similar_sets(starts: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the sets that have links."""
     jaccard, boundary = percent / 100, _boundary(starts)
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # each key's smallest and largest set against all others of the key
-    keyed = _keyed(starts, boundary, jaccard, "id", "n")
-    item = F.struct("n", "id")
-    centres = keyed.groupBy("key").agg(F.min(item).alias("low"), F.max(item).alias("high")).where("low.id <> high.id")
+    # each key's set of the commonest shingles and its first by number against all others of the key: in a group of near copies
+    # that is what they are copies of, for nearly all keys the same
+    keyed = _keyed(starts.withColumn("lists", F.col("lists").cast("int")), boundary, jaccard, "id", "n", "lists")
+    several = F.min("id") < F.max("id")
+    ends = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("lists", "id", "n")).alias("top"), several.alias("several"))
+    centres = ends.where("several").select("key", "low", F.struct("top.id", "top.n").alias("high"))
     stars = keyed.join(centres, "key").select(F.col("id").alias("a"), "n", F.explode(F.array("low", "high")).alias("y")).select("a", F.col("y.id").alias("b"), "n", F.col("y.n").alias("m"))
     tried = written(stars.where((F.col("a") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m"), jaccard)).select(*pair).distinct(), "ngram_pairs")
     links = written(_linked(tried, starts, percent), "ngram_links")
@@ -197,12 +204,12 @@ def similar_sets(starts: DataFrame, percent: int) -> DataFrame:
     parts = starts.join(label, "id", "left").withColumn("part", F.coalesce("component", "id"))
     named = _keyed(parts, boundary, jaccard, "id", "n", "part")
     several = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    mixed = written(named.join(several, "key"), "ngram_mixed")
+    mixed = written(named.join(several, "key").join(starts.select("id", *SKETCH), "id"), "ngram_mixed")
     sizes = mixed.groupBy("key", "part").agg(F.count("*").alias("size"))
     major = sizes.groupBy("key").agg(F.max(F.struct("size", "part"))["part"].alias("major"))
     minor = mixed.join(major, "key").where("part <> major").drop("major")
     x, y = minor.alias("x"), mixed.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & _sizes_fit(F.col("x.n"), F.col("y.n"), jaccard))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & _sizes_fit(F.col("x.n"), F.col("y.n"), jaccard) & _sketches_fit("x", "y", jaccard))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(_linked(rest, starts, percent), "ngram_links")
     return connected_components(links.union(more))
