@@ -9,12 +9,14 @@ from lexigrid.operators import lexicon as L
 from lexigrid.operators import series as S
 from lexigrid.registry import query, table
 
-def _w():
-    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 SER = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 NUM = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f FROM events"
 
 
+def _w():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
 def _seconds():
     """Seconds of ts, which holds no time zone."""
     return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)") / 1e6
