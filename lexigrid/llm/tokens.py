@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MARKS = b".,;:!?%&$*#()"  # not those of special tokens
-MOST_PIECES = 500_000
+MOST_PIECES = 2_000_000
 SLICE_BYTES = 1_000_000
 STEP = 0x9E3779B97F4A7C15
 
