@@ -8,11 +8,12 @@ that the best remaining codewords can't lift over the threshold; a vector that e
 The number of filters grows with the number of vectors so that a filter holds about ``load`` of them while each vector is in
 about ``spread`` filters; two vectors with a cosine of 0.95 share half of these or more, so a link is missed with a probability
 of some 1e-4 (the tests measure recall against brute force).  Equal vectors are one class from the start and weigh as many
-links as they have rows, so large groups of copies aren't compared; a filter of more than ``most`` vectors is dealt out by
-rows to several tasks, each with all columns, and compared in pieces.  A pair is counted in the first filter that both share.
+links as they have rows, so large groups of copies aren't compared; a filter of more than ``most`` vectors is dealt into parts
+of about ``most``, and a task compares one part with another or with itself.  A pair is counted in the first filter that both
+share.  Each task gives back the components of its links, so chains over vectors in any order stay together.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing, as do those of another dimension than
-the commonest.  Rows that repeat a vec_id are vectors of their own.  A row with a null vec_id counts as a link of others but
+Vectors that are null, zero, or hold null or non-finite components link with nothing.  Those of each dimension are a set of
+their own; below ``SMALL`` dimensions a set is one filter, as there a cap of 0.95 holds a large share of all directions.  Rows that repeat a vec_id are vectors of their own.  A row with a null vec_id counts as a link of others but
 names no component.  An empty table gives an empty result.
 """
 
@@ -31,6 +32,7 @@ from lexigrid.llm.shared import written
 
 
 LEAST = 12
+SMALL = 12
 
 
 class ProductCode:
@@ -80,14 +82,20 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _assign(code: ProductCode):
+def _assign(vectors: dict[int, int]):
+    """Each vector with its filters; ``vectors``: how many there are of each dimension."""
+
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes: dict[int, ProductCode] = {}
         for f in frames:
-            for s in range(0, len(f), 512):
-                part = f.iloc[s : s + 512]
-                row, name = code.decode(_unit(list(part["v"])))
-                lists = np.split(name, np.flatnonzero(np.diff(row)) + 1)
-                yield pd.DataFrame({"filter": name, "rep": part["rep"].to_numpy()[row], "weight": part["weight"].to_numpy()[row], "v": part["v"].to_numpy()[row], "filters": [lists[r] for r in row]})
+            for dim, same in f.groupby("dim"):
+                if dim >= SMALL and dim not in codes:
+                    codes[dim] = ProductCode(dim, vectors[dim])
+                for s in range(0, len(same), 512):
+                    part = same.iloc[s : s + 512]
+                    row, name = codes[dim].decode(_unit(list(part["v"]))) if dim >= SMALL else (np.arange(len(part)), np.zeros(len(part), np.int64))
+                    lists = np.split(name, np.flatnonzero(np.diff(row)) + 1)
+                    yield pd.DataFrame({"dim": dim, "filter": name, "rep": part["rep"].to_numpy()[row], "weight": part["weight"].to_numpy()[row], "v": part["v"].to_numpy()[row], "filters": [lists[r] for r in row]})
 
     return assign
 
@@ -105,27 +113,43 @@ def _earlier(filters: np.ndarray, name: int) -> np.ndarray:
     return bits
 
 
+def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the components of each i and j; ``root`` names each member's smallest, before and after."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def _compare(cosine: float):
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        """Links of the group's own rows: per vector the weight linked, and one tie for each step towards the smallest linked."""
+        """Links between the group's two parts, or within its one: per vector the weight linked, and a tie to its component's smallest."""
         f = f.sort_values("rep", kind="stable")
         rep, weight, x = f["rep"].to_numpy(), f["weight"].to_numpy(), _unit(list(f["v"]))
-        filters, mine = f["filters"].to_numpy(), f["mine"].to_numpy()
-        shared, own = _earlier(filters, int(f["filter"].iloc[0])), np.flatnonzero(mine)
-        count, low = np.zeros(len(f), np.int64), np.arange(len(f))
-        for s in range(0, len(own), 256):
-            a = own[s : s + 256]
-            i, j = np.nonzero(x[a] @ x.T >= cosine - 1e-9)
-            i = a[i]
-            keep = i != j
-            i, j = i[keep], j[keep]
-            exact = (x[i] * x[j]).sum(axis=1) >= cosine
+        part, low, high = f["part"].to_numpy(), f["low"].iloc[0], f["high"].iloc[0]
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        shared = _earlier(f["filters"].to_numpy(), int(f["filter"].iloc[0]))
+        count, root, columns = np.zeros(len(f), np.int64), np.arange(len(f)), x[right].T
+        for s in range(0, len(left), 256):
+            a = left[s : s + 256]
+            i, j = np.nonzero(x[a] @ columns >= cosine - 1e-9)
+            i, j = a[i], right[j]
+            if low == high:
+                i, j = i[i < j], j[i < j]
+            exact = np.concatenate([(x[i[k : k + 65536]] * x[j[k : k + 65536]]).sum(axis=1) >= cosine for k in range(0, len(i), 65536)] or [np.empty(0, bool)])
             i, j = i[exact], j[exact]
+            _merge(root, i, j)
             first = ~np.concatenate([(shared[i[k : k + 65536]] & shared[j[k : k + 65536]]).any(axis=1) for k in range(0, len(i), 65536)] or [np.empty(0, bool)])
-            np.add.at(count, i[first], weight[j[first]])
-            np.minimum.at(low, i, j)
-        some = np.flatnonzero((count > 0) | (low < np.arange(len(f))))
-        return pd.DataFrame({"rep": rep[some], "links": count[some], "to": rep[low[some]]})
+            i, j = i[first], j[first]
+            np.add.at(count, i, weight[j])
+            np.add.at(count, j, weight[i])
+        some = np.flatnonzero((count > 0) | (root < np.arange(len(f))))
+        return pd.DataFrame({"rep": rep[some], "links": count[some], "to": rep[root[some]]})
 
     return compare
 
@@ -135,20 +159,21 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, most: int = 300
     vector = F.col(vector_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = embeddings.select(F.col(id_col).alias("vec_id"), vector.alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
-    shape = rows.where("fine").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     alone = F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-    if shape is None:
-        return rows.select("vec_id", *alone)
-    rows = rows.withColumn("fine", F.col("fine") & (F.size("v") == shape.dim)).withColumn("hash", F.xxhash64("v"))
+    rows = rows.withColumn("hash", F.xxhash64("v"))
     # distinct vectors; rep: the smallest vec_id, or a negative hash where all are null
     classes = rows.where("fine").groupBy("hash", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
     classes = written(classes.withColumn("rep", F.coalesce("first", -1 - F.abs(F.col("hash") / 2).cast("long"))), "vector_classes")
-    code = ProductCode(shape.dim, classes.count())
-    members = written(classes.select("rep", "weight", F.col("v").cast("array<float>").alias("v") if dict(embeddings.dtypes)[vector_col] == "array<float>" else "v").mapInPandas(_assign(code), f"filter long, rep long, weight long, v {dict(embeddings.dtypes)[vector_col]}, filters array<long>"), "cap_filters")
-    sizes = members.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / most).cast("int").alias("parts"))
-    dealt = members.join(sizes, "filter").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")) == F.col("part"))
-    found = written(dealt.drop("parts").groupBy("filter", "part").applyInPandas(_compare(cosine), "rep long, links long, to long"), "vector_links")
+    vectors = {r.dim: r["count"] for r in classes.groupBy(F.size("v").alias("dim")).count().collect()}
+    if not vectors:
+        return rows.select("vec_id", *alone)
+    stored = dict(embeddings.dtypes)[vector_col]
+    members = classes.select(F.size("v").alias("dim"), "rep", "weight", F.col("v").cast("array<float>").alias("v") if stored == "array<float>" else "v")
+    members = written(members.mapInPandas(_assign(vectors), f"dim int, filter long, rep long, weight long, v {stored}, filters array<long>"), "cap_filters")
+    sizes = members.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1").select("dim", "filter", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    dealt = members.join(sizes, ["dim", "filter"]).withColumn("part", F.pmod(F.xxhash64("rep", "filter"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    found = written(dealt.drop("parts", "other").groupBy("dim", "filter", "low", "high").applyInPandas(_compare(cosine), "rep long, links long, to long"), "vector_links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     label = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "rep")
     named = classes.join(links, "rep", "left").join(label, "rep", "left").select("hash", F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root"))
