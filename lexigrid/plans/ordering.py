@@ -17,6 +17,18 @@ def _words(spark, sf, name, *by):
     return table(spark, sf, name).select(*by, F.explode(T.words(F.col("text"))).alias("word"))
 
 
+def _placed(rows, ranges, *order):
+    """Every row with its place in the whole order, from 1: rows are numbered in their range and shifted by the ranges before.
+
+    ``ranges`` rise with the order and hold few rows each; only their counts meet in one task.
+    """
+    rows = rows.withColumn("range", F.struct(*[c.alias(f"r{i}") for i, c in enumerate(ranges)]))
+    sizes = rows.groupBy("range").agg(F.count("*").alias("size"))
+    before = sizes.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return rows.withColumn("own", own).join(before, "range").withColumn("place", F.col("before") + F.col("own"))
+
+
 @query("t_best_first", f"SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY CASE WHEN c_custkey = best THEN 0 ELSE 1 END, c_custkey) AS INT) AS place FROM ({BEST})")
 def t_best_first(spark, sf):
     """Each group's best row moves to the front, the others keep their order."""
@@ -45,11 +57,26 @@ def t_collection(spark, sf):
     return table(spark, sf, "part").orderBy(F.when(F.col("p_brand") == "Brand#3", 0).otherwise(1), number, "p_partkey").limit(100).select("p_partkey", "p_brand")
 
 
+@query("t_collection_all", "SELECT p_partkey, p_brand, row_number() OVER (ORDER BY CASE WHEN p_brand = 'Brand#3' THEN 0 ELSE 1 END, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT), p_partkey) AS place FROM part")
+def t_collection_all(spark, sf):
+    """Every part with its place in the order of ``t_collection``."""
+    other, number = F.when(F.col("p_brand") == "Brand#3", 0).otherwise(1), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long")
+    return _placed(table(spark, sf, "part"), [other, number, F.floor(F.col("p_partkey") / 4096)], "p_partkey").select("p_partkey", "p_brand", "place")
+
+
 @query("t_sample_order", "SELECT doc_id, source FROM documents ORDER BY CASE WHEN lang = 'fr' THEN 0 ELSE 1 END, source NULLS FIRST, doc_id LIMIT 100")
 def t_sample_order(spark, sf):
     return table(spark, sf, "documents").orderBy(F.when(F.col("lang") == "fr", 0).otherwise(1), "source", "doc_id").limit(100).select("doc_id", "source")
 
 
+@query("t_sample_order_all", "SELECT doc_id, source, row_number() OVER (ORDER BY CASE WHEN lang = 'fr' THEN 0 ELSE 1 END, source NULLS FIRST, doc_id) AS place FROM documents")
+def t_sample_order_all(spark, sf):
+    """Every document with its place in the order of ``t_sample_order``."""
+    other = F.when(F.col("lang") == "fr", 0).otherwise(1)
+    ranges = [other, F.col("source").isNotNull(), F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 4096)]
+    return _placed(table(spark, sf, "documents").select("doc_id", "source", "lang"), ranges, "doc_id").select("doc_id", "source", "place")
+
+
 @query("t_type_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, event_id) AS INT) AS place FROM events")
 def t_type_order(spark, sf):
     kind = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
@@ -62,11 +89,25 @@ def t_gloss_len(spark, sf):
     return b.orderBy(F.desc("n"), F.desc(F.length("text")), "item_id").limit(20).select("item_id", "n")
 
 
+@query("t_gloss_len_all", f"SELECT item_id, CAST(len({WORDS}) AS INT) AS n, row_number() OVER (ORDER BY len({WORDS}) DESC, length(text) DESC, item_id) AS place FROM benchmark")
+def t_gloss_len_all(spark, sf):
+    """Every benchmark text with its place in the order of ``t_gloss_len``."""
+    b = table(spark, sf, "benchmark").select("item_id", F.size(T.words(F.col("text"))).alias("n"), F.length("text").alias("chars"))
+    return _placed(b, [-F.col("n"), -F.col("chars"), F.floor(F.col("item_id") / 4096)], "item_id").select("item_id", "n", "place")
+
+
 @query("t_priority", f"SELECT word, CAST(count(*) AS BIGINT) AS n FROM ({TOK}) GROUP BY word ORDER BY n DESC, word LIMIT 100")
 def t_priority(spark, sf):
     return _words(spark, sf, "documents").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(100)
 
 
+@query("t_priority_all", f"SELECT word, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS place FROM ({TOK}) GROUP BY word")
+def t_priority_all(spark, sf):
+    """Every word with its place in the order of ``t_priority``."""
+    counts = _words(spark, sf, "documents").groupBy("word").agg(F.count("*").alias("n"))
+    return _placed(counts, [-F.col("n"), F.substring("word", 1, 3)], "word").select("word", "n", "place")
+
+
 @query("t_len_batch", "SELECT doc_id, CAST(floor((row_number() OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) - 1) / 32) AS BIGINT) AS batch FROM documents")
 def t_len_batch(spark, sf):
     """Batches of 32 documents of like length within each language and source."""
