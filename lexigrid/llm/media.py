@@ -206,10 +206,17 @@ def _walk(image: dict, first: int, one: bool, cols: int, rows: int, tall: int, w
 
 
 def thumbnail_hash(thumb: np.ndarray) -> str:
-    """64 bits: whether of 9 evenly picked columns in 8 evenly picked rows each is brighter than the one before."""
-    rows, cols = thumb.shape
-    pick = thumb[np.ix_(np.arange(8) * rows // 8, np.arange(9) * cols // 9)]
-    return np.packbits(pick[:, 1:] > pick[:, :-1]).tobytes().hex()
+    """64 bits: whether of 9 x 8 even cells each is brighter on average than the one before in its row of cells."""
+
+    def ends(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        start = np.arange(n) * size // n
+        return start, np.maximum(np.arange(1, n + 1) * size // n, start + 1)
+
+    (top, bottom), (left, right) = ends(8, thumb.shape[0]), ends(9, thumb.shape[1])
+    sums = np.pad(thumb.astype(np.int64).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+    cells = sums[np.ix_(bottom, right)] - sums[np.ix_(top, right)] - sums[np.ix_(bottom, left)] + sums[np.ix_(top, left)]
+    cells = cells / ((bottom - top)[:, None] * (right - left))
+    return np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
 
 
 def _batches(rows: list[dict], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ from lexigrid.llm.ngram_join import ngram_groups
 from lexigrid.llm.packing import pack
 from lexigrid.llm.quality import quality_scores
 from lexigrid.llm.repeats import repeat_digest
+from lexigrid.llm.shared import written
 from lexigrid.llm.simple8b import token_report
 from lexigrid.llm.url_filter import URL_SQL, judge_urls
 
@@ -43,7 +44,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(add_media(_table(spark, sf_dir, "documents")))
+    return media_features(written(add_media(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
