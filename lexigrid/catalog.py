@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexigrid.registry import QUERIES, SQL, Query
 
-MODULES = ("text", "filters", "joins", "aggregates", "windows", "ordering", "arrays", "sources", "streams")
+MODULES = ("text", "arabic", "morphology", "filters", "joins", "aggregates", "windows", "ordering", "arrays", "alignment", "sources", "streams")
 
 
 def _load() -> None:

@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 #: Latin letters with marks and what is left without them.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-#: Folded Arabic letters and digits.
-ARABIC, FOLDED = "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩", "اااايهوي0123456789"
-SUFFIXES = (("ies", "y"), ("ied", "y"), ("ness", ""), ("ing", "e"), ("ing", ""), ("ers", "er"), ("ed", "e"), ("ed", ""), ("es", ""), ("ly", ""), ("s", ""))
-STOPWORDS = ("the", "and", "for", "are", "was", "with", "this", "that", "from", "not", "you", "his", "her", "they", "but")
+# Endings with what stands for them, in the order in which they are tried; irregular forms; words without a sign.
+SUFFIXES = (("ies", "y"), ("ied", "y"), ("ves", "f"), ("sses", "ss"), ("es", ""), ("s", ""), ("ing", ""), ("ing", "e"), ("ed", ""), ("ed", "e"), ("ly", ""))
+IRREGULAR = {
+    "is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "am": "be", "has": "have", "had": "have", "did": "do", "does": "do",
+    "done": "do", "went": "go", "gone": "go", "made": "make", "said": "say", "gave": "give", "given": "give", "came": "come", "knew": "know",
+    "known": "know", "taught": "teach", "believed": "believe", "children": "child", "people": "person", "men": "man", "women": "woman",
+    "better": "good", "best": "good", "prayed": "pray", "fasted": "fast",
+}
+STOPWORDS = tuple(
+    """a an the is are am was were be been being to of and or but so that this these those it its there their they them he him his
+    she her we us our you your i me my do does did done has have had having will would shall should can could may might must as at
+    by for from in into on onto with about than then also very just which who whom whose what when where why how if""".split()
+)
 
 
 def words(text: Column) -> Column:
@@ -29,29 +38,30 @@ def tok_en(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9'’]+"), lambda x: x != "")
 
 
-def candidates_en(word: Column) -> Column:
-    """The word, then each suffix rule's form where at least three letters stay, then an undoubled consonant; in that order."""
-    ruled = [F.when(word.endswith(s) & (F.length(word) - len(s) >= 3), F.concat(F.substring(word, F.lit(1), F.length(word) - len(s)), F.lit(r))) for s, r in SUFFIXES]
-    doubled = F.regexp_extract(word, r"^([a-z]{2,}?)(bb|dd|gg|ll|mm|nn|pp|rr|tt)(?:ing|ed)$", 1)
-    last = F.substring(F.regexp_extract(word, r"^([a-z]{2,}?)(bb|dd|gg|ll|mm|nn|pp|rr|tt)(?:ing|ed)$", 2), 1, 1)
-    return F.array_distinct(F.filter(F.array(word, *ruled, F.when(doubled != "", F.concat(doubled, last))), lambda x: x.isNotNull()))
+def irregular_en(word: Column) -> Column:
+    """What an irregular form is a form of; null for any other word."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair)), word)
 
 
-def term_en(word: Column, policy: str = "last") -> Column:
-    """The word's index term: the last candidate or the shortest (the first of equals)."""
-    c = candidates_en(word)
-    if policy == "last":
-        return F.element_at(c, -1)
-    return F.array_min(F.transform(c, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("x"))))["x"]
+def candidates_en(word: Column) -> Column:
+    """The word, what it is an irregular form of, each ending's form where at least three letters stay, then the word with a
+    doubled consonant before -ing and -ed made single; in that order."""
+    n = F.length(word)
+    cut = lambda k: F.substring(word, F.lit(1), n - k)
+    ruled = [F.when(word.endswith(s) & (n - len(s) >= 3), F.concat(cut(len(s)), F.lit(r))) for s, r in SUFFIXES]
+    letter = lambda k: F.substring(word, n - k, F.lit(1))
+    single = [F.when(word.endswith(s) & (n > len(s) + 3) & (letter(len(s)) == letter(len(s) + 1)), cut(len(s) + 1)) for s in ("ing", "ed")]
+    return F.array_distinct(F.filter(F.array(word, irregular_en(word), *ruled, *single), lambda x: x.isNotNull()))
 
 
-def strip_ar(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "[ً-ْٰـ]", ""), " +", " "))
+def term_en(word: Column) -> Column:
+    """The word's index term: its last candidate."""
+    return F.element_at(candidates_en(word), -1)
 
 
-def norm_ar(text: Column) -> Column:
-    x = F.translate(strip_ar(text), ARABIC, FOLDED)
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[^ء-ي0-9 ]", " "), " +", " "))
+def least_form(forms: Column) -> Column:
+    """The shortest form, of equals the first by text."""
+    return F.array_min(F.transform(forms, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
 
 
 def norm_tr(text: Column) -> Column:
@@ -71,9 +81,13 @@ def norm_ur(text: Column) -> Column:
     return F.translate(text, "يكةأإآ", "یکہااا")
 
 
+#: Plural and oblique endings.
+URDU_ENDINGS = ("وں", "یں", "ات", "ے")
+
+
 def forms_ur(word: Column) -> Column:
     """The word and it without one plural or oblique ending, where two letters stay."""
-    cut = [F.when(word.endswith(s) & (F.length(word) - len(s) >= 2), F.substring(word, F.lit(1), F.length(word) - len(s))) for s in ("وں", "یں", "ات", "ے")]
+    cut = [F.when(word.endswith(s) & (F.length(word) - len(s) >= 2), F.substring(word, F.lit(1), F.length(word) - len(s))) for s in URDU_ENDINGS]
     return F.array_distinct(F.filter(F.array(word, *cut), lambda x: x.isNotNull()))
 
 

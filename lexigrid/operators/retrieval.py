@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+BLOCK = 4096
 
 
 def postings(docs: DataFrame, terms: str = "words", doc: str = "doc_id") -> DataFrame:
@@ -37,14 +41,26 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str =
 
 def top(scored: DataFrame, k: int, by: str, *order) -> DataFrame:
     """The first k rows of each ``by``, with a rank from 0."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).where(F.col("rank") < k)
+    placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+    return placed.withColumn("rank", F.col("rank") - 1)  # the filter on the plain number lets each task keep k rows a group
+
+
+def dot(x: Column | str, y: Column | str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+
+
+def distance(x: Column | str, y: Column | str) -> Column:
+    """Euclidean."""
+    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2))), F.lit(0.0), lambda a, b: a + b))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, vec: str = "vec_id", query: str = "query_id") -> DataFrame:
-    """Dot products of every query with every other vector.  The query set is stated by the caller and broadcast in blocks."""
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    asked = F.broadcast(queries.select(F.col(vec).alias(query), F.col("embedding").alias("q")))
-    return vectors.join(asked, F.col(vec) != F.col(query)).select(query, vec, dot.alias("score"))
+def dense(vectors: DataFrame, queries: DataFrame, measure: Callable[[str, str], Column] = dot, vec: str = "vec_id", query: str = "query_id") -> DataFrame:
+    """The measure of every query with every other vector.  The query set is stated by the caller; it is broadcast in blocks of
+    about ``BLOCK`` queries each, so no broadcast grows with it."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    asked = queries.select(F.col(vec).alias(query), F.col("embedding").alias("q"), F.pmod(F.xxhash64(vec), F.lit(blocks)).alias("block"))
+    parts = [vectors.join(F.broadcast(asked.where(F.col("block") == k)), F.col(vec) != F.col(query)).select(query, vec, measure("embedding", "q").alias("score")) for k in range(blocks)]
+    return reduce(DataFrame.union, parts)
 
 
 def fuse(lists: list[DataFrame], query: str, item: str, k: int = 60) -> DataFrame:

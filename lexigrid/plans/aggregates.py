@@ -175,8 +175,8 @@ def a_micro_prf(spark, sf):
 
 @query("a_bootstrap")
 def a_bootstrap(spark, sf):
-    """95 % interval of the mean quality over 200 resamples: each row's weight in a resample is a Poisson(1) draw from a hash."""
-    draws = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1_000_000)) / 1_000_000)
+    """95 % interval of the mean quality over 1000 resamples: each row's weight in a resample is a Poisson(1) draw from a hash."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1_000_000)) / 1_000_000)
     weight = lambda u: sum((F.when(u > p, 1).otherwise(0) for p in (0.735759, 0.919699, 0.981012, 0.99634)), F.when(u > 0.367879, 1).otherwise(0))
     rows = table(spark, sf, "labels").select("quality", F.posexplode(draws).alias("k", "u")).withColumn("w", weight(F.col("u")))
     means = rows.groupBy("k").agg((F.sum(F.col("quality") * F.col("w")) / F.sum("w")).alias("mean"))
@@ -220,19 +220,33 @@ def a_spearman(spark, sf):
     return r.groupBy("c_nationkey").agg(F.round(F.corr("a", "b"), 6).alias("rho"), F.count("*").alias("n")).where("n > 2").drop("n")
 
 
-@query("a_lag_select", "WITH s AS (SELECT user_id, ts, value FROM events), k AS (SELECT unnest([1, 2, 3]) AS k) SELECT k, round(avg(d), 6) AS mean FROM (SELECT k, abs(value - CASE k WHEN 1 THEN l1 WHEN 2 THEN l2 ELSE l3 END) AS d FROM k, (SELECT value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, lag(value, 3) OVER w AS l3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY k")
+@query("a_lag_select", "WITH k AS (SELECT unnest([1, 2, 3]) AS k), m AS (SELECT k, round(avg(d), 6) AS mean FROM (SELECT k, abs(value - CASE k WHEN 1 THEN l1 WHEN 2 THEN l2 ELSE l3 END) AS d FROM k, (SELECT value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, lag(value, 3) OVER w AS l3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY k) SELECT k, mean, k = (SELECT arg_min(k, (mean, k)) FROM m) AS picked FROM m")
 def a_lag_select(spark, sf):
+    """Mean difference at each lag, and which lag has the least."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     lags = F.array(*[F.struct(F.lit(k).alias("k"), F.abs(F.col("value") - F.lag("value", k).over(w)).alias("d")) for k in (1, 2, 3)])
-    return table(spark, sf, "events").select(lags.alias("lags")).select(F.explode("lags").alias("x")).groupBy("x.k").agg(F.round(F.avg("x.d"), 6).alias("mean"))
+    means = table(spark, sf, "events").select(lags.alias("lags")).select(F.explode("lags").alias("x")).groupBy("x.k").agg(F.round(F.avg("x.d"), 6).alias("mean"))
+    best = F.min(F.struct("mean", "k")).over(Window.partitionBy())  # a row for each lag
+    return means.select("k", "mean", (F.col("k") == best["k"]).alias("picked"))
 
 
-@query("a_sample_strat", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS rn FROM events) WHERE rn <= CASE event_type WHEN 'purchase' THEN 20 WHEN 'error' THEN 5 ELSE 10 END")
+_PLAN = "CASE event_type WHEN 'purchase' THEN 20 WHEN 'error' THEN n + 15 ELSE 10 END"
+
+
+@query("a_sample_strat", f"""WITH c AS (SELECT event_type, n, least(n, {_PLAN}) AS own, greatest(0, {_PLAN} - n) AS short FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)),
+p AS (SELECT event_type, own + greatest(0, least(n - own, sum(short) OVER () - coalesce(sum(n - own) OVER (ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM c)
+SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS rn FROM events) JOIN p USING (event_type) WHERE rn <= take""")
 def a_sample_strat(spark, sf):
-    """A planned number of each stratum, picked by a hash."""
+    """A planned number of each stratum, picked by a hash; what a stratum lacks is taken from the others in order of name.  Errors
+    are planned to lack fifteen."""
+    events = table(spark, sf, "events")
+    counts = events.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("plan", F.expr(_PLAN))
+    own, every = F.least("n", "plan"), Window.partitionBy()  # a row for each stratum
+    before = F.coalesce(F.sum("left").over(Window.orderBy("event_type").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = counts.withColumns({"left": F.col("n") - own, "short": F.sum(F.greatest(F.lit(0), F.col("plan") - F.col("n"))).over(every)})
+    takes = dealt.select("event_type", (own + F.greatest(F.lit(0), F.least(F.col("left"), F.col("short") - before))).alias("take"))
     rn = F.row_number().over(Window.partitionBy("event_type").orderBy(F.md5(F.col("event_id").cast("string")), "event_id"))
-    plan = F.when(F.col("event_type") == "purchase", 20).when(F.col("event_type") == "error", 5).otherwise(10)
-    return table(spark, sf, "events").withColumn("rn", rn).where(F.col("rn") <= plan).select("event_type", "event_id")
+    return events.withColumn("rn", rn).join(takes, "event_type").where("rn <= take").select("event_type", "event_id")
 
 
 @query("a_cap_ratio", "SELECT lower(w) AS word, round(avg(CASE WHEN regexp_matches(w, '^[A-Z]') THEN 1.0::DOUBLE ELSE 0 END), 6) AS ratio FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1")

@@ -50,14 +50,6 @@ def v_gloss_acc(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", F.when(F.size("ref") > 0, F.round(hits / F.size("ref"), 6)).alias("acc"))
 
 
-@query("v_dtw")
-def v_dtw(spark, sf):
-    """Each user's series of values against that of the next user id."""
-    s = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("series"))
-    after = s.select((F.col("user_id") - 1).alias("user_id"), F.col("series").alias("other"))
-    return s.join(after, "user_id").select("user_id", Q.warp_distance("series", "other").alias("distance"))
-
-
 VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 

@@ -60,17 +60,6 @@ def f_ruling(spark, sf):
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.lower("text").rlike("(^|[^a-z])(the|is)([^a-z]|$)").alias("referred"))
 
 
-LEVEL = f"""CASE WHEN list_has_any(w, ['worthless', 'stupid', 'idiot']) THEN 'D' WHEN contains(concat(' ', array_to_string(w, ' '), ' '), ' of the ') THEN 'C' ELSE 'B' END"""
-
-
-@query("f_level", f"SELECT level, CAST(count(*) AS BIGINT) AS n FROM (SELECT {LEVEL} AS level FROM (SELECT {WORDS} AS w FROM documents)) GROUP BY level")
-def f_level(spark, sf):
-    """Trigger words first, then an adjacent phrase, else the default."""
-    w = T.words(F.col("text"))
-    phrase = F.contains(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), F.lit(" of the "))
-    level = F.when(F.arrays_overlap(w, F.array(*map(F.lit, ("worthless", "stupid", "idiot")))), "D").when(phrase, "C").otherwise("B")
-    return table(spark, sf, "documents").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
-
 
 @query("f_name", """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), n AS (SELECT lower(word) AS word, count(*) AS n, count(*) FILTER (WHERE regexp_matches(word, '^[A-Z]')) AS capital FROM w GROUP BY 1)
 SELECT word, CAST(n AS BIGINT) AS n, CAST(capital AS BIGINT) AS capital FROM n WHERE n >= 2 AND 10 * capital >= 9 * n""")
@@ -90,9 +79,17 @@ def f_review(spark, sf):
     return orders.select("o_orderkey")
 
 
-@query("f_ref_valid", "SELECT page_id, regexp_full_match(url, '[a-z]+://[a-z0-9.-]+/.*') AND length(url) BETWEEN 10 AND 200 AS valid FROM pages")
+_REF = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', ':') WHEN 2 THEN CAST(page_id % 140 AS VARCHAR) || ':' || CAST(page_id % 7 AS VARCHAR) WHEN 3 THEN upper(url) ELSE CAST(page_id AS VARCHAR) || ':x' END"
+
+
+@query("f_ref_valid", f"SELECT page_id, (regexp_full_match(r, '[a-z]+://[a-z0-9.-]+/.*') AND length(r) BETWEEN 10 AND 200) OR (regexp_full_match(r, '[0-9]+:[0-9]+') AND coalesce(TRY_CAST(regexp_extract(r, '^([0-9]+):([0-9]+)$', 1) AS BIGINT), 0) BETWEEN 1 AND 114 AND coalesce(TRY_CAST(regexp_extract(r, '^([0-9]+):([0-9]+)$', 2) AS BIGINT), 0) >= 1) AS valid FROM (SELECT page_id, {_REF} AS r FROM pages)")
 def f_ref_valid(spark, sf):
-    return table(spark, sf, "pages").select("page_id", (F.col("url").rlike("^[a-z]+://[a-z0-9.-]+/[^\n]*$") & F.length("url").between(10, 200)).alias("valid"))
+    """References are urls, or chapter:verse with chapters 1 to 114 and verses from 1; other ones are made of some urls first."""
+    ref = F.expr(_REF.replace("VARCHAR", "STRING")).alias("r")
+    chapter, verse = (F.regexp_extract("r", "^([0-9]{1,9}):([0-9]{1,9})$", k) for k in (1, 2))
+    url = F.col("r").rlike("^[a-z]+://[a-z0-9.-]+/[^\n]*$") & F.length("r").between(10, 200)
+    place = F.when(chapter != "", chapter.cast("long").between(1, 114) & (verse.cast("long") >= 1)).otherwise(False)
+    return table(spark, sf, "pages").select("page_id", ref).select("page_id", (url | place).alias("valid"))
 
 
 @query("f_dur", "SELECT CASE WHEN l_quantity < 5 THEN 'short' WHEN l_quantity > 45 THEN 'long' WHEN l_discount > 0.08 THEN 'unseen' ELSE 'ok' END AS reason, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")

@@ -51,13 +51,6 @@ def j_cascade_tr(spark, sf):
     return L.priority_routes(exact, unique(five), unique(six))
 
 
-@query("j_cascade_ar", CASCADE + " SELECT v.word, CASE WHEN length(v.word) < 3 THEN NULL ELSE arg_min(entry, route) END AS entry FROM v LEFT JOIN routes r ON v.word = r.word GROUP BY v.word")
-def j_cascade_ar(spark, sf):
-    """The same cascade with a veto: words of fewer than three letters match nothing."""
-    hit = j_cascade_tr(spark, sf).where("length(word) >= 3")
-    return _vocab(spark, sf).join(hit, "word", "left").select("word", "entry")
-
-
 @query("j_lemma_index", f"SELECT left(key, 4) AS lemma, arg_min(key, length(key) * 1000000 + 0) AS entry FROM (SELECT key, left(key, 4) AS lemma, count(*) OVER (PARTITION BY left(key, 4)) AS n FROM ({LEX})) WHERE n = 1 GROUP BY ALL")
 def j_lemma_index(spark, sf):
     """Lemmas (here: first four letters) that name one entry only."""
@@ -155,9 +148,15 @@ def t_dense(spark, sf):
     return _dense(spark, sf).where("rank < 5").select("query_id", "vec_id", "rank")
 
 
-@query("j_nearest_vec", DENSE + " SELECT query_id, vec_id FROM ranked WHERE rank = 0")
+NEAREST = DENSE.replace("list_dot_product(e::DOUBLE[], embedding::DOUBLE[])", "list_distance(e::DOUBLE[], embedding::DOUBLE[])").replace("DESC, vec_id", ", vec_id")
+
+
+@query("j_nearest_vec", NEAREST + " SELECT query_id, vec_id, round(score, 5) AS distance FROM ranked WHERE rank = 0")
 def j_nearest_vec(spark, sf):
-    return _dense(spark, sf).where("rank = 0").select("query_id", "vec_id")
+    """The vector at the least Euclidean distance from each of the query set."""
+    vectors = table(spark, sf, "embeddings")
+    near = R.dense(vectors, vectors.where("vec_id % 100 = 0"), R.distance).groupBy("query_id").agg(F.min(F.struct(F.round("score", 6).alias("score"), "vec_id")).alias("best"))
+    return near.select("query_id", "best.vec_id", F.round("best.score", 5).alias("distance"))
 
 
 FUSED = BM25 + """, lists AS (SELECT item_id, doc_id, rank FROM ranked WHERE rank < 10
@@ -268,10 +267,12 @@ def j_nearest_key(spark, sf):
 
     Ranges of ids are worked on side by side; what comes after a range is carried by one row for each range.
     """
-    width = 10_000
-    e = table(spark, sf, "events").select("event_id", "event_type").withColumn("range", F.floor(F.col("event_id") / width))
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    width = max(10_000, ((high or 0) - (low or 0)) // 1000)  # a thousand ranges at most
+    e = e.withColumn("range", F.floor(F.col("event_id") / width))
     key = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    after = Window.partitionBy("range").orderBy("event_id").rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy("range").orderBy(F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
     firsts = e.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last"))
     later = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)  # a row for each range
     carried = firsts.select("range", F.min("first").over(later).alias("next"), F.max("last").over(Window.partitionBy()).alias("last"))
@@ -306,16 +307,20 @@ def j_phrase_window(spark, sf):
     return hits.withColumn("near", other).where("w = 'the' AND near").groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
-@query("j_twins", """WITH s AS (SELECT DISTINCT o_custkey AS k, CAST(o_orderdate AS DATE) AS m FROM orders), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), i AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM s a JOIN s b ON a.m = b.m AND a.k < b.k GROUP BY a.k, b.k)
+@query("j_twins", """WITH s AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS m FROM orders UNION SELECT o_custkey + 1000000000, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 9 <> 0), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), i AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM s a JOIN s b ON a.m = b.m AND a.k < b.k GROUP BY a.k, b.k)
 SELECT a, b, round(shared::DOUBLE / (x.n + y.n - shared), 6) AS jaccard FROM i JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 10 * shared >= 7 * (x.n + y.n - shared)""")
 def j_twins(spark, sf):
-    """Customers whose sets of order days are alike (Jaccard 0.7 or more): they share one of the rarest days of each."""
-    s = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("m")).distinct()
+    """Customers whose sets of order days are alike (Jaccard 0.7 or more): they share one of the rarest days of each, where sizes and
+    places in the order of all sets leave room for that.  Each customer has a twin that lacks one order in nine."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("m"), "o_orderkey")
+    s = orders.select("k", "m").union(orders.where("o_orderkey % 9 <> 0").select(F.col("k") + 1_000_000_000, "m")).distinct()
     days = s.groupBy("m").agg(F.count("*").alias("n"))
     sets = s.join(days, "m").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "m")))["m"].alias("ms"))
-    starts = sets.select("k", "ms", F.explode(F.slice("ms", F.lit(1), F.size("ms") - F.ceil(F.size("ms") * 0.7).cast("int") + 1)).alias("key"))
-    x, y = starts.select(F.col("k").alias("a"), F.col("ms").alias("p"), "key"), starts.select(F.col("k").alias("b"), F.col("ms").alias("q"), "key")
-    both = x.join(y, "key").where("a < b").select("a", "b", "p", "q").distinct().withColumn("n", F.size(F.array_intersect("p", "q")))
+    starts = sets.select("k", "ms", F.posexplode(F.slice("ms", F.lit(1), F.size("ms") - F.ceil(F.size("ms") * 0.7).cast("int") + 1)).alias("i", "key"))
+    x, y = (starts.select(F.col("k").alias(k), F.col("ms").alias(m), (F.size("ms") - F.col("i")).alias(f"room_{k}"), "key") for k, m in (("a", "p"), ("b", "q")))
+    n, m = F.size("p"), F.size("q")
+    room = (10 * n >= 7 * m) & (10 * m >= 7 * n) & (17 * F.least("room_a", "room_b") >= 7 * (n + m))
+    both = x.join(y, "key").where((F.col("a") < F.col("b")) & room).select("a", "b", "p", "q").distinct().withColumn("n", F.size(F.array_intersect("p", "q")))
     both = both.withColumn("all", F.size("p") + F.size("q") - F.col("n"))
     return both.where("10 * n >= 7 * all").select("a", "b", F.round(F.col("n") / F.col("all"), 6).alias("jaccard"))
 

@@ -113,3 +113,23 @@ def snk_pg_update(spark, sf):
 @query("snk_md_tex", "SELECT '| ' || n_name || ' | ' || n_regionkey || ' |' AS line FROM nation")
 def snk_md_tex(spark, sf):
     return table(spark, sf, "nation").select(F.format_string("| %s | %d |", "n_name", "n_regionkey").alias("line"))
+
+
+@query("snk_jsonl", "SELECT doc_id, md5(text) AS text_md5, lang FROM documents")
+def snk_jsonl(spark, sf):
+    """Rows as lines of JSON, letters as they are, read back."""
+    path = S.scratch(spark, "jsonl")
+    table(spark, sf, "documents").select("doc_id", "text", "lang").write.option("ignoreNullFields", False).json(path)
+    return S.read_jsonl(spark, path, "doc_id long, text string, lang string").select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
+@query("snk_report", "SELECT r_name AS region, CAST(count(*) AS BIGINT) AS nations, string_agg(n_name, ',' ORDER BY n_name) AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def snk_report(spark, sf):
+    """A nested report in a folder for each id: a region with its nations, read back."""
+    path = S.scratch(spark, "report")
+    r = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = r.groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list("n_name")).alias("names"))  # a region's nations
+    report = rows.select(F.col("r_regionkey").alias("id"), F.struct(F.col("r_name").alias("region"), F.struct(F.size("names").alias("n"), "names").alias("nations")).alias("report"))
+    report.write.partitionBy("id").json(path)
+    got = spark.read.schema("report struct<region: string, nations: struct<n: long, names: array<string>>>, id int").json(path)
+    return got.select("report.region", F.col("report.nations.n").alias("nations"), F.array_join("report.nations.names", ",").alias("names"))

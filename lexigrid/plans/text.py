@@ -34,15 +34,23 @@ def s_tok_en(spark, sf):
 
 
 _RULES = [f"CASE WHEN ends_with(word, '{s}') AND length(word) - {len(s)} >= 3 THEN concat(left(word, length(word) - {len(s)}), '{r}') END" for s, r in T.SUFFIXES]
-_DOUBLE = "^([a-z]{2,}?)(bb|dd|gg|ll|mm|nn|pp|rr|tt)(?:ing|ed)$"
+_SINGLE = [f"CASE WHEN ends_with(word, '{s}') AND length(word) > {len(s) + 3} AND word[-{len(s) + 1}] = word[-{len(s) + 2}] THEN left(word, length(word) - {len(s) + 1}) END" for s in ("ing", "ed")]
+_IRREGULAR = f"CASE word {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in T.IRREGULAR.items())} END"
 CANDIDATES = f"""SELECT word, pos, cand FROM (
   SELECT word, cand, pos, row_number() OVER (PARTITION BY word, cand ORDER BY pos) AS rn FROM (
-    SELECT word, unnest(range({len(T.SUFFIXES) + 2})) AS pos, unnest([word, {', '.join(_RULES)},
-      CASE WHEN regexp_extract(word, '{_DOUBLE}', 1) <> '' THEN concat(regexp_extract(word, '{_DOUBLE}', 1), left(regexp_extract(word, '{_DOUBLE}', 2), 1)) END]) AS cand
-    FROM ({VOCAB}))
+    SELECT word, unnest(range({len(T.SUFFIXES) + 4})) AS pos, unnest([word, {_IRREGULAR}, {', '.join(_RULES + _SINGLE)}]) AS cand FROM ({VOCAB}))
   WHERE cand IS NOT NULL) WHERE rn = 1"""
 
 
+@query("s_irreg", f"SELECT word, {_IRREGULAR} AS base FROM ({VOCAB}) WHERE {_IRREGULAR} IS NOT NULL UNION ALL SELECT concat(word, ' ', CAST(p_size AS VARCHAR)), {_IRREGULAR} FROM (SELECT ({list(T.IRREGULAR)})[1 + p_partkey % {len(T.IRREGULAR)}] AS word, p_size FROM part)")
+def s_irreg(spark, sf):
+    """Irregular forms among the words of all documents; and of each part, which is given one of the forms."""
+    base = T.irregular_en(F.col("word"))
+    given = F.element_at(F.array(*map(F.lit, T.IRREGULAR)), (1 + F.col("p_partkey") % len(T.IRREGULAR)).cast("int"))
+    parts = table(spark, sf, "part").select(given.alias("word"), "p_size").select(F.concat_ws(" ", "word", F.col("p_size").cast("string")).alias("word"), base.alias("base"))
+    return _vocab(spark, sf).select("word", base.alias("base")).where("base IS NOT NULL").unionAll(parts)
+
+
 @query("s_cand_en", f"SELECT word, string_agg(cand, ' ' ORDER BY pos) AS candidates FROM ({CANDIDATES}) GROUP BY word")
 def s_cand_en(spark, sf):
     return _vocab(spark, sf).select("word", F.concat_ws(" ", T.candidates_en(F.col("word"))).alias("candidates"))
@@ -54,9 +62,9 @@ def s_term_en(spark, sf):
     return kept.select("word", T.term_en(F.col("word")).alias("term"))
 
 
-@query("s_term_min", f"SELECT word, arg_min(cand, length(cand) * 1000 + pos) AS term FROM ({CANDIDATES}) GROUP BY word")
+@query("s_term_min", f"SELECT word, arg_min(cand, (length(cand), cand)) AS term FROM ({CANDIDATES}) GROUP BY word")
 def s_term_min(spark, sf):
-    return _vocab(spark, sf).select("word", T.term_en(F.col("word"), "shortest").alias("term"))
+    return _vocab(spark, sf).select("word", T.least_form(T.candidates_en(F.col("word"))).alias("term"))
 
 
 @query("s_forms_en", f"""SELECT d.doc_id, CAST(count(DISTINCT c.cand) AS BIGINT) AS n_forms
@@ -71,28 +79,19 @@ def s_stop(spark, sf):
     return _vocab(spark, sf).select("word", F.col("word").isin(*T.STOPWORDS).alias("is_stop"))
 
 
-@query("s_strip_ar", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ً-ْٰـ]', '', 'g'), ' +', ' ', 'g'))) AS stripped FROM documents")
-def s_strip_ar(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(T.strip_ar(F.col("text"))).alias("stripped"))
-
-
-@query("s_norm_ar", f"""SELECT doc_id, trim(regexp_replace(regexp_replace(translate(trim(regexp_replace(regexp_replace(text, '[ً-ْٰـ]', '', 'g'), ' +', ' ', 'g')),
-  '{T.ARABIC}', '{T.FOLDED}'), '[^ء-ي0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents""")
-def s_norm_ar(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.norm_ar(F.col("text")).alias("norm"))
-
-
-TR = "regexp_replace(lower(translate(text, 'Iİ', 'ıi')), '[^a-z0-9çğıöşüâîû ]', '', 'g')"
+#: Texts with Turkish letters for some Latin ones.
+LATIN_TR, TURKISH = "QWXqwxIJVjv", "İĞŞığşIâîûç"
+TR = f"regexp_replace(lower(translate(translate(text, '{LATIN_TR}', '{TURKISH}'), 'Iİ', 'ıi')), '[^a-z0-9çğıöşüâîû ]', '', 'g')"
 
 
 @query("s_norm_tr", f"SELECT doc_id, md5({TR}) AS norm FROM documents")
 def s_norm_tr(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(T.norm_tr(F.col("text"))).alias("norm"))
+    return _docs(spark, sf).select("doc_id", F.md5(T.norm_tr(F.translate("text", LATIN_TR, TURKISH))).alias("norm"))
 
 
 @query("s_fold_tr", f"SELECT doc_id, md5(translate({TR}, 'âîû', 'aiu')) AS folded FROM documents")
 def s_fold_tr(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(T.fold_tr(F.col("text"))).alias("folded"))
+    return _docs(spark, sf).select("doc_id", F.md5(T.fold_tr(F.translate("text", LATIN_TR, TURKISH))).alias("folded"))
 
 
 @query("s_forms_tr", f"SELECT word, CASE WHEN length(word) > 5 THEN concat(word, ' ', left(word, 5)) ELSE word END AS forms FROM ({VOCAB})")
@@ -100,9 +99,11 @@ def s_forms_tr(spark, sf):
     return _vocab(spark, sf).select("word", F.concat_ws(" ", T.forms_tr(F.col("word"))).alias("forms"))
 
 
-@query("s_norm_ur", "SELECT doc_id, md5(translate(text, 'يكةأإآ', 'یکہااا')) AS norm FROM documents")
+@query("s_norm_ur", "SELECT doc_id, md5(translate(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'أبةديفغهيجكلمنوقإرستآوعخيز'), 'يكةأإآ', 'یکہااا')) AS norm FROM documents")
 def s_norm_ur(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(T.norm_ur(F.col("text"))).alias("norm"))
+    """Texts written with Arabic letters first."""
+    written = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "أبةديفغهيجكلمنوقإرستآوعخيز")
+    return _docs(spark, sf).select("doc_id", written.alias("text")).select("doc_id", F.md5(T.norm_ur(F.col("text"))).alias("norm"))
 
 
 @query("s_gloss_key", f"SELECT p_partkey, {NORM.replace('text', chr(112) + '_gloss')} AS gloss_key FROM (SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[_-]', ' ', 'g'), '[0-9]', '', 'g') AS p_gloss FROM part)")
@@ -186,9 +187,11 @@ def s_labelkind(spark, sf):
     return _docs(spark, sf).select(label.alias("label")).distinct().withColumn("kind", F.split_part("label", F.lit("+"), F.lit(1)))
 
 
-@query("s_null_json", "SELECT event_id, CASE WHEN isnan(value) THEN NULL ELSE round(value, 2) END AS value FROM events")
+@query("s_null_json", "SELECT event_id, CASE WHEN isnan(v) THEN NULL ELSE round(v, 2) END AS value FROM (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'nan'::DOUBLE WHEN event_id % 17 <> 0 THEN value END AS v FROM events)")
 def s_null_json(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.when(~F.isnan("value"), F.round("value", 2)).alias("value"))
+    """Every thirteenth value is made no number and every seventeenth null first."""
+    v = F.when(F.col("event_id") % 13 == 0, float("nan")).when(F.col("event_id") % 17 != 0, F.col("value"))
+    return table(spark, sf, "events").select("event_id", v.alias("v")).select("event_id", F.when(~F.isnan("v"), F.round("v", 2)).alias("value"))
 
 
 @query("s_frames_sec", "SELECT event_id, CAST(round(value * 25) AS BIGINT) AS frame, round(round(value * 25) / 25, 3) AS second, CAST(round(value * 25) + 1 AS BIGINT) AS end_exclusive FROM events")

@@ -41,12 +41,12 @@ def w_rrf_rank(spark, sf):
     return _events(spark, sf).select("user_id", "event_id", F.round(1 / (60 + rank), 6).alias("part"))
 
 
-@query("w_per_signer", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) AS rn FROM a WHERE k = 1) SELECT event_type, user_id, event_id FROM b WHERE rn <= 12")
+@query("w_per_signer", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY k, user_id) AS rn FROM a) SELECT event_type, user_id, event_id FROM b WHERE rn <= 12")
 def w_per_signer(spark, sf):
-    """One row for each signer, of the first twelve."""
-    first = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    one = _events(spark, sf).withColumn("k", F.row_number().over(first)).where("k = 1")
-    return one.withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy("user_id"))).where("rn <= 12").select("event_type", "user_id", "event_id")
+    """Round after round over the signers, each giving its next row, until there are twelve rows."""
+    own = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    turns = _events(spark, sf).withColumn("k", F.row_number().over(own)).where("k <= 12")
+    return turns.withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy("k", "user_id"))).where("rn <= 12").select("event_type", "user_id", "event_id")
 
 
 @query("w_diff", f"SELECT event_id, round(value - lag(value, 1, value) OVER w, 6) AS diff FROM events {SER}")
@@ -106,10 +106,19 @@ def w_median_filter(spark, sf):
     return _events(spark, sf).select("event_id", F.round(middle, 6).alias("smooth"))
 
 
-@query("w_hann", f"SELECT event_id, round(0.25::DOUBLE * coalesce(lag(value) OVER w, value) + 0.5::DOUBLE * value + 0.25::DOUBLE * coalesce(lead(value) OVER w, value), 6) AS smooth FROM events {SER}")
+#: Five taps of a Hann window: sin^2(pi * k / 6) for k = 1 to 5, over their sum.
+HANN = (1 / 12, 3 / 12, 4 / 12, 3 / 12, 1 / 12)
+
+
+@query("w_hann", f"""WITH n AS ({NUM}), c AS (SELECT user_id, max(f) AS last FROM n GROUP BY user_id), t AS (SELECT unnest([-2, -1, 0, 1, 2]) AS o, unnest([1, 3, 4, 3, 1]) AS h)
+SELECT n.event_id, round(sum(h * m.value) / 12::DOUBLE, 6) AS smooth FROM n JOIN c USING (user_id), t JOIN n m ON m.user_id = n.user_id AND m.f = greatest(0, least(last, n.f + o)) GROUP BY n.event_id""")
 def w_hann(spark, sf):
-    side = lambda x: F.coalesce(x.over(_w()), F.col("value"))
-    return _events(spark, sf).select("event_id", F.round(0.25 * side(F.lag("value")) + 0.5 * F.col("value") + 0.25 * side(F.lead("value")), 6).alias("smooth"))
+    """Five taps; beyond an edge the edge's value stands."""
+    first, last = F.min_by("value", F.struct("ts", "event_id")), F.max_by("value", F.struct("ts", "event_id"))
+    by = Window.partitionBy("user_id")
+    tap = {-2: F.lag("value", 2), -1: F.lag("value"), 1: F.lead("value"), 2: F.lead("value", 2)}
+    value = lambda k: F.col("value") if k == 0 else F.coalesce(tap[k].over(_w()), (first if k < 0 else last).over(by))
+    return _events(spark, sf).select("event_id", F.round(sum(h * value(k) for k, h in zip(range(-2, 3), HANN, strict=True)), 6).alias("smooth"))
 
 
 @query("w_boxcar", f"SELECT event_id, round((coalesce(lag(value) OVER w, 0) + value + coalesce(lead(value) OVER w, 0)) / 3, 6) AS smooth FROM events {SER}")
@@ -147,10 +156,15 @@ def w_resample_lin(spark, sf):
     return g.join(n, ["user_id", "f"]).select("user_id", "k", F.round(F.col("value") + (F.coalesce("after", "value") - F.col("value")) * part, 6).alias("value"))
 
 
-@query("w_resample_time", "SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY ALL")
+@query("w_resample_time", """WITH s AS (SELECT user_id, epoch_us(ts) AS t, arg_max(value, event_id) AS v FROM events GROUP BY ALL), b AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM s GROUP BY user_id),
+g AS (SELECT user_id, unnest(range(t0, t1 + 1, 21600000000)) AS t FROM b), p AS (SELECT g.user_id, g.t, s.t AS x0, s.v AS y0 FROM g ASOF JOIN s ON g.user_id = s.user_id AND g.t >= s.t),
+q AS (SELECT p.*, s.t AS x1, s.v AS y1 FROM p ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.t <= s.t)
+SELECT user_id, t, round(CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * ((t - x0)::DOUBLE / (x1 - x0)) END, 5) AS value FROM q""")
 def w_resample_time(spark, sf):
-    """The last value of each day."""
-    return _events(spark, sf).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.max_by("value", F.struct("ts", "event_id")), 6).alias("value"))
+    """A point every six hours from each series' first event to its last, on the line between the events around it."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)")
+    known = _events(spark, sf).groupBy("user_id", micros.alias("t")).agg(F.max_by("value", "event_id").alias("v"))
+    return S.resample_time(known, "t", "v", "user_id", 21_600_000_000).select("user_id", "t", F.round("value", 5).alias("value"))
 
 
 @query("w_norm_clip", "WITH m AS (SELECT *, median(value) OVER (PARTITION BY user_id) AS mid FROM events) SELECT event_id, round(value / mid, 6) AS norm FROM m WHERE mid <> 0")
@@ -179,12 +193,18 @@ def w_transition(spark, sf):
     return p.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select("event_id", "k", F.round(F.col("value") + (F.col("after") - F.col("value")) * (3 * s * s - 2 * s * s * s), 9).alias("value"))
 
 
-@query("w_velocity_seg", f"WITH d AS (SELECT *, abs(value - lag(value, 1, value) OVER w) AS v FROM events {SER}), m AS (SELECT *, max(v) OVER (PARTITION BY user_id) AS peak FROM d) SELECT user_id, CAST(count(*) FILTER (WHERE v >= 0.15 * peak) AS BIGINT) AS moving FROM m GROUP BY user_id")
+@query("w_velocity_seg", f"""WITH n AS ({NUM}), d AS (SELECT *, abs(value - lag(value, 1, value) OVER w) AS v FROM n WINDOW w AS (PARTITION BY user_id ORDER BY f)), m AS (SELECT *, v < 0.15 * max(v) OVER (PARTITION BY user_id) AS slow FROM d),
+r AS (SELECT *, f - row_number() OVER (PARTITION BY user_id, slow ORDER BY f) AS run FROM m), p AS (SELECT *, slow AND count(*) OVER (PARTITION BY user_id, slow, run) >= 8 AS pause FROM r),
+s AS (SELECT *, f - row_number() OVER (PARTITION BY user_id, pause ORDER BY f) AS seg FROM p)
+SELECT user_id, CAST(min(f) AS INT) AS start, CAST(max(f) + 1 AS INT) AS "end" FROM s WHERE NOT pause GROUP BY user_id, seg""")
 def w_velocity_seg(spark, sf):
-    """Rows that move at least 0.15 times as fast as the series' fastest."""
-    d = _events(spark, sf).withColumn("v", F.abs(F.col("value") - F.coalesce(F.lag("value").over(_w()), F.col("value"))))
-    m = d.withColumn("peak", F.max("v").over(Window.partitionBy("user_id")))
-    return m.groupBy("user_id").agg(F.count_if(F.col("v") >= F.lit(0.15) * F.col("peak")).alias("moving"))
+    """Pauses are 8 rows or more in a row that move less than 0.15 times as fast as the series' fastest; what lies between are segments."""
+    d = _numbered(spark, sf).withColumn("v", F.abs(F.col("value") - F.coalesce(F.lag("value").over(_w()), F.col("value"))))
+    m = d.withColumn("slow", F.col("v") < F.lit(0.15) * F.max("v").over(Window.partitionBy("user_id")))
+    runs = m.withColumn("run", F.col("f") - F.row_number().over(Window.partitionBy("user_id", "slow").orderBy("f")))
+    pause = F.col("slow") & (F.count("*").over(Window.partitionBy("user_id", "slow", "run")) >= 8)
+    segments = S.runs(runs.withColumn("pause", pause).drop("run"), ~F.col("pause"), "user_id", "f")
+    return segments.groupBy("user_id", "run").agg(F.min("f").alias("start"), (F.max("f") + 1).alias("end")).drop("run")
 
 
 @query("w_uniform_seg", f"SELECT user_id, CAST(f // 35 AS BIGINT) AS seg, CAST(count(*) AS BIGINT) AS n FROM ({NUM}) GROUP BY ALL HAVING count(*) >= 4")
@@ -192,19 +212,23 @@ def w_uniform_seg(spark, sf):
     return _numbered(spark, sf).groupBy("user_id", F.floor(F.col("f") / 35).alias("seg")).agg(F.count("*").alias("n")).where("n >= 4")
 
 
-@query("w_sliding", f"SELECT user_id, CAST(f AS INT) AS f FROM (SELECT user_id, f, count(*) OVER x AS n, count(*) FILTER (WHERE value > 20) OVER x AS a FROM ({NUM}) WINDOW x AS (PARTITION BY user_id ORDER BY f ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) WHERE n = 16 AND f % 4 = 0 AND a >= 0.6 * 16")
+@query("w_sliding", " UNION ALL ".join(f"SELECT user_id, CAST(f AS INT) AS f, {n} AS length FROM (SELECT user_id, f, count(*) OVER x AS n, count(*) FILTER (WHERE value > 20) OVER x AS a FROM ({NUM}) WINDOW x AS (PARTITION BY user_id ORDER BY f ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) WHERE n = {n} AND f % 4 = 0 AND 5 * a >= 3 * {n}" for n in (16, 24, 32, 44)))
 def w_sliding(spark, sf):
-    """Windows of 16 rows, step 4, with at least 60 % active rows."""
-    ahead = Window.partitionBy("user_id").orderBy("f").rowsBetween(0, 15)
-    n = _numbered(spark, sf).withColumns({"n": F.count("*").over(ahead), "a": F.count_if(F.col("value") > 20).over(ahead)})
-    return n.where("n = 16 AND f % 4 = 0 AND a >= 0.6 * 16").select("user_id", "f")
+    """Windows of 16, 24, 32 and 44 rows, step 4, with at least 60 % active rows: differences of running counts."""
+    active = F.sum(F.when(F.col("value") > 20, 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("f"))
+    n = _numbered(spark, sf).withColumn("on", F.when(F.col("value") > 20, 1).otherwise(0)).withColumn("upto", active)
+    ends = F.array(*(F.struct(F.lit(k).alias("length"), F.lead("upto", k - 1).over(Window.partitionBy("user_id").orderBy("f")).alias("upto")) for k in (16, 24, 32, 44)))
+    each = n.withColumn("ends", ends).where("f % 4 = 0").select("user_id", "f", (F.col("upto") - F.col("on")).alias("before"), F.explode("ends").alias("e"))
+    return each.where("5 * (e.upto - before) >= 3 * e.length").select("user_id", "f", "e.length")
 
 
-@query("w_hold", f"WITH s AS (SELECT user_id, f, sum(value) OVER (PARTITION BY user_id ORDER BY f ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s, count(*) OVER (PARTITION BY user_id ORDER BY f ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS n FROM ({NUM})) SELECT user_id, CAST(arg_min(f, (round(s, 6), f)) AS INT) AS start FROM s WHERE n = 4 GROUP BY user_id")
+@query("w_hold", f"""WITH d AS (SELECT *, abs(value - lag(value, 1, value) OVER (PARTITION BY user_id ORDER BY f)) AS v, count(*) OVER (PARTITION BY user_id) AS rows FROM ({NUM})), s AS (SELECT user_id, f, rows, sum(v) OVER x AS s, count(*) OVER x AS n FROM d WINDOW x AS (PARTITION BY user_id ORDER BY f ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
+SELECT user_id, CAST(arg_min(f, (round(s, 6), f)) AS INT) AS start FROM s WHERE n = 4 AND 10 * f >= rows AND 10 * (f + 4) <= 9 * rows GROUP BY user_id""")
 def w_hold(spark, sf):
-    """Start of the window of four rows with the least sum."""
+    """Start of the window of four rows with the least movement, in the middle 80 % of the series."""
+    d = _numbered(spark, sf).withColumns({"v": F.abs(F.col("value") - F.coalesce(F.lag("value").over(_w()), F.col("value"))), "rows": F.count("*").over(Window.partitionBy("user_id"))})
     ahead = Window.partitionBy("user_id").orderBy("f").rowsBetween(0, 3)
-    s = _numbered(spark, sf).withColumns({"s": F.sum("value").over(ahead), "n": F.count("*").over(ahead)}).where("n = 4")
+    s = d.withColumns({"s": F.sum("v").over(ahead), "n": F.count("*").over(ahead)}).where("n = 4 AND 10 * f >= rows AND 10 * (f + 4) <= 9 * rows")
     return s.groupBy("user_id").agg(F.min(F.struct(F.round("s", 6).alias("s"), "f"))["f"].alias("start"))
 
 
@@ -234,9 +258,9 @@ def w_caption_change(spark, sf):
     return d.join(m, "user_id").where("v > cut + 1e-9").select("event_id")
 
 
-@query("w_segment_fill", f"WITH k AS (SELECT *, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) SELECT event_id, round(coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0), 6) AS held FROM k")
+@query("w_segment_fill", f"""WITH n AS ({NUM}), k AS (SELECT *, CASE WHEN event_type <> 'error' THEN value END AS v, CASE WHEN event_type <> 'error' THEN f END AS x FROM n), b AS (SELECT event_id, f, max(x) OVER (PARTITION BY user_id ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x0, min(x) OVER (PARTITION BY user_id ORDER BY f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x1, user_id FROM k)
+SELECT b.event_id, round(CASE WHEN x0 IS NULL OR x1 IS NULL THEN coalesce(p.v, q.v, 0) WHEN x0 = x1 THEN p.v ELSE p.v + (q.v - p.v) * ((b.f - x0)::DOUBLE / (x1 - x0)) END, 5) AS filled FROM b LEFT JOIN k p ON p.user_id = b.user_id AND p.f = x0 LEFT JOIN k q ON q.user_id = b.user_id AND q.f = x1""")
 def w_segment_fill(spark, sf):
-    """Rows to fill hold the value before them, at the start the first one."""
-    v = F.when(F.col("event_type") != "error", F.col("value"))
-    past, future = _w().rowsBetween(Window.unboundedPreceding, 0), _w().rowsBetween(0, Window.unboundedFollowing)
-    return _events(spark, sf).withColumn("v", v).select("event_id", F.round(F.coalesce(F.last("v", True).over(past), F.first("v", True).over(future), F.lit(0.0)), 6).alias("held"))
+    """Rows to fill lie on the line between the rows around them; at the ends the nearest holds, 0 where there is none."""
+    e = _numbered(spark, sf).withColumn("v", F.when(F.col("event_type") != "error", F.col("value")))
+    return S.fill_linear(e, "v", "f", "user_id").select("event_id", F.round("filled", 5).alias("filled"))
