@@ -15,13 +15,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm.shared import shuffle_partitions, written, written_buckets
 
 BLOCK_BYTES = 4_000_000
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
+
+
+def buckets_for(spark: SparkSession, total: int) -> int:
+    """Buckets of about 16 MB of text, two at least for each task of a shuffle."""
+    return max(2 * shuffle_partitions(spark), -(-total // BUCKET_BYTES))
 
 
 def _pack(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -56,7 +61,7 @@ class BlockTable:
         blocks = rows.mapInArrow(_pack(block_bytes), "block long, ids array<long>, lens array<int>, data binary")
         self.table = written_buckets(blocks, label, "block", shuffle_partitions(spark))
         total = self.table.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-        self.bytes, self.buckets = total, max(32, -(-total // BUCKET_BYTES))
+        self.bytes, self.buckets = total, buckets_for(spark, total)
 
     def with_answers(self, *answers: DataFrame) -> DataFrame:
         """The blocks beside what was answered to them in each round: a0, a1, ... are arrays of (bucket, dup, own)."""

@@ -1,21 +1,23 @@
 """Scoring texts by a probabilistic suffix tree over words.
 
-States are contexts of the last 0, 1 or 2 words.  A context needs ``min_count`` occurrences to be looked at, and is retained
-if its next-word distribution diverges from that of the context one word shorter: with its next words a seen at least twice
-told apart and all others taken together, the sum of C(s,a) * ln(P(a|s) / P(a|s')) has to exceed half a logarithm of the training
-tokens for each word told apart (the cost of its probability in a description of the model).  Of a retained context's N(s)
-occurrences the M(s) before words told apart count for these, and the rest is smoothed over the shorter context,
+States are contexts of the last words, none to ``depth`` of them.  A context needs ``min_count`` occurrences to be looked at, and is
+retained if its next-word distribution diverges from that of the context one word shorter: with its next words a seen at least
+twice told apart and all others taken together, the sum of C(s,a) * ln(P(a|s) / P(a|s')) has to exceed half a logarithm of the
+training tokens for each word told apart (the cost of its probability in a description of the model).  Of a retained context's
+N(s) occurrences the M(s) before words told apart count for these, and the rest is smoothed over the shorter context,
 P(a|s) = (C(s,a) + (N(s) - M(s) + k) * P(a|s')) / (N(s) + k), down to the words' own P(a) = (c+1) / (N+V+1).  Each token is
 scored in the longest retained context that ends before it.  All of these sum to one over known words and one unknown word.
 
-Learning and scoring go over blocks of documents.  A block asks once for each of its distinct words, then pairs, then triples
-and contexts; counts are summed in the keys' buckets and sent back, so what is gathered grows with the corpus, is shuffled
-pre-aggregated by block and never meets in one task or the driver, however frequent a word.  Words are told apart by 64-bit
-hashes, pairs and triples by 32 bits and their bucket (one in some ten thousand may share its count with another).
+Texts become blocks of word numbers once.  A block asks once for each of its distinct words, then for its runs of 2, 3, ... words
+and for the contexts one word shorter than those just answered; counts are summed in the keys' buckets and sent back, so what is
+gathered grows with the corpus, is shuffled pre-aggregated by block and never meets in one task or the driver, however frequent a
+word.  A longer run is asked for only where the context before its last word is frequent enough and the run without its first
+word occurs twice, and the rounds end with ``depth`` or when no such run is left.  Words and runs are told apart by 64-bit hashes.
 
 Words are runs of anything but space and \\t \\n \\v \\f \\r with A-Z lower-cased; each text ends with one end token.  A null
 text is empty.  Documents whose id's crc32 (as text; null: empty) leaves the held-out remainder are scored but not learned
-from.  Repeated rows count as often as they stand.  An empty table gives an empty result.
+from.  Repeated rows count as often as they stand and are scored each.  An empty table gives an empty result; columns other than
+id and text aren't read.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.blocks import BlockTable
+from lexigrid.llm.blocks import BLOCK_BYTES, buckets_for
 from lexigrid.llm.ngram_join import LOWER
-from lexigrid.llm.shared import written
+from lexigrid.llm.shared import shuffle_partitions, written, written_buckets
 
 END = np.uint64(0xE17D5EED)
-WORDS, PAIRS, STATES1, TRIPLES, STATES2 = range(5)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,113 +46,150 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _grams(words: int) -> int:
+    """The kind of asked keys that are runs of so many words."""
+    return 2 * words
+
+
+def _states(words: int) -> int:
+    """The kind of asked keys that are contexts of so many words."""
+    return 2 * words + 1
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in one byte each where all fit, else in four."""
+    return x.astype(np.uint8 if not len(x) or x.max() < 256 else "<u4").tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n else "<u4").astype(np.int64)
+
+
 class _Sent:
-    """Distinct keys in the order sent (by bucket), with what is said about each."""
+    """Distinct keys, sorted and so by bucket, with what is said about each."""
 
     def __init__(self, keys: np.ndarray, buckets: int):
-        # most keys come sorted, from a unique()
-        self.order = None if (keys[1:] > keys[:-1]).all() else np.argsort(keys)
-        self.keys = keys if self.order is None else keys[self.order]
-        bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # rises with the key
+        self.keys = keys
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # rises with the key
         starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
         self.cuts = [(int(bucket[s]), int(s), int(e)) for s, e in zip(starts, np.append(starts[1:], len(keys)), strict=False)]
 
-    def rows(self, kind: int, block: int, values: np.ndarray, narrow: bool = True) -> Iterator[dict]:
-        values = values if self.order is None else values[self.order]
-        keys = (self.keys & np.uint64(0xFFFFFFFF)).astype("<u4") if narrow else self.keys
+    def rows(self, kind: int, block: int, values: np.ndarray) -> Iterator[dict]:
+        pack = _narrow if kind % 2 == 0 else np.ndarray.tobytes
         for b, s, e in self.cuts:
-            yield {"kind": kind, "bucket": b, "block": block, "keys": keys[s:e].tobytes(), "values": values[s:e].tobytes()}
+            yield {"kind": kind, "bucket": b, "block": block, "keys": self.keys[s:e].tobytes(), "values": pack(values[s:e])}
 
-    def answered(self, answers: dict, dtype: str, name: str = "total") -> np.ndarray:
-        out = np.zeros(len(self.keys), bool if name == "own" else dtype)
+    def counts(self, answers: dict) -> tuple[np.ndarray, np.ndarray]:
+        """For each run the total count, and whether the block is the one to speak for it."""
+        total, own = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), bool)
         for b, s, e in self.cuts:
-            got = np.frombuffer(answers[b][name], np.uint8 if name == "own" else dtype)
-            out[s:e] = np.unpackbits(got, count=e - s) if name == "own" else got
-        if self.order is not None:
-            out[self.order] = out.copy()
+            total[s:e] = _wide(answers[b]["total"], e - s)
+            own[s:e] = np.unpackbits(np.frombuffer(answers[b]["own"], np.uint8), count=e - s)
+        return total, own
+
+    def told_apart(self, answers: dict) -> np.ndarray:
+        """For each context its occurrences before words told apart; 0: not retained."""
+        out = np.zeros(len(self.keys))
+        for b, s, e in self.cuts:
+            out[s:e] = np.frombuffer(answers[b]["total"], "<f8")
         return out
 
 
 class SuffixTree:
-    """One block's part in each round; every round starts from the text and the answers of the rounds before."""
+    """One block's part in each round; every round starts from the words and the answers of the rounds before.
+
+    After r rounds the counts of runs of up to r words are known, and which contexts of up to r - 2 words are retained; the next
+    round asks for runs of r + 1 words and contexts of r - 1.
+    """
 
-    def __init__(self, buckets: int, min_count: int, smoothing: float, parts: int, held: int):
-        self.buckets, self.min_count, self.k, self.parts, self.held = buckets, min_count, smoothing, parts, held
+    def __init__(self, buckets: int, min_count: int, smoothing: float, parts: int, held: int, depth: int):
+        self.buckets, self.min_count, self.k, self.parts, self.held, self.depth = buckets, min_count, smoothing, parts, held, depth
         self.n = self.v = 0
 
     def held_out(self, doc: int | None) -> bool:
         return zlib.crc32(b"" if doc is None else str(doc).encode()) % self.parts == self.held
 
-    def _p0(self, count: np.ndarray) -> np.ndarray:
-        return (count + 1.0) / (self.n + self.v + 1.0)
-
-    def _state_rows(self, kind: int, block: int, sent: _Sent, place: np.ndarray, count: np.ndarray, own: np.ndarray, shorter: np.ndarray, seen: np.ndarray) -> Iterator[dict]:
-        """Each context's sums over the next words that the block owns: count, log-likelihood, number; and its occurrences."""
+    def _state_rows(self, kind: int, block: int, contexts: _Sent, place: np.ndarray, count: np.ndarray, own: np.ndarray, shorter: np.ndarray, seen: np.ndarray) -> Iterator[dict]:
+        """Each context's sums over the next words that the block speaks for: count, log-likelihood, number; and its occurrences."""
         mine = own & (count >= 2)
-        c, at, size = count[mine].astype(float), place[mine], len(sent.keys)
+        c, at, size = count[mine].astype(float), place[mine], len(contexts.keys)
         sums = [np.bincount(at, c, size), np.bincount(at, c * np.log(c / shorter[mine]), size), np.bincount(at, None, size).astype(float), seen.astype(float)]
-        return sent.rows(kind, block, np.stack(sums, axis=1))
-
-    def __call__(self, row: dict, answers: dict[int, dict], last: int) -> list[dict] | dict[str, np.ndarray]:
-        """Rows to ask in the round that follows the kind ``last`` of answers (-1: none yet), or the scores."""
-        at, parts, sizes = 0, [], []
-        for n in row["lens"]:
-            words = row["data"][at : at + n].translate(LOWER).split()
-            at += n
-            parts += [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), np.array([END])]
-            sizes.append(len(words) + 1)
-        token = np.concatenate(parts)
+        return contexts.rows(kind, block, np.stack(sums, axis=1))
+
+    def __call__(self, row: dict, answers: dict[int, dict], rounds: int) -> list[dict] | dict[str, np.ndarray]:
+        """Rows to ask after so many rounds, or the scores after the last."""
+        word, token, sizes, block = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<i4"), np.array(row["sizes"], np.int64), row["block"]
         ends = np.cumsum(sizes)
         train = np.repeat([not self.held_out(d) for d in row["ids"]], sizes)
-        block = row["block"]
-        word, token = np.unique(token, return_inverse=True)
         words = _Sent(word, self.buckets)
-        if last < WORDS:
-            return list(words.rows(WORDS, block, np.bincount(token[train], minlength=len(word)).astype("<u4"), narrow=False))
-        count = words.answered(answers.get(WORDS, {}), "<u4")
-
-        # pairs of a possible context and the word after it
-        inner = np.ones(len(token), bool)
-        inner[ends - np.array(sizes)] = False
-        before = np.roll(token, 1)
-        two = np.flatnonzero(inner & (count[before] >= self.min_count) & (count[token] >= 2))
-        pair, first, at2 = np.unique(_mix(word[before[two]] * STEP + word[token[two]]), return_index=True, return_inverse=True)
-        pairs = _Sent(pair, self.buckets)
-        if last < PAIRS:
-            return list(pairs.rows(PAIRS, block, np.bincount(at2[train[two]], minlength=len(pair)).astype("<u4")))
-        count2, own2 = pairs.answered(answers.get(PAIRS, {}), "<u4"), pairs.answered(answers.get(PAIRS, {}), "", "own")
-        context, next_ = before[two[first]], token[two[first]]  # of each pair
-        state = np.unique(before[inner & (count[before] >= self.min_count)])
-        place = np.searchsorted(state, context)
-        states = _Sent(_mix(word[state] + np.uint64(1)), self.buckets)
-        seen2 = np.zeros(len(token), np.int64)  # at each token: count of the pair that ends there
-        seen2[two] = count2[at2]
-        after = np.flatnonzero(inner & np.roll(inner, 1) & (np.roll(seen2, 1) >= self.min_count))
-        deep = after[seen2[after] >= 2]
-        key2 = _mix(word[before] * STEP + word[token])
-        triple, first3, at3 = np.unique(_mix(key2[deep - 1] * STEP + word[token[deep]] + np.uint64(7)), return_index=True, return_inverse=True)
-        triples = _Sent(triple, self.buckets)
-        if last < TRIPLES:
-            out = list(self._state_rows(STATES1, block, states, place, count2, own2, self._p0(count[next_]), count[state]))
-            return out + list(triples.rows(TRIPLES, block, np.bincount(at3[train[deep]], minlength=len(triple)).astype("<u4")))
-        total1 = np.zeros(len(word))
-        total1[state] = states.answered(answers.get(STATES1, {}), "<f8")
-        p0 = self._p0(count[token])
-        n1 = np.where(inner, total1[before], 0.0)
-        p1 = np.where(n1 > 0, (np.where(seen2 >= 2, seen2, 0) + (count[before] - n1 + self.k) * p0) / (count[before] + self.k), p0)
-        count3, own3 = triples.answered(answers.get(TRIPLES, {}), "<u4"), triples.answered(answers.get(TRIPLES, {}), "", "own")
-        state3, first_after = np.unique(key2[after - 1], return_index=True)
-        states3, place3 = _Sent(state3, self.buckets), np.searchsorted(state3, key2[deep - 1])
-        if last < STATES2:
-            return list(self._state_rows(STATES2, block, states3, place3[first3], count3, own3, p1[deep[first3]], seen2[after - 1][first_after]))
-        found = np.zeros(len(token))
-        found[deep] = np.where(count3[at3] >= 2, count3[at3], 0)
-        n2 = states3.answered(answers.get(STATES2, {}), "<f8")[np.searchsorted(state3, key2[after - 1])]
-        p = p1.copy()
-        all2 = seen2[after - 1]
-        p[after] = np.where(n2 > 0, (found[after] + (all2 - n2 + self.k) * p1[after]) / (all2 + self.k), p1[after])
+        if not rounds:
+            return list(words.rows(_grams(1), block, np.bincount(token[train], minlength=len(word))))
+        total = words.counts(answers[_grams(1)])[0]
+        offset = np.arange(len(token)) - np.repeat(ends - sizes, sizes)
+        count, key = total[token], word[token]  # at each token: of the run of k words that ends there
+        p0 = p = (count + 1.0) / (self.n + self.v + 1.0)
+        n_known, out = count > 0, []
+        for k in range(1, self.depth + 1):
+            if not len(count):
+                break
+            after = np.flatnonzero((offset >= k) & (np.roll(count, 1) >= self.min_count))  # tokens with a context of k words
+            deep = after[count[after] >= 2]
+            run, first, place = np.unique(_mix(key[deep - 1] * STEP + word[token[deep]] + np.uint64(k)), return_index=True, return_inverse=True)
+            runs = _Sent(run, self.buckets)
+            if rounds == k:
+                return out + list(runs.rows(_grams(k + 1), block, np.bincount(place[train[deep]], minlength=len(run))))
+            total, own = runs.counts(answers.get(_grams(k + 1), {}))
+            context, first_after, context_at = np.unique(_mix(key[after - 1] + np.uint64(k)), return_index=True, return_inverse=True)
+            contexts, seen = _Sent(context, self.buckets), count[after - 1]
+            found = np.zeros(len(token), np.int64)
+            found[deep] = total[place]
+            if rounds == k + 1:
+                whose = context_at[np.searchsorted(after, deep[first])]
+                out = list(self._state_rows(_states(k), block, contexts, whose, total, own, p[deep[first]], seen[first_after]))
+            else:
+                n = contexts.told_apart(answers.get(_states(k), {}))[context_at]
+                told, p = np.where(found[after] >= 2, found[after], 0), p.copy()
+                p[after] = np.where(n > 0, (told + (seen - n + self.k) * p[after]) / (seen + self.k), p[after])
+            key = key.copy()
+            key[deep] = run[place]
+            count = found
+        if rounds < self.depth + 2:
+            return out
         sums = lambda x: np.add.reduceat(x, ends - sizes, dtype=float)
-        return {"n_tokens": np.array(sizes), "n_known": sums(count[token] > 0).astype(np.int64), "base_score": sums(np.log10(p0)), "score": sums(np.log10(p))}
+        return {"n_tokens": sizes, "n_known": sums(n_known).astype(np.int64), "base_score": sums(np.log10(p0)), "score": sums(np.log10(p))}
+
+
+BLOCKS = "block long, ids array<long>, sizes array<int>, words binary, tokens binary"
+
+
+def _pack(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of about so many bytes of whole documents: their distinct words' hashes, and the words of the texts by number."""
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("tokens", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, sizes, tokens, held = TaskContext.get().partitionId() << 24, [], [], [], 0
+        number: dict[bytes, int] = {}  # of each word of the block, as met; the end is 0
+
+        def row() -> pa.RecordBatch:
+            word = np.array([END, *map(xxhash.xxh3_64_intdigest, number)], np.uint64)
+            word, place = np.unique(word, return_inverse=True)
+            token = place.astype("<i4")[np.concatenate(tokens)]
+            return pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "sizes": sizes, "words": word.astype("<u8").tobytes(), "tokens": token.tobytes()}], schema=schema)
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ids and held + len(text) > block_bytes:
+                    yield row()
+                    block, ids, sizes, tokens, held, number = block + 1, [], [], [], 0, {}
+                words = text.translate(LOWER).split()
+                tokens.append(np.array([*[number.setdefault(w, len(number) + 1) for w in words], 0], np.int32))
+                ids.append(i)
+                sizes.append(len(words) + 1)
+                held += len(text)
+        if ids:
+            yield row()
+
+    return pack
 
 
 ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
@@ -179,65 +218,67 @@ def _sum(penalty: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         """Sums of each key's values, for each block that sent it; own: for the smallest of these."""
         rows = rows.sort_values("block")
-        kind = int(rows["kind"].iloc[0])
-        width, stats = "<u8" if kind == WORDS else "<u4", kind in (STATES1, STATES2)
-        sent = [np.frombuffer(x, width) for x in rows["keys"]]
+        sent = [np.frombuffer(x, "<u8") for x in rows["keys"]]
         cuts = np.cumsum([len(x) for x in sent])[:-1]
         key, first, place = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
-        own = np.zeros(len(place), bool)
-        if stats:
+        own, split = np.zeros(len(place), bool), lambda x: np.split(x, cuts)
+        if rows["kind"].iloc[0] % 2:
             values = np.concatenate([np.frombuffer(x, "<f8").reshape(-1, 4) for x in rows["values"]])
             n, fit, number = (np.bincount(place, values[:, k], len(key)) for k in range(3))
             seen = values[first, 3]
             rest = np.maximum(seen - n, 0)
             gain = fit - n * np.log(np.maximum(seen, 1)) + rest * np.log(np.maximum(rest, 1) / np.maximum(seen, 1))
-            total = np.where((n > 0) & (gain > penalty * number), n, 0.0)
-            local = np.zeros(len(place), np.int64)
+            total = [x.tobytes() for x in split(np.where((n > 0) & (gain > penalty * number), n, 0.0)[place])]
+            local = known = np.zeros(len(place), np.int64)
         else:
-            local = np.concatenate([np.frombuffer(x, "<u4") for x in rows["values"]]).astype(np.int64)
-            total = np.bincount(place, local, len(key)).astype("<u4")
+            local = np.concatenate([_wide(x, len(k)) for x, k in zip(rows["values"], sent, strict=True)])
+            sums = np.bincount(place, local, len(key)).astype(np.int64)
             own[first] = True
-        known = own & (total[place] > 0)
-        split = lambda x: np.split(x, cuts)
+            known = own & (sums[place] > 0)
+            total = [_narrow(x) for x in split(sums[place])]
         return pd.DataFrame({
-            "kind": rows["kind"], "bucket": rows["bucket"], "block": rows["block"], "total": [x.tobytes() for x in split(total[place])],
-            "own": [np.packbits(x).tobytes() for x in split(own)], "n": [int(x.sum()) for x in split(local)], "v": [int(x.sum()) for x in split(known)],
+            "kind": rows["kind"], "bucket": rows["bucket"], "block": rows["block"], "total": total, "own": [np.packbits(x).tobytes() for x in split(own)],
+            "n": [int(x.sum()) for x in split(local)], "v": [int(x.sum()) for x in split(known)],
         })
 
     return add
 
 
-def score_texts(docs: DataFrame, min_count: int = 12, smoothing: float = 4.0, parts: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, min_count: int = 12, smoothing: float = 4.0, depth: int = 5, parts: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = BlockTable(docs, F.col(text_col), id_col, label="lm_blocks")
-    tree = SuffixTree(blocks.buckets, min_count, smoothing, parts, held)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary")).alias("data"))
+    blocks = written_buckets(rows.mapInArrow(_pack(block_bytes), BLOCKS), "lm_blocks", "block", shuffle_partitions(spark))
+    tree = SuffixTree(buckets_for(spark, block_bytes * blocks.count()), min_count, smoothing, parts, held, depth)
     answers: list[DataFrame] = []
 
     def table() -> DataFrame:
         if not answers:
-            return blocks.table.withColumn("answers", F.lit(None).cast("array<struct<kind:int,bucket:int,total:binary,own:binary>>"))
+            return blocks.withColumn("answers", F.lit(None).cast("array<struct<kind:int,bucket:int,total:binary,own:binary>>"))
         every = answers[0]
         for a in answers[1:]:
             every = every.union(a)
         by_block = every.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "total", "own")).alias("answers"))
-        return blocks.table.join(by_block.hint("shuffle_hash"), "block", "left")
+        return blocks.join(by_block.hint("shuffle_hash"), "block", "left")
 
     penalty = 0.0
-    for last in (-1, WORDS, PAIRS, TRIPLES):
+    for rounds in range(depth + 2):
 
-        def send(row: dict, last: int = last) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(tree(row, _answers(row), last), schema=ASKED)
+        def send(row: dict, rounds: int = rounds) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(tree(row, _answers(row), rounds), schema=ASKED)
 
         asked = table().mapInArrow(_over(send), "kind int, bucket int, block long, keys binary, values binary")
-        answers.append(written(asked.groupBy("kind", "bucket").applyInPandas(_sum(penalty), ANSWER), f"lm_round{len(answers)}"))
-        if last < WORDS:
+        answers.append(written(asked.groupBy("kind", "bucket").applyInPandas(_sum(penalty), ANSWER), f"lm_round{rounds}"))
+        if not rounds:
             sums = answers[0].agg(F.sum("n"), F.sum("v")).first()
             tree.n, tree.v = sums[0] or 0, sums[1] or 0
             penalty = float(np.log(max(tree.n, 1)) / 2)
+        if answers[-1].isEmpty():  # no longer run is frequent enough
+            break
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scores(row: dict) -> pa.RecordBatch:
-        got, ids = tree(row, _answers(row), STATES2), row["ids"]
+        got, ids = tree(row, _answers(row), depth + 2), row["ids"]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([tree.held_out(d) for d in ids]), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_known"], pa.int64()), pa.array([tree.n] * len(ids), pa.int64()), pa.array(got["base_score"]), pa.array(got["score"])],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.blocks import BlockTable, Keys, asked
+from lexigrid.llm.blocks import BLOCK_BYTES, BlockTable, Keys, asked
 from lexigrid.llm.components import connected_components
 from lexigrid.llm.shared import written
 
@@ -256,10 +256,10 @@ def similar_sets(starts: DataFrame, percent: int) -> DataFrame:
     return connected_components(links.union(_linked(rest, starts, percent)))
 
 
-def ngram_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     jaccard = Fraction(percent, 100)
-    blocks = BlockTable(docs, F.col(text_col), id_col, label="ngram_blocks")
+    blocks = BlockTable(docs, F.col(text_col), id_col, block_bytes, "ngram_blocks")
     state = Prefixes(words, jaccard, blocks.buckets)
     sent = blocks.table.mapInArrow(asked(state, 0), "bucket int, block long, keys binary, many binary")
     counted = sent.groupBy("bucket").applyInPandas(_count, "block long, bucket int, levels binary")

@@ -62,54 +62,46 @@ def ngram_groups(texts: dict, n: int = 4, percent: int = 85) -> dict:
     return {k: (len(sets[k]), find(parent, k)) for k in ids}
 
 
-def language_model(texts: dict, min_count: int, k: float) -> dict:
+def language_model(texts: dict, min_count: int, k: float, depth: int = 5) -> dict:
     """Scores by plain dictionaries: doc -> (held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     import math
     import zlib
 
     tokens = {d: [*words(t), ""] for d, t in texts.items()}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
-    grams = [Counter(), Counter(), Counter()]
+    grams = [Counter() for _ in range(depth + 2)]  # by number of words
     for d, t in tokens.items():
         if not held[d]:
-            for m in range(3):
-                grams[m].update(tuple(t[i : i + m + 1]) for i in range(len(t) - m))
-    total, kinds = sum(grams[0].values()), len(grams[0])
-    known2 = {g: c for g, c in grams[1].items() if grams[0][g[:1]] >= min_count and grams[0][g[1:]] >= 2}
-    known3 = {g: c for g, c in grams[2].items() if known2.get(g[:2], 0) >= min_count and known2.get(g[1:], 0) >= 2}
-    p0 = lambda g: (grams[0][g[-1:]] + 1) / (total + kinds + 1)
-
-    def states(known, shorter, seen):
+            for m in range(1, depth + 2):
+                grams[m].update(tuple(t[i : i + m]) for i in range(len(t) - m + 1))
+    total, kinds = sum(grams[1].values()), len(grams[1])
+    for m in range(2, depth + 2):  # only runs whose context is frequent, and which occur twice without their first word
+        grams[m] = {g: c for g, c in grams[m].items() if grams[m - 1].get(g[:-1], 0) >= min_count and grams[m - 1].get(g[1:], 0) >= 2}
+    states = [{} for _ in range(depth + 1)]  # by length: context -> occurrences before words told apart
+
+    def p(g):
+        """Of the last word after the others, by states found so far."""
+        if len(g) == 1:
+            return (grams[1].get(g, 0) + 1) / (total + kinds + 1)
+        shorter, n = p(g[1:]), states[len(g) - 1].get(g[:-1], 0)
+        if not n:
+            return shorter
+        seen, c = grams[len(g) - 1][g[:-1]], grams[len(g)].get(g, 0)
+        return ((c if c >= 2 else 0) + (seen - n + k) * shorter) / (seen + k)
+
+    for m in range(1, depth + 1):
         sums = {}
-        for g, c in known.items():
+        for g, c in grams[m + 1].items():
             if c >= 2:
-                s = sums.setdefault(g[:-1], [0, 0.0, 0])
-                s[0] += c
-                s[1] += c * math.log(c / shorter(g))
-                s[2] += 1
-        out = {}
-        for s, (n, fit, m) in sums.items():
-            rest = seen[s] - n
-            if fit - n * math.log(seen[s]) + (rest * math.log(rest / seen[s]) if rest else 0) > math.log(total) / 2 * m:
-                out[s] = n
-        return out
-
-    one = states(known2, p0, grams[0])
-
-    def p1(g):
-        n, c = one.get(g[-2:-1], 0), known2.get(g[-2:], 0)
-        seen = grams[0][g[-2:-1]]
-        return ((c if c >= 2 else 0) + (seen - n + k) * p0(g)) / (seen + k) if n and len(g) > 1 else p0(g)
-
-    two = states(known3, p1, known2)
-
-    def p2(g):
-        n, c = two.get(g[:2], 0) if len(g) == 3 else 0, known3.get(g, 0)
-        seen = known2.get(g[:2], 0)
-        return ((c if c >= 2 else 0) + (seen - n + k) * p1(g)) / (seen + k) if n else p1(g)
-
+                x = sums.setdefault(g[:-1], [0, 0.0, 0])
+                x[0], x[1], x[2] = x[0] + c, x[1] + c * math.log(c / p(g[1:])), x[2] + 1
+        for s, (n, fit, number) in sums.items():
+            seen = grams[m][s]
+            rest = seen - n
+            if fit - n * math.log(seen) + (rest * math.log(rest / seen) if rest else 0) > math.log(total) / 2 * number:
+                states[m][s] = n
     out = {}
     for d, t in tokens.items():
-        grams_at = [tuple(t[max(0, i - 2) : i + 1]) for i in range(len(t))]
-        out[d] = (held[d], len(t), sum(grams[0][(w,)] > 0 for w in t), total, sum(math.log10(p0(g)) for g in grams_at), sum(math.log10(p2(g)) for g in grams_at))
+        runs = [tuple(t[max(0, i - depth) : i + 1]) for i in range(len(t))]
+        out[d] = (held[d], len(t), sum(grams[1].get((w,), 0) > 0 for w in t), total, sum(math.log10(p(g[-1:])) for g in runs), sum(math.log10(p(g)) for g in runs))
     return out

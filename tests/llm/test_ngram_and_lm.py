@@ -45,7 +45,43 @@ def test_ngram_random_edits(spark, seed, monkeypatch):
     texts |= {5000: None, 5001: "", 5002: " \n", 5003: "one", 5004: "ONE ", 5005: "a b c", 5006: "a b c d"}
     if seed == 2:
         monkeypatch.setattr(ngram_join, "_boundary", lambda starts: 64)
-    assert groups(spark, texts) == ngram_groups(texts)
+    assert groups(spark, texts, block_bytes=1500) == ngram_groups(texts)  # some texts are longer than a block
+
+
+def near_copies(size, seed):
+    """Copies of one text with edits around the threshold, most of which no other is linked with, and lines that all share."""
+    rnd, texts = random.Random(seed), {}
+    base, line = [f"w{rnd.randint(0, 10**6)}" for _ in range(300)], " ".join(f"v{k}" for k in range(40))
+    for i in range(size):
+        w = list(base)
+        for _ in range(rnd.randint(0, 14)):
+            w[rnd.randrange(len(w))] = f"n{rnd.randint(0, 10**9)}"
+        texts[i] = " ".join(w)
+        texts[10_000 + i] = line + " " + " ".join(f"u{rnd.randint(0, 10**9)}" for _ in range(60))
+    return texts
+
+
+def test_ngram_pairs_of_near_copies(spark, monkeypatch):
+    """Components as by brute force at two sizes, from few of the group's pairs."""
+    made, linked = [], ngram_join._linked
+
+    def noted(pairs, sets, percent):
+        made.append(pairs.count())
+        return linked(pairs, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "_linked", noted)
+    for size in (60, 240):
+        texts = near_copies(size, size)
+        made.clear()
+        assert groups(spark, texts, percent=80) == ngram_groups(texts, percent=80)
+        assert sum(made) <= 0.05 * size * (size - 1) / 2
+
+
+def test_ngram_repeated_and_null_ids(spark):
+    rows = [(5, "a b c d e f g", 1), (5, "a b c d e f g", 2), (None, "a b c d e f g", 3), (None, "q", 4), (2, "A B C D E F G", 5), (None, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sid int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.ngram_groups(docs).collect())
+    assert got == [(0, 0, 0), (0, 1, 0), (0, 4, 2), (2, 4, 2), (5, 4, 2), (5, 4, 2)]
 
 
 def test_ngram_empty(spark):
@@ -66,9 +102,9 @@ def scores(docs, **kw):
 def test_lm_against_dictionaries(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6, None), (10**6 + 1, "")], "doc_id long, text string"))
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for min_count in (12, 3):
-        got = scores(docs, min_count=min_count)
-        close(got, language_model(texts, min_count, 4.0))
+    for min_count, depth in ((12, 5), (3, 2), (3, 7)):
+        got = scores(docs, min_count=min_count, depth=depth, block_bytes=100_000)
+        close(got, language_model(texts, min_count, 4.0, depth))
     held = [g for g in got.values() if g[0]]
     assert sum(g[5] for g in held) > sum(g[4] for g in held)
     assert scores(docs.limit(0)) == {}
@@ -86,3 +122,24 @@ def test_lm_on_markov_text(spark):
     close(got, language_model(texts, 12, 4.0))
     held = [g for g in got.values() if g[0]]
     assert sum(g[5] for g in held) > 0.6 * sum(g[4] for g in held)
+
+
+def test_lm_learns_a_long_passage(spark):
+    """In a passage that 40 documents share, words that a short context leaves open are known by a longer one."""
+    rnd = random.Random(4)
+    passage = " ".join(rnd.choice("abc") for _ in range(60))
+    texts = {d: f"{' '.join(rnd.choice('abc') for _ in range(200))} {passage}" for d in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    by_depth = {depth: scores(docs, depth=depth) for depth in (1, 4, 8)}
+    for depth, got in by_depth.items():
+        close(got, language_model(texts, 12, 4.0, depth))
+    least, some, most = (sum(g[5] for g in by_depth[d].values()) for d in (1, 4, 8))
+    assert least < some < most
+
+
+def test_lm_edges(spark):
+    rows = [(1, "a b a b", "x"), (1, "a b a b", "y"), (None, "a b", "z"), (2, None, None), (3, "a b " * 4000, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string")
+    got = lm.score_texts(docs, block_bytes=1000).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 5), (1, 5), (2, 1), (3, 8001)]
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
