@@ -4,15 +4,15 @@
 a block whose coefficient is byte-128 is flat and has the byte as its sample value, and the image's DC-only thumbnail (a pixel
 for each block) is the payload, bit for bit.  Its DC Huffman code gives category s (0 to 8) a code of 9-s bits, so code and
 magnitude bits come to 9 bits for every difference, and the AC code's only symbol, end of block, takes one more: any JPEG
-reader can read it, and here both directions are numpy operations on whole images.
+reader can read it.
 
-``dc_thumbnail`` reads any baseline JPEG (1 to 4 components, any sampling factors, restart intervals): it parses the markers,
-decodes the scan's Huffman symbols and keeps luminance DC coefficients only.  Scans coded as above are recognised by their
-tables and decoded at once; others go symbol by symbol.
+``dc_thumbnail`` reads any baseline JPEG (1 to 4 components, any Huffman tables and sampling factors, restart intervals): it
+parses the markers, decodes the scan's Huffman codes in numpy and keeps luminance DC coefficients only.
 
 Null payloads count as empty; an empty payload is padded to one row of 64 zero bytes.  The longest side of a JPEG is 65,535
 samples, so payloads over 64 * 8191 bytes get wider rows, in multiples of 64 blocks; the comment marker holds the true length.
-Images are made and read a document at a time, so memory is bounded by the longest document.
+Images are made and read a document at a time, so memory is bounded by the longest document.  Equal texts give equal images,
+repeated rows a row each, an empty table an empty result; columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,6 @@ def _codes() -> np.ndarray:
 
 
 CODES = _codes()
-BACK = np.full(512, 999, np.int32)
-BACK[(CODES >> np.uint64(1)).astype(int)] = np.arange(-255, 256)
 DC_LENGTHS, DC_SYMBOLS = bytes([1] * 9 + [0] * 7), bytes(range(8, -1, -1))
 AC_LENGTHS, AC_SYMBOLS = bytes([1] + [0] * 15), b"\0"
 
@@ -112,35 +111,24 @@ def parse(data: bytes) -> dict:
             return out
 
 
-def _lookup(lengths: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    table, code, k = {}, 0, 0
-    for size, n in enumerate(lengths, 1):
-        for _ in range(n):
-            table[size, code] = symbols[k]
-            code, k = code + 1, k + 1
-        code <<= 1
-    return table
+class _Codes:
+    """For each 16 bits that begin with a code: the code's length (0: none does), its symbol, and both with the magnitude bits."""
 
+    def __init__(self, lengths: bytes, symbols: bytes):
+        self.size, self.symbol, code, k = np.zeros(65536, np.uint8), np.zeros(65536, np.uint8), 0, 0
+        for n, count in enumerate(lengths, 1):
+            for _ in range(count):
+                own = slice(code << (16 - n), (code + 1) << (16 - n))
+                self.size[own], self.symbol[own] = n, symbols[k]
+                code, k = code + 1, k + 1
+            code <<= 1
+        no_code = np.where(self.size > 0, 0, 1 << 24).astype(np.int32)
+        self.dc_step = self.size + self.symbol.astype(np.int32) + no_code
+        self.ac_step = self.size + (self.symbol & 15).astype(np.int32) + no_code
+        self.places = np.where(self.symbol == 0, 64, (self.symbol >> 4) + 1).astype(np.uint8)  # coefficients that a symbol takes
 
-class _Bits:
-    def __init__(self, data: bytes):
-        self.data, self.at = np.unpackbits(np.frombuffer(data.replace(b"\xff\0", b"\xff"), np.uint8)).tolist(), 0
 
-    def take(self, n: int) -> int:
-        out = 0
-        for bit in self.data[self.at : self.at + n]:
-            out = out * 2 + bit
-        self.at += n
-        return out
-
-    def symbol(self, table: dict) -> int:
-        code = 0
-        for size in range(1, 17):
-            code = code * 2 + self.data[self.at]
-            self.at += 1
-            if (size, code) in table:
-                return table[size, code]
-        raise ValueError("no such code")
+_codes_of = lru_cache(64)(_Codes)
 
 
 def _restarts(scan: bytes) -> list[bytes]:
@@ -153,56 +141,111 @@ def _restarts(scan: bytes) -> list[bytes]:
     return [*out, scan[start:]]
 
 
+#: Bytes of a scan that are decoded at once, and the most that one block's codes take.
+PART_BYTES = 1 << 16
+BLOCK_BYTES = 212
+#: Jumps over 2, 4, ... 16 units: the decoder steps by the largest, then fills in.
+DOUBLINGS = 4
+
+
+def _block_ends(codes: np.ndarray, dc: _Codes, ac: _Codes) -> np.ndarray:
+    """Where a block would end that began at each bit; ``codes``: the 16 bits from each bit on, with one more at the end, whose
+    place also stands for ends too far on and for bits where no block begins."""
+    far = len(codes) - 1
+    ends = np.arange(far + 1, dtype=np.int32)
+    ends += dc.dc_step[codes]
+    np.minimum(ends, far, out=ends)
+    code = codes[ends]
+    live = ac.places[code] < 63
+    ends += ac.ac_step[code]
+    np.minimum(ends, far, out=ends)
+    live = np.flatnonzero(live & (ends < far))
+    place = 1 + ac.places[code[live]].astype(np.int32)
+    while len(live):
+        code = codes[ends[live]]
+        ends[live] = np.minimum(ends[live] + ac.ac_step[code], far)
+        place += ac.places[code]
+        on = (place < 64) & (ends[live] < far)
+        live, place = live[on], place[on]
+    return ends
+
+
+def _differences(scan: bytes, blocks: list[tuple], units: int) -> np.ndarray:
+    """(unit, block): the DC differences of a scan without restarts, whose units are ``blocks`` of (DC table, AC table).
+
+    Huffman codes are decoded from all bits at once: where a block would end if one began there.  From the scan's first bit the
+    blocks that do begin are found by jumps of 16 units and then by halves of them.  Parts of bounded size follow each other.
+    """
+    data = np.frombuffer(scan.replace(b"\xff\0", b"\xff"), np.uint8)
+    margin, out, found, begin = BLOCK_BYTES * len(blocks), [], 0, 0
+    kinds = {(id(dc), id(ac)): (dc, ac) for dc, ac in blocks}
+    for start in range(0, len(data), PART_BYTES):
+        part = data[start : start + PART_BYTES + margin + 8].astype(np.uint32)
+        size = 8 * min(PART_BYTES, len(data) - start)
+        padded = np.concatenate([part, np.full(8, 255, np.uint32)])
+        three = (padded[:-2] << np.uint32(16)) | (padded[1:-1] << np.uint32(8)) | padded[2:]
+        codes = (three[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)).astype(np.uint16).ravel()[:-7]
+        ends = {k: _block_ends(codes, *v) for k, v in kinds.items()}
+        unit_end = ends[id(blocks[0][0]), id(blocks[0][1])]
+        for dc, ac in blocks[1:]:
+            unit_end = ends[id(dc), id(ac)][unit_end]
+        jump = np.where(unit_end < size, unit_end, len(codes) - 1)  # units that begin past the part belong to the next one
+        jumps = [jump]
+        for _ in range(DOUBLINGS):
+            jumps.append(jumps[-1][jumps[-1]])
+        at, anchors = begin, []
+        while at < size and len(anchors) << DOUBLINGS < units - found:
+            anchors.append(at)
+            at = int(jumps[-1][at])
+        units_at = np.array(anchors, np.int64)
+        for j in jumps[-2::-1]:
+            more = j[units_at]
+            units_at = np.concatenate([units_at, more[more < size]])
+        units_at = np.sort(units_at)[: units - found]
+        if not len(units_at):
+            begin -= size
+            continue
+        place, values = units_at, []
+        for dc, ac in blocks:
+            code = codes[place]
+            length, bits = dc.size[code].astype(np.int64), dc.symbol[code].astype(np.int64)
+            after = np.minimum(place + length, len(codes) - 1)
+            magnitude = codes[after].astype(np.int64) >> (16 - bits)
+            values.append(np.where((magnitude >> np.maximum(bits - 1, 0)) > 0, magnitude, magnitude - (1 << bits) + 1) * (bits > 0))
+            place = ends[id(dc), id(ac)][place]
+        if (place >= 8 * (len(part) + 1)).any():
+            raise ValueError("broken scan")
+        out.append(np.stack(values, axis=1))
+        found += len(units_at)
+        if found == units:
+            break
+        begin = int(unit_end[units_at[-1]]) - size
+    if found < units:
+        raise ValueError("broken scan")
+    return np.concatenate(out)
+
+
 def dc_thumbnail(image: dict) -> np.ndarray:
     """Luminance (first component) samples 0 to 255, one for each 8x8 block."""
-    first, parts = image["order"][0][0], image["parts"]
+    first, parts, order = image["order"][0][0], image["parts"], image["order"]
     y = parts[first]
     tall, wide = max(p["v"] for p in parts.values()), max(p["h"] for p in parts.values())
-    one = len(image["order"]) == 1
+    one = len(order) == 1
     cols, rows = -(-image["width"] * y["h"] // (8 * wide)), -(-image["height"] * y["v"] // (8 * tall))
-    step = image["quant"][y["q"]]
-    if one and not image["restart"] and image["huff"][image["order"][0][1]] == (DC_LENGTHS, DC_SYMBOLS) and image["huff"][16 + image["order"][0][2]] == (AC_LENGTHS, AC_SYMBOLS) and cols * rows % 4 == 0:
-        packed = np.frombuffer(image["scan"].replace(b"\xff\0", b"\xff"), np.uint8).reshape(-1, 5)
-        word = np.zeros((len(packed), 8), np.uint8)
-        word[:, 3:] = packed
-        word = word.view(">u8").astype(np.uint64)[:, 0]
-        codes = np.stack([(word >> np.uint64(s)) & np.uint64(1023) for s in (30, 20, 10, 0)], axis=1).ravel().astype(np.int64)[: cols * rows]
-        diff = BACK[codes >> 1]
-        if len(diff) < cols * rows or (codes & 1).any() or (diff == 999).any():
-            raise ValueError("broken scan")
-        level = np.cumsum(diff)
-    else:
-        level = _walk(image, first, one, cols, rows, tall, wide)
-    return np.clip((level * step + 4 + 1024) // 8, 0, 255).astype(np.uint8).reshape(rows, cols)
-
-
-def _walk(image: dict, first: int, one: bool, cols: int, rows: int, tall: int, wide: int) -> np.ndarray:
-    tables = {k: _lookup(*v) for k, v in image["huff"].items()}
-    y, level = image["parts"][first], np.zeros((rows, cols), np.int64)
-    across = cols if one else -(-image["width"] // (8 * wide))
-    units = across * (rows if one else -(-image["height"] // (8 * tall)))
-    unit = 0
-    for run in _restarts(image["scan"]):
-        bits, last = _Bits(run), dict.fromkeys(image["parts"], 0)
-        for _ in range(min(image["restart"] or units, units - unit)):
-            for part, dc, ac in image["order"]:
-                h, v = (1, 1) if one else (image["parts"][part]["h"], image["parts"][part]["v"])
-                for k in range(h * v):
-                    size = bits.symbol(tables[dc])
-                    value = bits.take(size)
-                    last[part] += value if not size or value >> (size - 1) else value - (1 << size) + 1
-                    n = 1
-                    while n < 64:
-                        symbol = bits.symbol(tables[16 + ac])
-                        if symbol == 0:
-                            break
-                        n += (symbol >> 4) + 1
-                        bits.take(symbol & 15)
-                    r, c = unit // across * (1 if one else y["v"]) + k // h, unit % across * (1 if one else y["h"]) + k % h
-                    if part == first and r < rows and c < cols:
-                        level[r, c] = last[part]
-            unit += 1
-    return level.ravel()
+    h, v = (1, 1) if one else (y["h"], y["v"])
+    across, down = (cols, rows) if one else (-(-image["width"] // (8 * wide)), -(-image["height"] // (8 * tall)))
+    tables = {k: _codes_of(*x) for k, x in image["huff"].items()}
+    blocks = [(tables[dc], tables[16 + ac]) for part, dc, ac in order for _ in range(1 if one else parts[part]["h"] * parts[part]["v"])]
+    levels, left = [], across * down
+    for run in _restarts(image["scan"]) if image["restart"] else [image["scan"]]:
+        units = min(image["restart"] or left, left)
+        if units:
+            levels.append(np.cumsum(_differences(run, blocks, units)[:, : h * v].ravel()).reshape(units, h * v))
+        left -= units
+    if left:
+        raise ValueError("broken scan")
+    grid = np.concatenate(levels).reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)[:rows, :cols]
+    return np.clip((grid * image["quant"][y["q"]] + 4 + 1024) // 8, 0, 255).astype(np.uint8)
 
 
 def thumbnail_hash(thumb: np.ndarray) -> str:
