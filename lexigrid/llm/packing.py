@@ -3,15 +3,16 @@
 Texts become token ids, documents longer than a sequence are cut into pieces of its full length, and pieces are packed whole.
 What fits together depends on lengths alone, so the plan is made on the counts of pieces by length, a table of at most
 ``size`` rows whatever the corpus: from the longest length down, a sequence is filled exactly by one, two or three available
-lengths that sum to its gap (looked up among the available lengths' single, pair and triple sums), as many times over as the
-counts allow; where no such sum exists, the longest available piece that fits goes in, and the rest of the gap is looked up
-again.  The plan says for each length which run of its pieces goes to which sequences and where.
+lengths that sum to its gap (looked up in an index from sums to the available lengths' singles, pairs and triples), as many times
+over as the counts allow; where no such sum exists, the longest available piece that fits goes in, and the rest of the gap is
+looked up again.  The plan says for each length which run of its pieces goes to which sequences and where.
 
 Pieces of a length get consecutive numbers without meeting in one task: they are counted by (length, salt), the salts' counts
-are summed up to offsets, and each (length, salt) is numbered by itself; a third of all pieces may have one length.
+are summed up to offsets, and each (length, salt) is numbered by itself; a third of all pieces may have one length.  The table of
+offsets has at most ``size`` * ``SALTS`` rows, half a million, however many documents there are.
 
 Null texts are empty: a document then holds the end id alone.  Repeated rows are packed once for each row; which of equal
-pieces takes which place doesn't matter.  An empty table gives an empty result.
+pieces takes which place doesn't matter.  An empty table gives an empty result; columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.shared import shuffle_partitions, written
+from lexigrid.llm.shared import written
 from lexigrid.llm.tokens import encoded
 
 
+SALTS = 256
+
+
 def _pieces(vocab: str, end_id: int, size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -46,42 +50,67 @@ def _pieces(vocab: str, end_id: int, size: int):
     return cut
 
 
+class Sums:
+    """Index of the single, pair and triple sums of available lengths.
+
+    ``left[n]``: pieces of length n left, which only ever get fewer, so an entry of the index that no longer can be met never can
+    again and is passed over for good.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs: dict[int, list[int]] = {}  # sum -> the greater lengths of its pairs, the least first
+        self.triples: dict[int, list[int]] = {}  # sum -> lengths, the least first
+
+    def _lengths(self, low: int, high: int) -> np.ndarray:
+        return low + np.flatnonzero(self.left[low : high + 1] > 0)
+
+    def pair(self, total: int, taken: int = 0) -> list[int] | None:
+        """Two available lengths, the greatest first; one piece of length ``taken`` is spoken for."""
+        if total not in self.pairs:
+            greater = self._lengths(-(-total // 2), total - 1)
+            self.pairs[total] = greater[self.left[total - greater] > 0].tolist()
+        entries = self.pairs[total]
+        for k in range(len(entries) - 1, -1, -1):
+            x, y = entries[k], total - entries[k]
+            if self.left[y] <= 0 or self.left[x] <= (x == y):
+                del entries[k]
+            elif self.left[x] > (x == y) + (x == taken) and self.left[y] > (y == taken):
+                return [x, y]
+        return None
+
+    def triple(self, total: int) -> list[int] | None:
+        if total not in self.triples:
+            self.triples[total] = self._lengths(-(-total // 3), total - 2).tolist()
+        entries = self.triples[total]
+        while entries:
+            if self.left[entries[-1]] > 0 and (two := self.pair(total - entries[-1], entries[-1])):
+                return [entries[-1], *two]
+            entries.pop()
+        return None
+
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths that sum to gap."""
+        return [gap] if self.left[gap] > 0 else self.pair(gap) or self.triple(gap)
+
+
 def plan(counts: np.ndarray, size: int) -> pd.DataFrame:
     """counts[n]: pieces of length n.  Rows: length, first, times, each, sequence, offset: pieces first.. of a length, ``each`` a
     sequence one after the other from offset, go to ``times`` sequences from number ``sequence`` on."""
     left = np.zeros(size + 1, np.int64)
     left[: len(counts)] = counts
-    used, rows, sequence = np.zeros(size + 1, np.int64), [], 0
-
-    def exact(gap: int) -> list[int] | None:
-        """One, two or three available lengths that sum to gap, the longest first."""
-        if left[gap] > 0:
-            return [gap]
-
-        def pair(total: int, most: int) -> list[int] | None:
-            a = np.arange(min(total - 1, most), (total - 1) // 2, -1)
-            ok = a[(left[a] > 0) & (left[total - a] > (a == total - a))]
-            return [int(ok[0]), total - int(ok[0])] if len(ok) else None
-
-        if two := pair(gap, gap):
-            return two
-        for a in lengths[(lengths < gap) & (3 * lengths >= gap)][::-1]:
-            left[a] -= 1
-            two = pair(gap - int(a), int(a)) if left[a] >= 0 else None
-            left[a] += 1
-            if two:
-                return [int(a), *two]
-        return None
-
+    used, rows, sequence, sums = np.zeros(size + 1, np.int64), [], 0, Sums(left)
     for longest in range(size, 0, -1):
         while left[longest] > 0:
             pattern, gap = [longest], size - longest
             left[longest] -= 1
             while gap > 0:
-                lengths = np.flatnonzero(left[: gap + 1] > 0)
-                if not len(lengths):
-                    break
-                more = exact(gap) or [int(lengths[-1])]
+                more = sums.exact(gap)
+                if not more:  # best fit: the longest piece that fits
+                    fitting = np.flatnonzero(left[: gap + 1] > 0)
+                    if not len(fitting):
+                        break
+                    more = [int(fitting[-1])]
                 for x in more:
                     left[x] -= 1
                 pattern += more
@@ -116,11 +145,10 @@ def _place(table: pd.DataFrame):
 
 def pack(docs: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 0, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = written(rows.mapInArrow(_pieces(vocab, end_id, size), columns), "pack_pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(64, shuffle_partitions(spark)))))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
     counts = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack_counts")
     by_length = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # a row per length: at most ``size`` rows
     if not by_length:

@@ -1,14 +1,16 @@
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
+from plain_jpeg import walk
 from tokenizers import Tokenizer
 
 from lexigrid.llm import media
-from lexigrid.llm.packing import pack, plan
-from lexigrid.llm.simple8b import decode, encode, read_token_files, token_report, write_token_files
+from lexigrid.llm.packing import Sums, pack, plan
+from lexigrid.llm.simple8b import decode, encode, file_bytes, read_file, read_token_files, token_report, write_token_files
 from lexigrid.llm.tokens import Encoder, vocabulary
 
 ODD = ["", " ", "  a  b ", "a\n\nb\n c", "tab\tx", "It's  we'll don't", "a b c", "x\x1cy z", "é é ́x", "日本語 テスト", "<|endoftext|> x", "a <|endoftext|>b", "12 345,6", "wow!!! (ok).", "ΣΑΣ ΣΑΣ", "İI ı", "a\r\nb", "trail \n", "\nlead", "q" * 3000, "...a.b.c", "the,the.The THE,", "é.\nÉ."]
@@ -50,7 +52,19 @@ def test_token_report_against_tokenizer(spark, sf):
         start += len(ids)
     assert token_report(docs.limit(0)).count() == 0
     small = write_token_files(docs, file_ids=1000)
-    assert {r.doc_id: (r.start, r.n_tokens) for r in read_token_files(small).collect()} == {k: v[:2] for k, v in got.items()}
+    assert {r.doc_id: (r.start, r.n_tokens) for r in read_token_files(spark, small).collect()} == {k: v[:2] for k, v in got.items()}
+    files = sorted(Path(small.removeprefix("file://")).glob("*"))
+    assert len(files) > 10 and not list(Path(small.removeprefix("file://")).glob(".[0-9]*-[0-9]*-[0-9]*[0-9]"))
+    names, sizes, ids = read_file(files[-1].read_bytes())  # a plain file, whatever wrote it
+    assert names[-1] == 10**6 + 1 and sizes[-1] == 1 and sizes.sum() == len(ids)
+
+
+def test_token_files_edges(spark):
+    docs = spark.createDataFrame([(7, "x y", 1), (7, "x y", 2), (None, "z", 3), (None, None, 4), (-3, "w " * 9000, 5)], "doc_id long, text string, part int")
+    rows = sorted(((r.start, r.doc_id, r.n_tokens) for r in token_report(docs).collect()))
+    assert [r[1] for r in rows] == [None, None, -3, 7, 7] and rows[-1][2] == rows[-2][2]
+    assert all(a[0] + a[2] == b[0] for a, b in zip(rows, rows[1:])) and rows[0][0] == 0
+    assert read_file(file_bytes([None, -1], [2, 1], np.array([5, 0, 0])))[0] == [None, -1]
 
 
 def check_packing(rows, size=2048):
@@ -96,6 +110,24 @@ def test_plan_uses_every_piece_once():
         assert filled == (counts * np.arange(2049)).sum()
 
 
+def test_index_of_sums_against_all_combinations():
+    from itertools import combinations_with_replacement
+
+    rnd = np.random.default_rng(9)
+    for _ in range(60):
+        left = np.zeros(41, np.int64)
+        np.add.at(left, rnd.integers(1, 41, 12), 1)
+        sums = Sums(left)
+        for _ in range(15):
+            gap = int(rnd.integers(1, 41))
+            some = any(sum(c) == gap and all(left[x] >= c.count(x) for x in c) for n in (1, 2, 3) for c in combinations_with_replacement(np.flatnonzero(left).tolist(), n))
+            got = sums.exact(gap)
+            assert (got is not None) == some and (not got or sum(got) == gap)
+            for x in got or []:
+                left[x] -= 1
+            assert (left >= 0).all()
+
+
 def test_media_round_trip(spark, sf):
     rnd = np.random.default_rng(5)
     for n in (64, 128, 640, 64 * 8191, 64 * 8192):
@@ -104,8 +136,7 @@ def test_media_round_trip(spark, sf):
         image = media.parse(data)
         assert media.dc_thumbnail(image).tobytes()[:n] == payload
         if n <= 640:
-            cols, rows = image["width"] // 8, image["height"] // 8
-            level = media._walk(image, 1, True, cols, rows, 1, 1)
+            level = np.array(walk(image, 1, True, image["width"] // 8, image["height"] // 8, 1, 1))
             assert (np.clip(level + 128, 0, 255).astype(np.uint8).tobytes()) == payload
     with pytest.raises(ValueError):
         media.parse(b"\x89PNG")
@@ -131,3 +162,59 @@ def test_colour_jpeg_with_restarts():
     seg = media._segment
     data = b"".join([b"\xff\xd8", seg(0xDB, b"\0" + bytes([16]) + bytes([1] * 63)), seg(0xC0, bytes([8, 0, 16, 0, 16, 2, 1, 0x21, 0, 2, 0x11, 0])), seg(0xC4, b"\x00" + dc), seg(0xC4, b"\x10" + ac), seg(0xDD, bytes([0, 1])), seg(0xDA, bytes([2, 1, 0, 2, 0, 0, 63, 0])), scan, b"\xff\xd9"])
     assert media.dc_thumbnail(media.parse(data)).tolist() == [[138, 138], [118, 118]]
+
+
+@pytest.mark.parametrize("sampling", [(1,), (1, 1, 1), (2, 1, 1), (4,)])
+@pytest.mark.parametrize("restart", [0, 3])
+def test_any_tables_and_sampling(sampling, restart, monkeypatch):
+    """Scans of random symbols under random code lengths, read in small parts, against the bit-by-bit reader."""
+    monkeypatch.setattr(media, "PART_BYTES", 48)
+    rnd = np.random.default_rng(len(sampling) + restart)
+    dc_len, ac_len = [0, 1, 2, 2, 2, 1] + [0] * 10, [0, 1, 2, 1, 3, 2] + [0] * 10
+    dc_sym, ac_sym = rnd.permutation(8).tolist(), [0x00, 0xF0, 0x01, 0x11, 0x23, 0x32, 0x05, 0x71, 0x0A]
+    codes = []
+    for lens, symbols in ((dc_len, dc_sym), (ac_len, ac_sym)):
+        code, k, table = 0, 0, {}
+        for n, count in enumerate(lens, 1):
+            for _ in range(count):
+                table[symbols[k]] = f"{code:0{n}b}"
+                code, k = code + 1, k + 1
+            code <<= 1
+        codes.append(table)
+    value = lambda size: "".join(rnd.choice(["0", "1"], size)) if size else ""
+
+    def block():
+        size = int(rnd.choice(dc_sym))
+        out, n = codes[0][size] + value(size), 1
+        while n < 64:
+            symbol = int(rnd.choice(ac_sym, p=[0.3, 0.05, *[0.65 / 7] * 7]))
+            step = 64 if symbol == 0 else (symbol >> 4) + 1
+            if symbol and n + step > 64:
+                continue
+            out += codes[1][symbol] + value(symbol & 15)
+            n += step
+        return out
+
+    one = len(sampling) == 1
+    width, height = 37 * 8 - 3, 5 * 16 - 9
+    across, down = -(-width // (8 * (1 if one else max(sampling)))), -(-height // 8)
+    units = [("".join(block() for n in sampling for _ in range(1 if one else n))) for _ in range(across * down)]
+    runs = ["".join(units[k : k + (restart or len(units))]) for k in range(0, len(units), restart or len(units))]
+    packed = [np.packbits([int(x) for x in r] + [1] * (-len(r) % 8)).tobytes().replace(b"\xff", b"\xff\0") for r in runs]
+    scan = b"".join(p + (bytes([255, 0xD0 + k % 8]) if k + 1 < len(packed) else b"") for k, p in enumerate(packed))
+    seg = media._segment
+    parts = b"".join(bytes([k + 1, (n << 4) | 1, 0]) for k, n in enumerate(sampling))
+    head = [seg(0xDB, b"\0" + bytes([8]) + bytes([1] * 63)), seg(0xC0, bytes([8, height >> 8, height & 255, width >> 8, width & 255, len(sampling)]) + parts), seg(0xC4, b"\x00" + bytes(dc_len) + bytes(dc_sym)), seg(0xC4, b"\x10" + bytes(ac_len) + bytes(ac_sym)), seg(0xDD, bytes([0, restart]))]
+    data = b"".join([b"\xff\xd8", *head, seg(0xDA, bytes([len(sampling)]) + b"".join(bytes([k + 1, 0]) for k in range(len(sampling))) + bytes([0, 63, 0])), scan, b"\xff\xd9"])
+    image = media.parse(data)
+    thumb = media.dc_thumbnail(image)
+    level = np.array(walk(image, 1, one, thumb.shape[1], thumb.shape[0], 1, 1 if one else max(sampling)))
+    assert thumb.tolist() == np.clip((level * 8 + 4 + 1024) // 8, 0, 255).tolist() and len(set(thumb.ravel().tolist())) > 20
+
+
+def test_media_edges(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (None, "b", "z"), (2, None, None)], "doc_id long, text string, media string")
+    got = media.media_features(media.add_media(docs)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 0)]
+    assert len({tuple(r)[1:] for r in got if r.doc_id == 1}) == 1
+    assert media.media_features(media.add_media(docs.limit(0))).count() == 0
