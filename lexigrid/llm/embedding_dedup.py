@@ -13,8 +13,10 @@ of about ``most``, and a task compares one part with another or with itself.  A
 share.  Each task gives back the components of its links, so chains over vectors in any order stay together.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing.  Those of each dimension are a set of
-their own; below ``SMALL`` dimensions a set is one filter, as there a cap of 0.95 holds a large share of all directions.  Rows that repeat a vec_id are vectors of their own.  A row with a null vec_id counts as a link of others but
-names no component.  An empty table gives an empty result.
+their own; below ``SMALL`` dimensions a set is one filter, as there a cap of 0.95 holds a large share of all directions.  Rows
+that repeat a vec_id are vectors of their own, with their own links; a link's other end is a row, so equal rows are linked.  A
+row with a null vec_id counts as a link of others but names no component.  An empty table gives an empty result, and columns
+other than id and vector aren't read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from lexigrid.llm.shared import written
 
 LEAST = 12
 SMALL = 12
+SALTS = 8
 
 
 class ProductCode:
@@ -161,9 +164,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, most: int = 300
     rows = embeddings.select(F.col(id_col).alias("vec_id"), vector.alias("v")).withColumn("fine", F.coalesce(fine, F.lit(False)))
     alone = F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
     rows = rows.withColumn("hash", F.xxhash64("v"))
-    # distinct vectors; rep: the smallest vec_id, or a negative hash where all are null
+    # distinct vectors, numbered as they are written: several may share a vec_id
     classes = rows.where("fine").groupBy("hash", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
-    classes = written(classes.withColumn("rep", F.coalesce("first", -1 - F.abs(F.col("hash") / 2).cast("long"))), "vector_classes")
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vector_classes")
     vectors = {r.dim: r["count"] for r in classes.groupBy(F.size("v").alias("dim")).count().collect()}
     if not vectors:
         return rows.select("vec_id", *alone)
@@ -176,9 +179,12 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, most: int = 300
     found = written(dealt.drop("parts", "other").groupBy("dim", "filter", "low", "high").applyInPandas(_compare(cosine), "rep long, links long, to long"), "vector_links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     label = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "rep")
-    named = classes.join(links, "rep", "left").join(label, "rep", "left").select("hash", F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root"))
-    named = named.withColumnRenamed("hash", "h")
+    # a component's smallest vec_id, copied for a join in which one component may have a third of all classes
+    least = label.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("component_id"))
+    copied = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = label.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(copied, ["component", "salt"]).select("rep", "component_id")
+    named = classes.join(links, "rep", "left").join(placed, "rep", "left")
+    named = named.select(F.col("hash").alias("h"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     out = rows.where("fine").join(named, (F.col("hash") == F.col("h")) & (F.col("v") == F.col("w")))
-    component = F.when(F.col("root") < 0, F.col("vec_id")).otherwise(F.col("root")) if dict(embeddings.dtypes)[id_col] != "string" else F.col("root")
-    kept = F.coalesce(F.col("vec_id") == component, F.lit(False))
-    return out.select("vec_id", F.col("n_links").cast("long"), component.alias("component_id"), kept.alias("kept")).union(rows.where("NOT fine").select("vec_id", *alone))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
+    return out.select("vec_id", F.col("n_links").cast("long"), "component_id", kept.alias("kept")).union(rows.where("NOT fine").select("vec_id", *alone))

@@ -49,3 +49,16 @@ def test_a_task_holds_two_parts(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(embedding_dedup, "_compare", noted)
     assert found(spark, rows, most=30) == {k: (149, 0) for k in range(150)}
     assert max(map(int, (tmp_path / "sizes").read_text().split())) <= 2 * 30 * 1.5
+
+
+def test_repeated_ids_and_other_columns(spark):
+    """Rows of one id with different vectors have their own links."""
+    rng = np.random.default_rng(8)
+    a, b, c = (rng.normal(size=64) for _ in range(3))
+    near = lambda v: (v + rng.normal(size=64) * 0.01).tolist()
+    rows = [(1, a.tolist(), 5, 0), (1, b.tolist(), 5, 0), (2, near(a), 6, 1), (3, near(b), 6, 1), (None, near(b), 7, 1), (9, c.tolist(), 8, 1), (9, c.tolist(), 8, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep long, hash int")
+    got = sorted(((r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in near_duplicates(table).collect())
+    assert got == [(0, 2, 1, False), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (9, 1, 9, True), (9, 1, 9, True)]
+    lone = spark.createDataFrame([(None, a.tolist()), (None, near(a)), (None, None)], SCHEMA)
+    assert sorted((r.n_links, r.component_id, r.kept) for r in near_duplicates(lone).collect()) == [(0, None, True), (1, None, False), (1, None, False)]
