@@ -7,11 +7,12 @@ keys, the next the keys not listed that the first lets through, the next the lis
 until nothing is left.  A key's membership is then exact for every key of the universe, and pages are judged in a map with the
 cascades in the task: no join touches the pages.
 
-A cascade takes about 1.44 * log2(universe / listed) bits for a listed key.  Its size is checked: beyond ``most_bytes`` the
-listed keys are joined by a shuffle instead, which gives the same verdicts.
+A cascade takes about 1.44 * log2(universe / listed) bits for a listed key that occurs, and has to fit into a task: its size is
+checked before it is built, and beyond ``most_bytes`` (some 20 million listed keys of the corpus) it is refused with an error.
 
 Of several rules that fit the longest (host and path) wins, then the longer host.  Rules are unique by host and path; a rule on
-both lists blocks.  A url without :// or a null one has an empty host and path, matches nothing and gets ``default``.
+both lists blocks.  A url without :// or a null one has an empty host and path, matches nothing and gets ``default``.  Repeated
+rows are judged each, an empty table gives an empty result, and columns other than page_id and url aren't read.
 """
 
 from __future__ import annotations
@@ -123,15 +124,15 @@ def _passes(level: Level) -> Column:
     return passes("h1", "h2")
 
 
-def build_cascade(universe: DataFrame, most_bytes: int) -> Cascade | None:
-    """A cascade for ``listed`` among all keys (h1, h2, listed); None if it would take more than ``most_bytes``."""
+def build_cascade(universe: DataFrame, most_bytes: int) -> Cascade:
+    """A cascade for ``listed`` among all keys (h1, h2, listed); an error if it would take more than ``most_bytes``."""
     cascade, inside, outside = Cascade(), universe.where("listed"), universe.where("NOT listed")
     n, m = inside.count(), outside.count()
     while n:
         rate = min(0.5, n / max(1.0, m) * 0.7) if not cascade.levels else 0.5
         level = Level(n, rate, len(cascade.levels))
         if cascade.size + level.bits // 8 > most_bytes:
-            return None
+            raise ValueError(f"a cascade for {n} listed keys takes more than most_bytes={most_bytes}: raise it, or filter by parts of the rules in turn")
         level.fill(inside)
         cascade.levels.append(level)
         inside, outside = outside.where(_passes(level)), inside
@@ -152,8 +153,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, defa
     listed = listed.groupBy("key", "cut").agg(F.max("action").alias("action"))  # block comes after allow
     known = written(universe.join(listed, ["key", "cut"], "left").select(hashes[0].alias("h1"), hashes[1].alias("h2"), "action"), "url_keys")
     cascades = [build_cascade(known.select("h1", "h2", (F.coalesce(F.col("action"), F.lit("")) == a).alias("listed")), most_bytes) for a in ("allow", "block")]
-    if None in cascades:
-        return _joined(keyed, listed, default)
     packed = keyed.withColumn("h1", F.transform("keys", lambda k: F.xxhash64(k["key"], k["cut"]))).withColumn("h2", F.transform("keys", lambda k: F.xxhash64(F.lit(1), k["cut"], k["key"])))
 
     @F.pandas_udf("at int, action string")
@@ -164,24 +163,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, defa
         at, row = np.arange(len(flat[0])) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(len(sizes)), sizes)
         hits = np.flatnonzero(allow | block)
         rows, first = np.unique(row[hits], return_index=True)
-        out = pd.DataFrame({"at": np.full(len(sizes), -1, np.int32), "action": [None] * len(sizes)})
-        out.loc[rows, "at"] = at[hits[first]]
-        out.loc[rows, "action"] = np.where(block[hits[first]], "block", "allow")
-        return out
+        place, action = np.full(len(sizes), -1, np.int32), np.full(len(sizes), None, object)
+        place[rows], action[rows] = at[hits[first]], np.where(block[hits[first]], "block", "allow")
+        return pd.DataFrame({"at": place, "action": action})
 
     found = packed.withColumn("hit", first_listed("h1", "h2"))
     rule = F.when(F.col("hit.at") >= 0, F.get("keys", F.col("hit.at"))["key"])
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("hit.action", F.lit(default)).alias("verdict"))
 
 
-def _joined(keyed: DataFrame, listed: DataFrame, default: str) -> DataFrame:
-    """The same by a join, for lists whose cascade is too large for a task."""
-    each = keyed.select("host", "path", F.posexplode("keys").alias("at", "k")).select("host", "path", "at", "k.key", "k.cut").distinct()
-    hit = each.join(listed, ["key", "cut"]).groupBy("host", "path").agg(F.min(F.struct("at", "key", "action")).alias("hit"))
-    found = keyed.select("page_id", "host", "path").join(hit, ["host", "path"], "left")
-    return found.select("page_id", "host", "path", F.col("hit.key").alias("rule"), F.coalesce("hit.action", F.lit(default)).alias("verdict"))
-
-
 URL_SQL = r"""
 WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rests

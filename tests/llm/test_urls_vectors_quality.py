@@ -1,10 +1,11 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrid.llm import url_filter
 from lexigrid.llm.embedding_dedup import near_duplicates
-from lexigrid.llm.quality import CoTrained, keep_good, quality_scores
+from lexigrid.llm.quality import keep_good, quality_scores
 from lexigrid.llm.url_filter import URL_SQL, judge_urls
 
 URLS = ["http://Example.COM/en/a", "https://www.example.com/en/x?q#f", "x://a.b.net/es/", "net/es/", None, "http://net/fr/q", "http://com", "http://com?/en/", "http://notexample.com/en/", "://a.com/", "http://A.net/ES/", "http://u:p@x.org/y", "http://www.example.com/e", "a://b://c.com/", "", "http://.com/x", "http://net/fr"]
@@ -25,7 +26,10 @@ def test_urls(spark, sf, monkeypatch):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").union(spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id + 1000", "url"))
     want = {r.page_id: plain(r.url) for r in pages.collect()}
     assert {r.page_id: tuple(r)[1:] for r in judge_urls(pages).collect()} == want
-    assert {r.page_id: tuple(r)[1:] for r in judge_urls(pages, most_bytes=1).collect()} == want
+    with pytest.raises(ValueError, match="most_bytes"):
+        judge_urls(pages, most_bytes=1)
+    twice = pages.withColumn("key", F.lit(1)).union(pages.withColumn("key", F.lit(2)))
+    assert judge_urls(twice).count() == 2 * len(want)
     assert judge_urls(pages.limit(0)).count() == 0
     con = duckdb.connect()
     con.register("pages", pages.toPandas())
@@ -102,4 +106,3 @@ def test_quality_edges(spark):
     assert keep_good(docs, labels).count() == 3 and keep_good(docs, labels).columns == docs.columns
     assert {r.score for r in quality_scores(docs, labels).collect()} == {0.5}
     assert keep_good(docs.limit(0), labels).count() == 0
-    assert not CoTrained([], [], np.zeros(0), [], []).known
