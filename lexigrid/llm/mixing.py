@@ -10,7 +10,8 @@ water level, found in one pass over the sources in order of limit * size / weigh
 sources before were stopped does not reach a source's own limit, it is the level of that source and all after it.
 
 Nulls: a null text has size 0, a null source is a source of its own, a null id is hashed as a text of its own.  A source of
-size 0 has target 0 and emits nothing.  Equal ids draw equally.  An empty table gives an empty result.
+size 0 has target 0 and emits nothing.  Equal ids draw equally, so repeated rows are taken equally often.  An empty table gives
+an empty result; other columns pass through ``mix`` whatever their names.
 """
 
 from __future__ import annotations
@@ -71,15 +72,15 @@ def mix_report(docs: DataFrame, seed: int = 5, weights: tuple[int, ...] = (5, 2,
 
 def mix(docs: DataFrame, seed: int = 5, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """The mixed corpus: ``docs`` with each row as often as it is taken; all columns stay."""
-    marked = docs.withColumn("__size", words(F.col("text")))
     sums = written(docs.groupBy("source").agg(F.sum(words(F.col("text"))).alias("size")), "mix_sums")
-    targets = written(source_targets(sums, weights), "mix_targets").select(F.col("source").alias("__source"), "source_size", "target")
+    targets = written(source_targets(sums, weights), "mix_targets")
     targets = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
-    rate = F.when(F.col("__rate.source_size") > 0, F.col("__rate.target") / F.col("__rate.source_size")).otherwise(F.lit(0.0))
-    joined = marked.join(targets.select("__source", F.struct("source_size", "target").alias("__rate")), F.col("source").eqNullSafe(F.col("__source")), "left")
+    rows = docs.select(F.col("source").alias("own"), draw(F.col("doc_id"), seed).alias("draw"), F.struct("*").alias("row"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = (whole + (draw(F.col("doc_id"), seed) < rate - whole).cast("long")).cast("int")
-    return joined.select(*(F.col(c) for c in docs.columns), F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).drop("__copy")
+    copies = (whole + (F.col("draw") < rate - whole).cast("long")).cast("int")
+    joined = rows.join(targets, F.col("own").eqNullSafe(F.col("source")), "left")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")
 
 
 MIX_SQL = r"""

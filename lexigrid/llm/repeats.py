@@ -19,7 +19,8 @@ the other; keys that one passage repeats are sent once a block, so very frequent
 no one task.
 
 Nulls count as empty.  Texts of fewer than L bytes hold no repeats.  Repeated rows are documents of their own, so rows that
-are equal and long enough remove each other.  An empty table gives an empty result.
+are equal and long enough remove each other.  An empty table gives an empty result; ``remove_repeats`` passes other columns on,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -200,10 +201,10 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id"
     return blocks.with_answers(*answers).mapInArrow(_finish(finder, as_text), "doc_id long, spans array<struct<start:long,end:long>>, n_bytes long, kept binary")
 
 
-def repeat_digest(docs: DataFrame, min_bytes: int = 200) -> DataFrame:
+def repeat_digest(docs: DataFrame, min_bytes: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``repeated_spans`` as counts and a digest of what is kept."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return repeated_spans(docs, min_bytes).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return repeated_spans(docs, min_bytes, block_bytes=block_bytes).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = 200) -> DataFrame:
@@ -211,7 +212,8 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 200) -> DataFrame:
 
     Rows that are equal in doc_id and text have equal results, so one result serves them all.
     """
-    marked = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(marked.select(F.col("__key").alias("doc_id"), "text"), min_bytes, as_text=True).where(F.size("spans") > 0)
-    cut = spans.select(F.col("doc_id").alias("__key"), F.col("kept").cast("string").alias("__kept")).dropDuplicates(["__key"])
-    return marked.join(cut, "__key", "left").withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct("*").alias("row"))
+    spans = repeated_spans(rows.select("key", "row.text"), min_bytes, "key", as_text=True).where(F.size("spans") > 0)
+    cut = spans.select(F.col("doc_id").alias("key"), F.col("kept").cast("string").alias("kept")).dropDuplicates(["key"])
+    row = F.col("row")
+    return rows.join(cut, "key", "left").select(*((F.coalesce("kept", row[c]) if c == "text" else row[c]).alias(c) for c in docs.columns))

@@ -45,3 +45,18 @@ def test_repeated_and_empty_rows(spark):
             assert rows.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, rows, sf).collect()
     assert corpus_pipeline.near_duplicate_stage(spark, docs, sf).count() == 4
+
+
+def test_clashing_columns_pass_through(spark):
+    """Columns named as the stages' own intermediate ones."""
+    sf = "/root/testdata/sf0.001"
+    names = ["y", "key", "row", "id", "rows", "own", "source_size", "target", "draw", "kept", "__source", "__rate", "__id", "__key", "score"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, docs.doc_id + k)
+    docs = written(docs, "clash")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        assert all(r[n] == r.doc_id + k for r in got.collect() for k, n in enumerate(names)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0

@@ -5,9 +5,9 @@ from reference import repeats
 from lexigrid.llm.repeats import difference_cover, remove_repeats, repeat_digest
 
 
-def check(spark, texts, block_bytes=None):
+def check(spark, texts, block_bytes):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_digest(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_digest(docs, block_bytes=block_bytes).collect()}
     assert got == repeats(texts)
 
 
@@ -33,7 +33,7 @@ def test_against_brute_force_random(spark):
         cut = rnd.randint(0, 80)
         texts[i] = text[cut:]
     texts |= {1000: None, 1001: "", 1002: "q" * 500, 1003: "q" * 200, 1004: "w" * 201, 1005: "é" * 99 + "x"}
-    check(spark, texts)
+    check(spark, texts, 1000)  # some texts are longer than a block
 
 
 def test_empty_table_and_pipeline_form(spark):
