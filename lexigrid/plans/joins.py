@@ -151,12 +151,12 @@ def t_dense(spark, sf):
 NEAREST = DENSE.replace("list_dot_product(e::DOUBLE[], embedding::DOUBLE[])", "list_distance(e::DOUBLE[], embedding::DOUBLE[])").replace("DESC, vec_id", ", vec_id")
 
 
-@query("j_nearest_vec", NEAREST + " SELECT query_id, vec_id, round(score, 5) AS distance FROM ranked WHERE rank = 0")
+@query("j_nearest_vec", NEAREST + " SELECT query_id, vec_id, round(score, 4) AS distance FROM ranked WHERE rank = 0")
 def j_nearest_vec(spark, sf):
     """The vector at the least Euclidean distance from each of the query set."""
     vectors = table(spark, sf, "embeddings")
-    near = R.dense(vectors, vectors.where("vec_id % 100 = 0"), R.distance).groupBy("query_id").agg(F.min(F.struct(F.round("score", 6).alias("score"), "vec_id")).alias("best"))
-    return near.select("query_id", "best.vec_id", F.round("best.score", 5).alias("distance"))
+    near = R.dense(vectors, vectors.where("vec_id % 100 = 0"), R.distance).groupBy("query_id").agg(F.min(F.struct(F.round("score", 6), "vec_id", F.col("score").alias("raw"))).alias("best"))
+    return near.select("query_id", "best.vec_id", F.round("best.raw", 4).alias("distance"))
 
 
 FUSED = BM25 + """, lists AS (SELECT item_id, doc_id, rank FROM ranked WHERE rank < 10
