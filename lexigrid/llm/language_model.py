@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.blocks import BLOCK_BYTES, buckets_for
 from lexigrid.llm.ngram_join import LOWER
-from lexigrid.llm.shared import shuffle_partitions, written, written_buckets
+from lexigrid.llm.shared import shuffle_partitions, written_buckets
 
 END = np.uint64(0xE17D5EED)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -255,11 +255,11 @@ def score_texts(docs: DataFrame, min_count: int = 12, smoothing: float = 4.0, de
     def table() -> DataFrame:
         if not answers:
             return blocks.withColumn("answers", F.lit(None).cast("array<struct<kind:int,bucket:int,total:binary,own:binary>>"))
-        every = answers[0]
-        for a in answers[1:]:
-            every = every.union(a)
-        by_block = every.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "total", "own")).alias("answers"))
-        return blocks.join(by_block.hint("shuffle_hash"), "block", "left")
+        out, own = blocks, F.array().cast("array<struct<kind:int,bucket:int,total:binary,own:binary>>")
+        for k, a in enumerate(answers):  # dealt by block as the blocks are, so each is shuffled once for all later rounds
+            out = out.join(a.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "total", "own")).alias(f"a{k}")).hint("shuffle_hash"), "block", "left")
+        every = F.concat(*(F.coalesce(f"a{k}", own) for k in range(len(answers))))
+        return out.select(*blocks.columns, every.alias("answers"))
 
     penalty = 0.0
     for rounds in range(depth + 2):
@@ -268,7 +268,8 @@ def score_texts(docs: DataFrame, min_count: int = 12, smoothing: float = 4.0, de
             return pa.RecordBatch.from_pylist(tree(row, _answers(row), rounds), schema=ASKED)
 
         asked = table().mapInArrow(_over(send), "kind int, bucket int, block long, keys binary, values binary")
-        answers.append(written(asked.groupBy("kind", "bucket").applyInPandas(_sum(penalty), ANSWER), f"lm_round{rounds}"))
+        summed = asked.groupBy("kind", "bucket").applyInPandas(_sum(penalty), ANSWER).repartition(shuffle_partitions(spark), "block")
+        answers.append(written_buckets(summed, f"lm_round{rounds}", "block", shuffle_partitions(spark)))
         if not rounds:
             sums = answers[0].agg(F.sum("n"), F.sum("v")).first()
             tree.n, tree.v = sums[0] or 0, sums[1] or 0
