@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexigrid.llm.divergence import DIVERGENCE_SQL, divergence
 from lexigrid.llm.embedding_dedup import near_duplicates
 from lexigrid.llm.language_model import score_texts
 from lexigrid.llm.media import add_media, media_features
@@ -63,9 +64,13 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": URL_SQL, "op5_source_mixing": MIX_SQL}
+    return {"op2_url_filters": URL_SQL, "op5_source_mixing": MIX_SQL, "op13_source_divergence": DIVERGENCE_SQL}
