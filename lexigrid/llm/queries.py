@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigrid.llm.divergence import DIVERGENCE_SQL, divergence
 from lexigrid.llm.embedding_dedup import near_duplicates
 from lexigrid.llm.language_model import score_texts
+from lexigrid.llm.licenses import license_sql, scan_licenses
 from lexigrid.llm.media import add_media, media_features
 from lexigrid.llm.mixing import MIX_SQL, mix_report
 from lexigrid.llm.ngram_join import ngram_groups
@@ -64,6 +65,10 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_table(spark, sf_dir, "documents"))
 
@@ -73,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": URL_SQL, "op5_source_mixing": MIX_SQL, "op13_source_divergence": DIVERGENCE_SQL}
+    return {"op2_url_filters": URL_SQL, "op5_source_mixing": MIX_SQL, "op12_license_scan": license_sql(), "op13_source_divergence": DIVERGENCE_SQL}
