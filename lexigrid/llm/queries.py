@@ -18,6 +18,7 @@ from lexigrid.llm.quality import quality_scores
 from lexigrid.llm.repeats import repeat_digest
 from lexigrid.llm.shared import written
 from lexigrid.llm.simple8b import token_report
+from lexigrid.llm.token_alignment import align_tokens
 from lexigrid.llm.url_filter import URL_SQL, judge_urls
 
 
@@ -65,6 +66,10 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
