@@ -40,8 +40,8 @@ VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<do
 
 def terms_of(text: Column) -> Column:
     """The terms of a text in their order: runs of Latin letters and of characters beyond ASCII, only A-Z lower-cased."""
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, SEPARATORS), lambda t: t != "")
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
 def _term_table(docs: DataFrame, most_langs: int) -> tuple[DataFrame, list[str]]:
@@ -59,8 +59,9 @@ def _term_table(docs: DataFrame, most_langs: int) -> tuple[DataFrame, list[str]]
 
 def _slices(terms: DataFrame, min_docs: int, vocabulary_bytes: int) -> dict[int, int]:
     """For each language with kept terms, in how many slices its vocabulary is to be taken."""
-    seen = terms.select("lang_no", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang_no", "term").count().where(F.col("count") >= min_docs)
-    size = seen.groupBy("lang_no").agg(F.sum(F.octet_length("term") + 64).alias("bytes"))
+    each = terms.select("lang_no", F.explode(F.array_distinct("terms")).alias("term"))  # hashes will do: only sizes are asked for
+    seen = each.groupBy("lang_no", F.xxhash64("term")).agg(F.count("*").alias("n"), F.max(F.octet_length("term")).alias("length")).where(F.col("n") >= min_docs)
+    size = seen.groupBy("lang_no").agg(F.sum(F.col("length") + 64).alias("bytes"))
     return {r.lang_no: -(-r.bytes // vocabulary_bytes) for r in size.collect()}
 
 

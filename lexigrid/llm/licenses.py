@@ -97,8 +97,9 @@ def templates() -> list[Template]:
 
 
 def words_of(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, SEPARATORS), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
 def _rolled(hashes: str, step: int, n: Column) -> Column:
