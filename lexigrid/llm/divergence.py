@@ -10,7 +10,7 @@ with p0 the value of an absent term,
 
 The second and third sums come from a histogram of p's values (few are distinct), the last from a join on terms.
 
-Bounds: CountVectorizer keeps its vocabulary on the driver and in every executor.  The kept terms' bytes are counted first, and a
+Bounds: CountVectorizer keeps its vocabulary on the driver and in every executor.  Its bytes are bounded first, and a
 language with more than ``vocabulary_bytes`` of them is taken in slices by hash of the term, each with a vectorizer of its own.
 Languages are listed on the driver; more than ``most_langs`` are refused with an error.
 
@@ -25,6 +25,7 @@ import string
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,14 +54,15 @@ def _term_table(docs: DataFrame, most_langs: int) -> tuple[DataFrame, list[str]]
     number = F.array_position(F.array(*map(F.lit, langs)).cast("array<string>"), lang) - 1
     rows = docs.select(F.coalesce("source", F.lit("")).alias("source"), terms_of(F.coalesce("text", F.lit(""))).alias("terms"), number.cast("int").alias("lang_no"))
     path = shared_path(spark, "terms")
-    rows.write.partitionBy("lang_no").option("compression", "zstd").parquet(path)
+    rows.write.partitionBy("lang_no").option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)  # read three times, then done
     return spark.read.schema("source string, terms array<string>, lang_no int").parquet(path), langs
 
 
 def _slices(terms: DataFrame, min_docs: int, vocabulary_bytes: int) -> dict[int, int]:
-    """For each language with kept terms, in how many slices its vocabulary is to be taken."""
-    each = terms.select("lang_no", F.explode(F.array_distinct("terms")).alias("term"))  # hashes will do: only sizes are asked for
-    seen = each.groupBy("lang_no", F.xxhash64("term")).agg(F.count("*").alias("n"), F.max(F.octet_length("term")).alias("length")).where(F.col("n") >= min_docs)
+    """For each language that may have kept terms, in how many slices its vocabulary is to be taken.  Terms that occur as often as a kept one must
+    are counted, in however few documents: a bound from above.  Hashes will do, as only sizes are asked for."""
+    each = terms.select("lang_no", F.explode("terms").alias("term")).groupBy("lang_no", F.xxhash64("term"))
+    seen = each.agg(F.count("*").alias("n"), F.max(F.octet_length("term")).alias("length")).where(F.col("n") >= min_docs)
     size = seen.groupBy("lang_no").agg(F.sum(F.col("length") + 64).alias("bytes"))
     return {r.lang_no: -(-r.bytes // vocabulary_bytes) for r in size.collect()}
 
@@ -71,21 +73,26 @@ def _in_slice(k: int, many: int) -> Callable[[Column], Column]:
 
 def document_vectors(spark: SparkSession, terms: DataFrame, slices: dict[int, int], min_docs: int) -> tuple[DataFrame, DataFrame]:
     """Written tables: sparse count vectors (lang_no, slice, source, vector), and vocabularies (lang_no, slice, place, term)."""
-    at, words = shared_path(spark, "vectors"), shared_path(spark, "vocabulary")
+    at, words, found = shared_path(spark, "vectors"), shared_path(spark, "vocabulary"), False
     for no, many in sorted(slices.items()):
         for k in range(many):
             mine = terms.where(F.col("lang_no") == no).select("source", "terms")
             if many > 1:
                 mine = mine.withColumn("terms", F.filter("terms", _in_slice(k, many)))
-            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(mine)
-            place = f"lang_no={no}/slice={k}"
-            model.transform(mine).select("source", "vector").write.option("compression", "zstd").parquet(f"{at}/{place}")
+            try:
+                model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(mine)
+            except IllegalArgumentException as e:
+                if "vocabulary size should be > 0" in str(e):  # no term is in enough documents
+                    continue
+                raise
+            place, found = f"lang_no={no}/slice={k}", True
+            model.transform(mine).select("source", "vector").write.option("compression", "snappy").parquet(f"{at}/{place}")
             kept = pd.DataFrame({"place": range(len(model.vocabulary)), "term": model.vocabulary})
             spark.createDataFrame(kept, "place int, term string").write.parquet(f"{words}/{place}")
-    if not slices:
-        keys = "lang_no int, slice int"
+    keys = "lang_no int, slice int"
+    if not found:
         return spark.createDataFrame([], f"source string, vector {VECTOR}, {keys}"), spark.createDataFrame([], f"place int, term string, {keys}")
-    return spark.read.schema(f"source string, vector {VECTOR}, lang_no int, slice int").parquet(at), spark.read.schema("place int, term string, lang_no int, slice int").parquet(words)
+    return spark.read.schema(f"source string, vector {VECTOR}, {keys}").parquet(at), spark.read.schema(f"place int, term string, {keys}").parquet(words)
 
 
 def _p(count: str, n: str, v: str) -> Column:
