@@ -3,11 +3,13 @@
 Filters are caps around directions of a structured random product code: after a random rotation the coordinates fall into
 ``blocks`` blocks, each with its own random unit codewords, and a direction is one codeword of each.  A vector belongs to all
 filters whose direction it meets with more than a threshold; these are list-decoded block by block, dropping every partial sum
-that the best remaining codewords can't lift over the threshold; a vector that exceeds few goes to its 12 best.  Vectors that share a filter are compared in double precision.
+that the best remaining codewords can't lift over the threshold; a vector that exceeds few goes to its ``spread`` best.  Vectors that share a filter are compared in double precision.
 
 The number of filters grows with the number of vectors so that a filter holds about ``load`` of them while each vector is in
-about ``spread`` filters; two vectors with a cosine of 0.95 share half of these or more, so a link is missed with a probability
-of some 1e-4 (the tests measure recall against brute force).  Equal vectors are one class from the start and weigh as many
+about ``spread`` filters.  Filters that get narrower are shared by fewer of the pairs at the least cosine, so both numbers are chosen for
+the dimension and the number of vectors by ``calibrated``: of pairs at exactly the least cosine, drawn at random, all but one in a
+thousand must share a filter (closer pairs share more).  Because the code's rotation is random, what holds for random pairs holds for any
+pair of the data.  Where no choice reaches that, the vectors of that dimension are one filter, compared in parts, exactly.  Equal vectors are one class from the start and weigh as many
 links as they have rows, so large groups of copies aren't compared; a filter of more than ``most`` vectors is dealt into parts
 of about ``most``, and a task compares one part with another or with itself.  A pair is counted in the first filter that both
 share.  Each task gives back the components of its links, so chains over vectors in any order stay together.
@@ -22,6 +24,7 @@ other than id and vector aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -33,16 +36,17 @@ from lexigrid.llm.components import connected_components
 from lexigrid.llm.shared import written
 
 
-LEAST = 12
 SMALL = 12
+SPREADS, LOADS = (20, 40, 80, 160, 320), (200, 400, 800, 1600, 3200, 6400)
 SALTS = 8
 
 
 class ProductCode:
-    def __init__(self, dim: int, vectors: int, blocks: int = 3, spread: float = 20.0, load: float = 200.0, seed: int = 7):
+    def __init__(self, dim: int, vectors: int, blocks: int = 2, spread: float = 20.0, load: float = 200.0, seed: int = 7):
         rng = np.random.default_rng(seed)
         share = min(0.2, load / max(1, vectors))  # of all vectors in a filter
         self.words = max(4, round((spread / share) ** (1 / blocks)))
+        self.least = min(round(spread), self.words**blocks)
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.cuts = [np.arange(dim)[k::blocks] for k in range(blocks)]
         self.codes = []
@@ -53,18 +57,19 @@ class ProductCode:
         self.threshold = NormalDist().inv_cdf(1 - spread / self.words**blocks) / np.sqrt(dim)
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters that unit vectors exceed; each row's ``LEAST`` best too, whether exceeded or not."""
+        """(row, filter) of all filters that unit vectors exceed; each row's ``spread`` best too, whether exceeded or not."""
         y = x @ self.rotation
         scores = [y[:, cut] @ code.T for cut, code in zip(self.cuts, self.codes, strict=True)]
         best = [s.max(axis=1) for s in scores]
         row, total, name = np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64)
-        # the best filters among combinations of each block's three best words, for vectors that exceed few
+        # the best filters among combinations of each block's best words, for vectors that exceed few
+        some = min(self.words, int(2.5 * self.least ** (1 / len(self.cuts))) + 2)
         high, top = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
         for s in scores:
-            words = np.argsort(-s, axis=1)[:, :3]
+            words = np.argsort(-s, axis=1)[:, :some]
             high = (high[:, :, None] + np.take_along_axis(s, words, axis=1)[:, None, :]).reshape(len(x), -1)
             top = (top[:, :, None] * self.words + words[:, None, :]).reshape(len(x), -1)
-        top = np.take_along_axis(top, np.argsort(-high, axis=1)[:, :LEAST], axis=1)
+        top = np.take_along_axis(top, np.argsort(-high, axis=1)[:, : self.least], axis=1)
         for k, s in enumerate(scores):
             rest = sum(best[k + 1 :], np.zeros(len(x)))
             lists = np.argsort(-s, axis=1)
@@ -79,24 +84,52 @@ class ProductCode:
         return pairs[:, 0], pairs[:, 1]
 
 
+def shared_by(code: ProductCode, dim: int, cosine: float, pairs: int, seed: int = 11) -> float:
+    """The share of random pairs of unit vectors at that cosine which meet in a filter."""
+    rng, met = np.random.default_rng(seed), 0
+    for s in range(0, pairs, 500):
+        x, z = rng.normal(size=(2, min(500, pairs - s), dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        (i, f), (j, g) = code.decode(x), code.decode(y)
+        filters = code.words ** len(code.cuts)
+        both = np.isin(i * filters + f, j * filters + g)
+        met += len(np.unique(i[both]))
+    return met / pairs
+
+
+@lru_cache(64)
+def calibrated(dim: int, vectors: int, cosine: float, recall: float = 0.999, pairs: int = 3000) -> tuple[float, float] | None:
+    """(spread, load) of the least work, spread times load, at which ``recall`` of the pairs at ``cosine`` share a filter; None where none tried does, or
+    where comparing all pairs is less work than that."""
+    for spread, load in sorted(((s, n) for s in SPREADS for n in LOADS), key=lambda t: (t[0] * t[1], t[0])):
+        if spread * load > max(vectors, SPREADS[0] * LOADS[0]):
+            return None
+        code = ProductCode(dim, vectors, spread=spread, load=load)
+        if shared_by(code, dim, cosine, 300) >= 0.99 and shared_by(code, dim, cosine, pairs) >= recall:
+            return float(spread), float(load)
+    return None
+
+
 def _unit(vectors: list) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _assign(vectors: dict[int, int]):
-    """Each vector with its filters; ``vectors``: how many there are of each dimension."""
+def _assign(vectors: dict[int, int], chosen: dict[int, tuple[float, float] | None]):
+    """Each vector with its filters; ``vectors``: how many there are of each dimension, ``chosen``: its spread and load, None for one filter."""
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: dict[int, ProductCode] = {}
         for f in frames:
             for dim, same in f.groupby("dim"):
-                if dim >= SMALL and dim not in codes:
-                    codes[dim] = ProductCode(dim, vectors[dim])
+                if chosen[dim] and dim not in codes:
+                    codes[dim] = ProductCode(dim, vectors[dim], spread=chosen[dim][0], load=chosen[dim][1])
                 for s in range(0, len(same), 512):
                     part = same.iloc[s : s + 512]
-                    row, name = codes[dim].decode(_unit(list(part["v"]))) if dim >= SMALL else (np.arange(len(part)), np.zeros(len(part), np.int64))
+                    row, name = codes[dim].decode(_unit(list(part["v"]))) if chosen[dim] else (np.arange(len(part)), np.zeros(len(part), np.int64))
                     lists = np.split(name, np.flatnonzero(np.diff(row)) + 1)
                     yield pd.DataFrame({"dim": dim, "filter": name, "rep": part["rep"].to_numpy()[row], "weight": part["weight"].to_numpy()[row], "v": part["v"].to_numpy()[row], "filters": [lists[r] for r in row]})
 
@@ -170,9 +203,10 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95, most: int = 300
     vectors = {r.dim: r["count"] for r in classes.groupBy(F.size("v").alias("dim")).count().collect()}
     if not vectors:
         return rows.select("vec_id", *alone)
+    chosen = {d: calibrated(d, n, cosine) if d >= SMALL else None for d, n in vectors.items()}
     stored = dict(embeddings.dtypes)[vector_col]
     members = classes.select(F.size("v").alias("dim"), "rep", "weight", F.col("v").cast("array<float>").alias("v") if stored == "array<float>" else "v")
-    members = written(members.mapInPandas(_assign(vectors), f"dim int, filter long, rep long, weight long, v {stored}, filters array<long>"), "cap_filters")
+    members = written(members.mapInPandas(_assign(vectors, chosen), f"dim int, filter long, rep long, weight long, v {stored}, filters array<long>"), "cap_filters")
     sizes = members.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1").select("dim", "filter", F.ceil(F.col("n") / most).cast("int").alias("parts"))
     dealt = members.join(sizes, ["dim", "filter"]).withColumn("part", F.pmod(F.xxhash64("rep", "filter"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))

@@ -10,7 +10,8 @@ reader can read it.
 parses the markers, decodes the scan's Huffman codes in numpy and keeps luminance DC coefficients only.
 
 Null payloads count as empty; an empty payload is padded to one row of 64 zero bytes.  The longest side of a JPEG is 65,535
-samples, so payloads over 64 * 8191 bytes get wider rows, in multiples of 64 blocks; the comment marker holds the true length.
+samples, so payloads over 64 * 8191 bytes get wider rows, in multiples of 64 blocks, and payloads over ``MOST`` bytes (some 66 MB) are
+several images, one after the other; the comment marker holds the true length of each.
 Images are made and read a document at a time, so memory is bounded by the longest document.  Equal texts give equal images,
 repeated rows a row each, an empty table an empty result; columns other than id and text aren't read.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 ROW = 64
 MOST_ROWS = 65535 // 8
+MOST = ROW * MOST_ROWS * (65535 // (8 * ROW))
 BATCH_BYTES = 8 << 20
 
 
@@ -52,8 +54,22 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 255, marker, len(body) + 2) + body
 
 
+def to_media(payload: bytes, most: int = MOST) -> bytes:
+    """``payload``, a positive multiple of 64 bytes, as images in a row of ``most`` bytes each."""
+    return b"".join(to_jpeg(payload[s : s + most]) for s in range(0, len(payload), most))
+
+
+def images(media: bytes) -> Iterator[dict]:
+    """The parsed images of a row of them."""
+    at = 0
+    while at < len(media):
+        image = parse(media, at)
+        at = image["end"]
+        yield image
+
+
 def to_jpeg(payload: bytes) -> bytes:
-    """``payload``: a positive multiple of 64 bytes."""
+    """``payload``: a positive multiple of 64 bytes, ``MOST`` at most."""
     width = ROW * -(-len(payload) // (ROW * MOST_ROWS))
     rows = -(-len(payload) // width)
     data = np.frombuffer(payload.ljust(rows * width, b"\0"), np.uint8)
@@ -69,12 +85,12 @@ def to_jpeg(payload: bytes) -> bytes:
     ])
 
 
-def parse(data: bytes) -> dict:
-    """Markers up to the scan: size, comment, components, quantiser steps, Huffman tables, restart interval, scan bytes."""
-    if data[:2] != b"\xff\xd8":
+def parse(data: bytes, at: int = 0) -> dict:
+    """Markers up to the scan: size, comment, components, quantiser steps, Huffman tables, restart interval, scan bytes; and where the image ends."""
+    if data[at : at + 2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     out: dict = {"quant": {}, "huff": {}, "restart": 0, "comment": b""}
-    at = 2
+    at += 2
     while True:
         if data[at] != 255:
             raise ValueError("marker expected")
@@ -106,8 +122,8 @@ def parse(data: bytes) -> dict:
             out["restart"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
             out["order"] = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
-            end = data.rfind(b"\xff\xd9")
-            out["scan"] = data[at : end if end >= at else len(data)]
+            end = data.find(b"\xff\xd9", at)  # within a scan 255 is followed by 0 or a restart marker
+            out["scan"], out["end"] = (data[at:end], end + 2) if end >= 0 else (data[at:], len(data))
             return out
 
 
@@ -278,7 +294,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def image(doc: int | None, text: bytes) -> dict:
-        return {"doc_id": doc, "n_bytes": len(text), "media": to_jpeg(text.ljust(max(ROW, -(-len(text) // ROW) * ROW), b"\0"))}
+        return {"doc_id": doc, "n_bytes": len(text), "media": to_media(text.ljust(max(ROW, -(-len(text) // ROW) * ROW), b"\0"))}
 
     for batch in batches:
         rows = (image(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
@@ -299,13 +315,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            image = parse(media)
-            thumb = dc_thumbnail(image)
-            payload = thumb.tobytes()[: struct.unpack(">Q", image["comment"])[0]]
+            payload, shown = [], []
+            for image in images(media):
+                thumb = dc_thumbnail(image)
+                payload.append(thumb.tobytes()[: struct.unpack(">Q", image["comment"])[0]])
+                shown.append((image["width"], image["height"], thumbnail_hash(thumb)))
+            payload = b"".join(payload)
             out.append({
-                "doc_id": doc, "n_bytes": n, "width": image["width"], "height": image["height"], "payload_bytes": len(payload),
+                "doc_id": doc, "n_bytes": n, "width": shown[0][0], "height": shown[0][1], "payload_bytes": len(payload),
                 "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-ROW:]), "media_bytes": len(media),
-                "media_sha256": hashlib.sha256(media).hexdigest(), "feature": f"{image['width']}x{image['height']}:{thumbnail_hash(thumb)}",
+                "media_sha256": hashlib.sha256(media).hexdigest(), "feature": "+".join(f"{w}x{h}:{x}" for w, h, x in shown),
             })
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 

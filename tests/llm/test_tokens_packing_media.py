@@ -218,3 +218,16 @@ def test_media_edges(spark):
     assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == [(0, 1), (1, 1), (1, 1), (2, 0)]
     assert len({tuple(r)[1:] for r in got if r.doc_id == 1}) == 1
     assert media.media_features(media.add_media(docs.limit(0))).count() == 0
+
+
+def test_media_of_several_images():
+    """A payload over what one image holds, at the bound and beyond it; the real bound is 66,576,448 bytes."""
+    from lexigrid.llm import media
+
+    assert media.MOST == 66_576_448
+    payload = bytes(np.random.default_rng(4).integers(0, 256, 64 * 31, dtype=np.uint8))
+    for most, count in ((64 * 31, 1), (64 * 30, 2), (64 * 10, 4), (64, 31)):
+        stored = media.to_media(payload, most)
+        found = list(media.images(stored))
+        assert len(found) == count and found[-1]["end"] == len(stored)
+        assert b"".join(media.dc_thumbnail(x).tobytes()[: int.from_bytes(x["comment"])] for x in found) == payload
