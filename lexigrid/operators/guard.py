@@ -16,7 +16,8 @@ def first_level(tokens: DataFrame, forms: Callable[[Column], Column], levels: li
     """
     singles = {w for _, phrases in levels for p in phrases for w in p.split()}
     held = F.array_intersect(forms(F.col("word")), F.array(*map(F.lit, sorted(singles))))
-    known = tokens.select("word").distinct().select("word", held.alias("held")).where(F.size("held") > 0)
+    each = tokens.select("word").distinct().select("word", F.explode_outer(held).alias("one"))  # outer: a filter on the forms themselves would be moved to every token
+    known = each.where("one IS NOT NULL").groupBy("word").agg(F.collect_set("one").alias("held"))
     marked = tokens.join(known, "word", "left")
     before = F.when(F.lag("pos").over(Window.partitionBy(by).orderBy("pos")) == F.col("pos") - 1, F.lag("held").over(Window.partitionBy(by).orderBy("pos")))
     marked = marked.withColumn("before", before).where("held IS NOT NULL")

@@ -110,8 +110,10 @@ def s_num_ar(spark, sf):
 
 
 # Words and pairs, as keys, that mark a request for a ruling (D) and a disputed matter (C).
-D_PHRASES = ("حرام", "حلال", "يحرم", "يجوز", "تجوز", "يحل", "يصح", "افتوني", "افتني", "فتوي", "يفتي", "ما حكم", "هل علي", "يجب علي", "حكم شرع")
-C_PHRASES = ("خلاف", "اختلاف", "راجح", "اختلف علماء", "قول راجح")
+D_WORDS = ("حرام", "حلال", "يحرم", "يجوز", "تجوز", "يحل", "يصح", "افتوني", "افتني", "فتوي", "يفتي")
+D_PAIRS = ("ما حكم", "هل علي", "يجب علي", "حكم شرع")
+C_WORDS = ("خلاف", "اختلاف", "راجح")
+C_PAIRS = ("اختلف علماء", "قول راجح")
 #: Words that the turns' words are written as, by their letters; all but the first twelve mean nothing here.
 _SAID = ("والحرام", "بالخلاف", "ما", "الحكم", "هل", "علي", "يجب", "اختلف", "العلماء", "القول", "ويجوز", "شرع", "كتاب", "بيت", "الكتاب", "مدرسه", "طالب", "قلم", "الباب", "سماء", "ارض", "والقمر", "شمس", "نهر", "جبل", "بحر", "طريق")
 _PICK = f"(ascii(w) * 31 + ascii(right(w, 1)) * 17 + length(w) * 7) % {4 * len(_SAID)}"
@@ -124,7 +126,7 @@ def _level(phrases: tuple[str, ...]) -> str:
     return f"SELECT id FROM s WHERE v IN (SELECT * FROM (VALUES {one})) UNION SELECT a.id FROM s a JOIN s b ON a.id = b.id AND b.p = a.p + 1 WHERE (a.v, b.v) IN (SELECT (x, y) FROM (VALUES {two}) t(x, y))"
 
 
-@query("f_level", f"""WITH t AS {_TURNS}, forms AS (SELECT word, v FROM {stems_sql('SELECT DISTINCT word FROM t')} UNION SELECT word, word FROM t), s AS (SELECT id, p, v FROM t JOIN forms USING (word)), d AS ({_level(D_PHRASES)}), c AS ({_level(C_PHRASES)})
+@query("f_level", f"""WITH t AS {_TURNS}, forms AS (SELECT word, v FROM {stems_sql('SELECT DISTINCT word FROM t')} UNION SELECT word, word FROM t), s AS (SELECT id, p, v FROM t JOIN forms USING (word)), d AS ({_level(D_WORDS + D_PAIRS)}), c AS ({_level(C_WORDS + C_PAIRS)})
 SELECT DISTINCT id, CASE WHEN id IN (SELECT id FROM d) THEN 'D' WHEN id IN (SELECT id FROM c) THEN 'C' ELSE 'B' END AS level FROM t""")
 def f_level(spark, sf):
     """Each turn's level, by the light stems of its words: D before C, else B."""
@@ -132,7 +134,7 @@ def f_level(spark, sf):
     k = (F.ascii(w) * 31 + F.ascii(F.right(w, F.lit(1))) * 17 + F.length(w) * 7) % (4 * len(_SAID))
     each = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.posexplode(T.words(F.col("text"))).alias("pos", "w"))
     tokens = each.select("id", "pos", F.coalesce(F.get(said, k), F.lit("كتاب")).alias("word"))
-    levels = G.first_level(tokens, A.light_stems, [("D", list(D_PHRASES)), ("C", list(C_PHRASES))], "id")
+    levels = G.first_level(tokens, A.light_stems, [("D", [*D_WORDS, *D_PAIRS]), ("C", [*C_WORDS, *C_PAIRS])], "id")
     return levels.select("id", F.coalesce("level", F.lit("B")).alias("level"))
 
 

@@ -1,7 +1,7 @@
 """Files that hold many parts: packs of named arrays, matrices of fixed rows, and texts inside archives, read by part.
 
 Each is a Spark data source whose partitions are files, or ranges of one, known from the folder's listing alone.  A task opens its file where it
-is, reads the index at its end and seeks to the parts asked for; what a filter on names or rows excludes is not read.  Files are reached through
+is, reads the index at its end and seeks to the parts asked for; what an option on names or rows excludes is not read.  Files are reached through
 pyarrow's file systems, so a folder may be in any store that these know.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from uuid import uuid4
@@ -20,9 +20,7 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThan
-
-PUSH = "spark.sql.python.filterPushdown.enabled"
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -69,17 +67,13 @@ class RowPart(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """Keeps the values that filters on one column allow; Spark still applies every filter itself."""
+    """``only``: the names asked for by the option of that name, separated by commas; None for all.
 
-    def __init__(self, options: dict, column: str):
-        self.options, self.column, self.only = options, column, None
+    Options, not pushed filters: Spark keeps a source's pushed filters for every later use of the same DataFrame."""
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == (self.column,):
-                values = set(f.value if isinstance(f, In) else [f.value])
-                self.only = values if self.only is None else self.only & values
-            yield f
+    def __init__(self, options: dict, option: str):
+        self.options, named = options, options.get(option)
+        self.only = set(named.split(",")) if named is not None else None
 
 
 class _PackReader(_Reader):
@@ -103,7 +97,7 @@ def arrays_of(file: io.BufferedReader, only: set[str] | None = None) -> Iterator
 
 
 class PackSource(DataSource):
-    """``spark.read.format("packs").load(folder)``: (pack, name, shape, values) of every array of its .npz files."""
+    """``spark.read.format("packs").load(folder)``: (pack, name, shape, values) of every array of its .npz files, or of those in the option ``names``."""
 
     @classmethod
     def name(cls) -> str:
@@ -113,24 +107,15 @@ class PackSource(DataSource):
         return "pack string, name string, shape array<int>, values array<double>"
 
     def reader(self, schema) -> _PackReader:  # noqa: ANN001
-        return _PackReader(self.options, "name")
+        return _PackReader(self.options, "names")
 
 
 class _RowReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options, self.low, self.high = options, 0, None
+        self.options, self.low, self.high = options, int(options.get("begin", 0)), options.get("end")
+        self.high = None if self.high is None else int(self.high)
         self.dims, self.kind, self.rows = int(options["dims"]), np.dtype(options.get("dtype", "float16")), int(options.get("rows", 65536))
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        for f in filters:
-            if getattr(f, "attribute", None) == ("row",):
-                if isinstance(f, (GreaterThanOrEqual, EqualTo)):
-                    self.low = max(self.low, f.value)
-                if isinstance(f, (LessThan, EqualTo)):
-                    high = f.value + isinstance(f, EqualTo)
-                    self.high = high if self.high is None else min(self.high, high)
-            yield f
-
     def partitions(self) -> list[RowPart]:
         out, first, width = [], 0, self.dims * self.kind.itemsize
         for path, size in _files(self.options["path"], ""):
@@ -151,7 +136,7 @@ class _RowReader(DataSourceReader):
 
 class RowSource(DataSource):
     """``spark.read.format("matrix").option("dims", d).load(path)``: (row, values) of a file of numbers, ``rows`` rows a partition; a folder's files follow
-    each other by name."""
+    each other by name.  Options ``begin`` and ``end``: only rows from the one to before the other."""
 
     @classmethod
     def name(cls) -> str:
@@ -190,7 +175,7 @@ class _SplitReader(_Reader):
 
 class SplitSource(DataSource):
     """``spark.read.format("zip_splits").load(folder)``: (archive, split, participant, file, gloss) of the train, val and test lists inside archives,
-    found by their members' names; columns go by any of their usual names.  Rows without file or gloss are left out."""
+    found by their members' names; columns go by any of their usual names.  Rows without file or gloss are left out.  Option ``splits``: only these."""
 
     @classmethod
     def name(cls) -> str:
@@ -200,7 +185,7 @@ class SplitSource(DataSource):
         return "archive string, split string, participant string, file string, gloss string"
 
     def reader(self, schema) -> _SplitReader:  # noqa: ANN001
-        return _SplitReader(self.options, "split")
+        return _SplitReader(self.options, "splits")
 
 
 class _Utf16Reader(_Reader):
@@ -221,7 +206,8 @@ class _Utf16Reader(_Reader):
 
 
 class Utf16Source(DataSource):
-    """``spark.read.format("zip_utf16").load(folder)``: (archive, member, line, text) of the .txt members of archives, in UTF-16 with or without a mark."""
+    """``spark.read.format("zip_utf16").load(folder)``: (archive, member, line, text) of the .txt members of archives, in UTF-16 with or without a mark.
+    Option ``members``: only these."""
 
     @classmethod
     def name(cls) -> str:
@@ -231,14 +217,13 @@ class Utf16Source(DataSource):
         return "archive string, member string, line long, text string"
 
     def reader(self, schema) -> _Utf16Reader:  # noqa: ANN001
-        return _Utf16Reader(self.options, "member")
+        return _Utf16Reader(self.options, "members")
 
 
 def registered(spark: SparkSession) -> SparkSession:
-    """``spark`` with these sources, and filters handed to them."""
+    """``spark`` with these sources."""
     for source in (PackSource, RowSource, SplitSource, Utf16Source):
         spark.dataSource.register(source)
-    spark.conf.set(PUSH, "true")
     return spark
 
 
