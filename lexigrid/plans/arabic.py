@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import arabic as A
 from lexigrid.functions import text as T
+from lexigrid.operators import arabic_lookup as K
 from lexigrid.operators import guard as G
-from lexigrid.operators import lexicon as L
+from lexigrid.operators import morphology as M
 from lexigrid.plans.text import VOCAB
 from lexigrid.registry import query, table
 
@@ -138,24 +139,83 @@ def f_level(spark, sf):
     return levels.select("id", F.coalesce("level", F.lit("B")).alias("level"))
 
 
-_LEX = f"SELECT DISTINCT translate(unnest(regexp_extract_all(lower(text), '[a-z]+')), '{LATIN}', '{PLAIN}') AS key FROM benchmark"
-_NO_VERB = "NOT starts_with(word, 'ي')"
-
-
-@query("j_cascade_ar", f"""WITH v AS ({AR_VOCAB}), l AS ({_LEX}), stems AS (SELECT word, v AS f, 1000000000 - length(v) * 10000000 + row_number() OVER (PARTITION BY word ORDER BY n) AS k FROM {stems_sql('SELECT * FROM v')}),
-routes AS (SELECT word, word AS f, 0 AS route, 0 AS k FROM v UNION ALL SELECT word, f, 1, k FROM stems WHERE length(f) >= 3 AND {_NO_VERB}
- UNION ALL SELECT word, left(word, length(word) - 1), 2, 0 FROM v WHERE length(word) >= 4 AND ends_with(word, 'ا') AND {_NO_VERB}
- UNION ALL SELECT word, s, 3, k FROM {singulars_sql('(SELECT word, word AS f FROM v)')} WHERE length(s) >= 3 AND {_NO_VERB})
-SELECT word, arg_min(f, (route, k)) AS entry, CAST(min(route) AS INT) AS route FROM routes JOIN l ON f = key GROUP BY word""")
+# The lookup's tables: each Latin word stands for a token with final ta (h) and its key; entries are the benchmark's words, every third with the
+# article; readings and synonyms are derived from the words' letters.
+TOKEN = PLAIN.replace("ه", "ة")
+POS = ("noun", "verb", "adj", "prep", "verb", "noun_quant", "verb")
+_COUNTED = ["و" + w for ws in A.NUMBERS.values() for w in ws] + ["بال" + A.NUMBERS[5][0], A.NUMBERS[7][1]]
+_H = "(ascii(w) * 31 + length(w) * 7 + ascii(right(w, 1)) * 17)"
+
+
+def _bare_sql(x: str, prefixes: tuple[str, ...], left: int) -> str:
+    return "CASE " + " ".join(f"WHEN starts_with({x}, '{p}') AND length({x}) - {len(p)} >= {left} THEN substr({x}, {len(p) + 1})" for p in prefixes) + f" ELSE {x} END"
+
+
+def _article_sql(x: str) -> str:
+    return f"CASE WHEN starts_with({x}, 'ال') THEN substr({x}, 3) ELSE {x} END"
+
+
+def _key_sql(x: str) -> str:
+    return f"translate({x}, 'ةآأإ', 'هااا')"
+
+
+_NUMBER_ROWS = ", ".join(f"('{w}', '{n}')" for n, ws in A.NUMBERS.items() for w in (*ws, str(n)))
+_NUMBER_CASE = " ".join(f"WHEN starts_with(word, '{p}') AND substr(word, {len(p) + 1}) IN (SELECT w FROM num) THEN (SELECT d FROM num WHERE w = substr(word, {len(p) + 1}))" for p in K.NUMBER_PREFIXES)
+_ALIAS_ROWS = " UNION ALL ".join(f"SELECT token, word, {i} AS place, substr(word, {len(p) + 1}) AS form FROM lft WHERE starts_with(word, '{p}') AND length(word) - {len(p)} >= 2" for i, p in enumerate(K.ALIAS_PREFIXES, 1))
+
+
+@query("j_cascade_ar", f"""WITH vw AS (SELECT DISTINCT word AS w FROM ({VOCAB})), bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), num(w, d) AS (VALUES {_NUMBER_ROWS}),
+tok AS (SELECT DISTINCT translate(w, '{LATIN}', '{TOKEN}') AS token, translate(w, '{LATIN}', '{PLAIN}') AS word FROM vw UNION SELECT unnest({_COUNTED}), unnest({_COUNTED})),
+ent AS (SELECT DISTINCT CASE WHEN length(w) % 3 = 0 THEN 'ال' ELSE '' END || translate(w, '{LATIN}', '{PLAIN}') AS key, CASE WHEN length(w) % 3 = 0 THEN 'ال' ELSE '' END || translate(w, '{LATIN}', '{TOKEN}') AS gloss FROM bw UNION SELECT n::VARCHAR, n::VARCHAR FROM range(1, 10) t(n)),
+gl AS (SELECT key, min(gloss) AS gloss FROM ent GROUP BY key),
+rd AS (SELECT DISTINCT translate(w, '{LATIN}', '{PLAIN}') AS word, ({list(POS)})[1 + ({_H} + k * 3) % {len(POS)}] AS pos, left(translate(w, '{LATIN}', '{PLAIN}'), greatest(2, length(w) - ({_H} + k) % 3)) AS lex,
+  CASE WHEN {_H} % 11 = 0 THEN -99.0 ELSE -(({_H} * (k + 1)) % 7) / 4.0 END AS lp, CASE WHEN ({_H} + k) % 3 = 0 THEN '3ms' ELSE '0' END AS enc FROM (SELECT w FROM vw UNION SELECT w FROM bw), (SELECT unnest([0, 1, 2]) AS k) WHERE k < {_H} % 4),
+syn AS (SELECT translate(v.w, '{LATIN}', '{PLAIN}') AS word, min(CASE WHEN length(b.w) % 3 = 0 THEN 'ال' ELSE '' END || translate(b.w, '{LATIN}', '{PLAIN}')) AS key FROM (SELECT w FROM vw WHERE {_H} % 5 = 0) v JOIN bw b ON left(v.w, 3) = left(b.w, 3) AND length(b.w) > 3 GROUP BY 1),
+named AS (SELECT word AS form, min(key) AS key FROM syn GROUP BY word), tab AS (SELECT t.form, t.key, gl.gloss FROM (SELECT key AS form, key FROM gl UNION ALL SELECT form, key FROM named WHERE form NOT IN (SELECT key FROM gl)) t JOIN gl USING (key)),
+kinds AS (SELECT word, bool_or(pos = 'verb') AS verb, bool_or(pos IN ({', '.join(f"'{p}'" for p in M.NOMINAL)})) AS nominal FROM rd GROUP BY word), verbs AS (SELECT word FROM kinds WHERE verb AND NOT nominal),
+lem AS (SELECT word, lex, place FROM (SELECT word, lex, row_number() OVER (PARTITION BY word ORDER BY max(lp) DESC, lex) AS place FROM rd WHERE word NOT IN (SELECT word FROM verbs) AND pos IN ({', '.join(f"'{p}'" for p in M.SINGULAR)}) AND lex <> '' GROUP BY word, lex) WHERE place <= 5),
+words AS (SELECT DISTINCT word FROM tok), tan AS (SELECT word, left(word, length(word) - 1) AS t FROM words WHERE length(word) >= 4 AND ends_with(word, 'ا')),
+st AS (SELECT word, v, row_number() OVER (PARTITION BY word ORDER BY length(v) DESC, n) AS i FROM {stems_sql('SELECT word FROM words UNION SELECT t FROM tan')}),
+stems AS (SELECT word, f, min((g, i)) AS o FROM (SELECT word, word AS f, 0 AS g, 0 AS i FROM words UNION ALL SELECT word, v, 0, i FROM st JOIN words USING (word) UNION ALL SELECT word, t, 1, 0 FROM tan UNION ALL SELECT tan.word, v, 1, i FROM tan JOIN st ON st.word = tan.t) GROUP BY word, f),
+own AS (SELECT word, f AS form, o[1] AS g, o[2] AS i, 0 AS k FROM stems WHERE word NOT IN (SELECT word FROM verbs)
+  UNION ALL SELECT x.word.w, s, 2, x.word.o[1] * 1000 + x.word.o[2], k FROM {singulars_sql("(SELECT {'w': word, 'o': o} AS word, f FROM stems WHERE word NOT IN (SELECT word FROM verbs))")} x
+  UNION ALL SELECT word, lex, 3, place, 0 FROM lem WHERE word IN (SELECT word FROM words)),
+forms AS (SELECT word, word AS form, 0 AS g, 0 AS i, 0 AS k, 0 AS art, true AS verb FROM words WHERE word IN (SELECT word FROM verbs) UNION ALL SELECT word, substr(word, 2), 0, 1, 0, 0, true FROM words WHERE word IN (SELECT word FROM verbs) AND starts_with(word, 'و') AND length(word) > 3
+  UNION ALL SELECT word, form, g, i, k, 0, false FROM own WHERE form <> '' UNION ALL SELECT word, 'ال' || form, g, i, k, 1, false FROM own WHERE form <> ''
+  UNION ALL SELECT word, d, -1, 0, 0, 0, false FROM (SELECT word, CASE {_NUMBER_CASE} ELSE (SELECT d FROM num WHERE w = word) END AS d FROM words) WHERE d IS NOT NULL),
+hit AS (SELECT token, word, tab.key, gloss, g, i, k, art, verb, {_article_sql(_key_sql('gloss'))} AS short, {_bare_sql('word', K.GUARD_PREFIXES, 2)} AS rest FROM forms JOIN tok USING (word) JOIN tab USING (form) WHERE art = 0 OR starts_with(gloss, 'ال')),
+inside AS (SELECT DISTINCT {_article_sql('key')} AS w FROM gl),
+fine AS (SELECT * FROM hit WHERE g = -1 OR verb OR ((length(short) >= 3 OR rest = short OR (rest NOT IN (SELECT w FROM inside) AND (EXISTS (SELECT 1 FROM lem WHERE lem.word = hit.word AND lem.lex = short) OR EXISTS (SELECT 1 FROM lem WHERE lem.word = rest AND lem.lex = short))))
+  AND NOT (starts_with({_bare_sql('word', K.GUARD_PREFIXES, 3)}, 'ا') AND NOT starts_with({_bare_sql(_key_sql('gloss'), K.GUARD_PREFIXES, 3)}, 'ا')) AND NOT (ends_with(token, 'ة') AND NOT ends_with({_key_sql('gloss')}, 'ه')))),
+fst AS (SELECT token, word, arg_min(key, (g, i, k, art)) AS key, arg_min(gloss, (g, i, k, art)) AS gloss, CASE WHEN min(g) = -1 THEN 0 ELSE 1 END AS route FROM fine GROUP BY token, word),
+lik AS (SELECT *, max(lp) OVER (PARTITION BY word) AS best FROM rd), top AS (SELECT word, lex, enc, pos, lp, CASE WHEN pos = 'verb' THEN 'verb' WHEN pos IN ({', '.join(f"'{p}'" for p in M.NOMINAL)}) THEN 'nom' END AS kind FROM lik WHERE lp = best AND best > -99),
+agreed AS (SELECT word, min(kind) AS kind, min(lex) AS lex FROM top GROUP BY word HAVING count(DISTINCT (kind, lex)) = 1 AND NOT bool_or(kind IS NULL)),
+idx AS (SELECT kind, lex, arg_min(key, (length(key), key)) AS key FROM agreed JOIN gl ON key = word WHERE lex = key GROUP BY kind, lex),
+vb AS (SELECT word, min(key) AS vkey FROM lik JOIN idx ON idx.kind = 'verb' AND idx.lex = lik.lex WHERE pos = 'verb' AND best - lp < {K.MARGIN} GROUP BY word HAVING count(DISTINCT key) = 1),
+one AS (SELECT token, word, CASE WHEN took AND vkey IS NOT NULL THEN vkey ELSE key END AS entry, CASE WHEN took AND vkey IS NOT NULL THEN 2 ELSE route END AS route FROM (SELECT fst.*, vkey, {_article_sql(_key_sql('gloss'))} <> {_article_sql('fst.word')} AND left(fst.word, 1) IN ('ف', 'و', 'ب', 'ل') AND NOT starts_with({_key_sql('gloss')}, left(fst.word, 1)) AS took FROM fst LEFT JOIN vb ON vb.word = fst.word)),
+lft AS (SELECT token, word FROM tok WHERE token NOT IN (SELECT token FROM one)),
+ali AS (SELECT token, word, arg_min(key, (place, key)) AS entry FROM (SELECT token, word, 0 AS place, word AS form FROM lft UNION ALL {_ALIAS_ROWS}) JOIN named USING (form) GROUP BY token, word),
+ag AS (SELECT top.word, min(key) AS key, list(DISTINCT top.lex) AS lexes, max(lp) AS lp, bool_and(pos <> 'verb' AND enc = '0') AS plain, bool_or(enc <> '0') AS pronoun FROM top LEFT JOIN idx ON idx.kind = top.kind AND idx.lex = top.lex GROUP BY top.word HAVING count(DISTINCT key) = 1 AND NOT bool_or(key IS NULL)),
+sure AS (SELECT * FROM ag WHERE NOT EXISTS (SELECT 1 FROM rd WHERE rd.word = ag.word AND rd.lp > -99 AND ((NOT list_contains(ag.lexes, rd.lex) AND ag.lp - rd.lp < {K.MARGIN}) OR (ag.pronoun AND ends_with(ag.word, 'ه') AND rd.enc = '0' AND ends_with(rd.lex, 'ه'))))),
+lma AS (SELECT token, lft.word, sure.key AS entry FROM lft JOIN sure USING (word) JOIN gl ON gl.key = sure.key WHERE token NOT IN (SELECT token FROM ali) AND NOT (ends_with(lft.word, 'ا') AND NOT ends_with({_key_sql('gloss')}, 'ا') AND plain) AND NOT (ends_with(token, 'ة') AND NOT ends_with({_key_sql('gloss')}, 'ه')))
+SELECT token, entry, ({list(K.ROUTES)})[1 + route] AS route FROM (SELECT token, entry, route FROM one UNION ALL SELECT token, entry, 3 FROM ali UNION ALL SELECT token, entry, 4 FROM lma)""")
 def j_cascade_ar(spark, sf):
-    """The word itself, then its light stems of three letters or more (longest first), then without a last alef, then its singulars;
-    a word that may be a verb (here: with a first ya) matches exactly or not at all."""
-    w = F.col("word")
-    lex = table(spark, sf, "benchmark").select(F.explode(T.words(F.col("text"))).alias("key")).select(F.translate("key", LATIN, PLAIN).alias("key")).distinct()
-    long = lambda forms: F.filter(forms, lambda x: F.length(x) >= 3)
-    noun = lambda forms: F.when(~w.startswith("ي"), forms).otherwise(F.array().cast("array<string>"))
-    tanween = F.filter(F.array(F.when((F.length(w) >= 4) & w.endswith("ا"), F.substring(w, F.lit(1), F.length(w) - 1))), lambda x: x.isNotNull())
-    routes = [F.array(w), noun(long(F.slice(A.light_stems(w), 2, 1000))), noun(tanween), noun(long(A.singulars(w)))]
-    vocab = _vocab(spark, sf)
-    found = [L.first_match(vocab, c, lex, "word").where("entry IS NOT NULL") for c in routes]
-    return L.priority_routes(*found)
+    """Every word of the documents against entries of the benchmark's words."""
+    vw = table(spark, sf, "documents").select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
+    bw = table(spark, sf, "benchmark").select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
+    plain, token, w = F.translate("w", LATIN, PLAIN), F.translate("w", LATIN, TOKEN), F.col("w")
+    h = F.ascii(w) * 31 + F.length(w) * 7 + F.ascii(F.right(w, F.lit(1))) * 17
+    tokens = vw.select(token.alias("token")).union(spark.range(1).select(F.explode(F.array(*map(F.lit, _COUNTED))).alias("token")))
+    article = F.when(F.length(w) % 3 == 0, "ال").otherwise("")
+    digits = spark.range(1, 10).select(F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("gloss"))
+    entries = bw.select(F.concat(article, plain).alias("key"), F.concat(article, token).alias("gloss")).distinct().union(digits)
+    k = F.col("k")
+    some = vw.union(bw).distinct().select("w", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).where(k < h % 4)
+    readings = some.select(
+        plain.alias("word"), F.get(F.array(*map(F.lit, POS)), (h + k * 3) % len(POS)).alias("pos"), F.substring(plain, F.lit(1), F.greatest(F.lit(2), F.length(w) - (h + k) % 3)).alias("lex"),
+        F.when(h % 11 == 0, -99.0).otherwise(-((h * (k + 1)) % 7) / 4.0).alias("lp"), F.when((h + k) % 3 == 0, "3ms").otherwise("0").alias("enc"),
+    ).distinct()
+    start = lambda d: d.withColumn("start", F.substring("w", 1, 3))
+    meant = start(bw.where(F.length(w) > 3)).select("start", F.concat(article, plain).alias("key")).groupBy("start").agg(F.min("key").alias("key"))
+    synonyms = start(vw.where(h % 5 == 0)).join(meant, "start").select(plain.alias("word"), "key").distinct()
+    return K.found_entries(tokens, entries, synonyms, readings)
