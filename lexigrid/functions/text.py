@@ -130,3 +130,27 @@ def cited_sentences(text: Column) -> Column:
     uncited = F.when(rest != "", F.array(F.struct(rest.alias("sentence"), F.lit("").alias("refs")))).otherwise(F.filter(cited, lambda x: F.lit(False)))
     proper = lambda x: F.size(F.regexp_extract_all(x["sentence"], F.lit("[A-Za-z]{2,}"), F.lit(0))) >= 3
     return F.filter(F.concat(uncited, cited), proper)
+
+
+# An item of a model's answer; words that ask for a ruling.
+ITEM = r'\{\s*"text"\s*:\s*"((?:[^"\\]|\\.)*)"\s*,\s*"oov"\s*:\s*(true|false)\s*\}'
+RULING = (
+    r"\b(halal|haram|makruh|fatwa|permissible|permitted|forbidden|prohibited|allowed|sinful|"
+    r"is it (?:ok|okay|wrong|a sin)|can (?:i|muslims|a muslim|we)|may (?:i|muslims|a muslim))\b"
+)
+
+
+def salvaged_items(raw: Column) -> Column:
+    """The items (text, oov) of an answer that holds {"glosses": [...]}; where that isn't well-formed (a comma is missing, the end is cut off), the
+    well-formed items one by one, in order.  Null has none."""
+    raw = F.coalesce(raw, F.lit(""))
+    whole = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    parsed = F.from_json(whole, "glosses array<struct<text: string, oov: boolean>>", {"mode": "PERMISSIVE"})["glosses"]
+    texts = F.transform(F.regexp_extract_all(raw, F.lit(ITEM), F.lit(1)), lambda t: F.get(F.from_json(F.concat(F.lit('["'), t, F.lit('"]')), "array<string>"), F.lit(0)))
+    flags = F.transform(F.regexp_extract_all(raw, F.lit(ITEM), F.lit(2)), lambda o: o == "true")
+    return F.coalesce(parsed, F.arrays_zip(texts.alias("text"), flags.alias("oov")))
+
+
+def asks_ruling(text: Column) -> Column:
+    """Whether a question asks for a ruling; null doesn't."""
+    return F.coalesce(text, F.lit("")).rlike("(?i)" + RULING)

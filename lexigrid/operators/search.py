@@ -180,6 +180,7 @@ class Formulas:
 
     def __init__(self, formulas: Iterable[tuple[str, str]], most: int = 200_000):
         self.code: dict[str, int] = {}
+        self.whole: dict[str, str] = {}
         step: dict[tuple[int, int], int] = {}
         self.ends, self.longest, total = {}, 0, 0
         for words, out in formulas:
@@ -192,6 +193,7 @@ class Formulas:
             for w in parts:
                 state = step.setdefault((state, self.code.setdefault(w, len(self.code) + 1)), len(step) + 1)
             self.ends.setdefault(state, out)  # of equal formulas the first
+            self.whole.setdefault(" ".join(parts), out)
             self.longest = max(self.longest, len(parts))
         keys = np.array([s << 32 | w for s, w in step], np.int64)
         order = np.argsort(keys)
@@ -262,10 +264,9 @@ def items_merged(items: Column, glosses: Formulas, longest: int = 4) -> Column:
             got, i = [], 0
             while i < len(row):
                 for n in range(min(longest, len(row) - i), 1, -1):
-                    words = " ".join(x or "" for x in row[i : i + n]).split()
-                    hit = glosses.spans(words, np.array([len(words)]))
-                    if hit and hit[0][:2] == (0, len(words)):
-                        got.append(hit[0][2])
+                    hit = glosses.whole.get(" ".join(w for x in row[i : i + n] if x for w in x.split()))
+                    if hit is not None:
+                        got.append(hit)
                         i += n
                         break
                 else:

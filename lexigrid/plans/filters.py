@@ -55,10 +55,15 @@ def f_flags(spark, sf):
     return table(spark, sf, "documents").where(~F.col("source").isin(*off)).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("f_ruling", "SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^a-z])(the|is)([^a-z]|$)') AS referred FROM conversations WHERE role = 'user'")
-def f_ruling(spark, sf):
-    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.lower("text").rlike("(^|[^a-z])(the|is)([^a-z]|$)").alias("referred"))
+_ASKED = ("Is it HARAM to ", "can i ", "What is a cane in ", "May a muslim ", "is it okay that ", "the halalness of ", "Where do we ", "allowed? ", "a fatwah ")
+
 
+@query("f_ruling", f"SELECT conv_id, turn, regexp_matches(({list(_ASKED)})[1 + (conv_id * 3 + turn) % {len(_ASKED)}] || coalesce(text, ''), '{T.RULING}', 'i') AS referred FROM conversations WHERE role = 'user'")
+def f_ruling(spark, sf):
+    """Users' turns as questions, of which some ask for a ruling."""
+    begin = F.get(F.array(*map(F.lit, _ASKED)), ((F.col("conv_id") * 3 + F.col("turn")) % len(_ASKED)).cast("int"))
+    rows = table(spark, sf, "conversations").where("role = 'user'")
+    return rows.select("conv_id", "turn", T.asks_ruling(F.concat(begin, F.coalesce("text", F.lit("")))).alias("referred"))
 
 
 @query("f_name", """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), n AS (SELECT lower(word) AS word, count(*) AS n, count(*) FILTER (WHERE regexp_matches(word, '^[A-Z]')) AS capital FROM w GROUP BY 1)

@@ -162,12 +162,22 @@ def s_cited_split(spark, sf):
     return rows.select("conv_id", "turn", F.md5("s.sentence").alias("sentence"), F.col("s.refs").alias("refs"))
 
 
-@query("s_json_salvage", """SELECT event_id, try_cast(nullif(regexp_extract(left(props, length(props) - 1), '"([a-z_]+)": *"?([^",}]+)', 2), '') AS VARCHAR) AS value FROM events""")
+_ANSWER = r"""(SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN left(raw, length(raw) - 9) WHEN 1 THEN replace(raw, '}, {', '} {') WHEN 2 THEN '' ELSE raw END AS raw FROM (
+  SELECT conv_id, turn, 'Here: {"glosses": [' || array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: '{"text": "' || CASE WHEN length(w) % 4 = 0 THEN w || '\"' || w ELSE w END || '", "oov": ' || CASE WHEN length(w) > 5 THEN 'true' ELSE 'false' END || '}'), ', ') || ']} - done' AS raw FROM conversations WHERE text IS NOT NULL))"""
+
+
+@query("s_json_salvage", f"""WITH r AS (SELECT conv_id, turn, raw, regexp_extract_all(raw, '{T.ITEM}', 1) AS t, regexp_extract_all(raw, '{T.ITEM}', 2) AS o, regexp_extract(raw, '\\{{.*\\}}', 0, 's') AS whole FROM {_ANSWER}),
+i AS (SELECT conv_id, turn, CASE WHEN whole <> '' AND json_valid(whole) THEN CAST(json_extract_string(whole, '$.glosses[*].text') AS VARCHAR[]) ELSE list_transform(t, lambda x: replace(x, '\\"', '"')) END AS texts, o FROM r)
+SELECT conv_id, turn, CAST(len(texts) AS INT) AS items, CAST(len(list_filter(o, lambda x: x = 'true')) AS INT) AS oov, md5(array_to_string(texts, '|')) AS texts FROM i""")
 def s_json_salvage(spark, sf):
-    """The first well-formed item of a JSON text that lost its end."""
-    broken = F.substring("props", F.lit(1), F.length("props") - 1)
-    item = F.regexp_extract(broken, '"([a-z_]+)": *"?([^",}]+)', 2)
-    return table(spark, sf, "events").select("event_id", F.when(item != "", item).alias("value"))
+    """Words of turns as a model's answer: some cut off, some without commas, some empty."""
+    w = T.words(F.col("text"))
+    item = lambda x: F.concat(F.lit('{"text": "'), F.when(F.length(x) % 4 == 0, F.concat(x, F.lit('\\"'), x)).otherwise(x), F.lit('", "oov": '), F.when(F.length(x) > 5, "true").otherwise("false"), F.lit("}"))
+    raw = F.concat(F.lit('Here: {"glosses": ['), F.array_join(F.transform(w, item), ", "), F.lit("]} - done"))
+    kind = (F.col("conv_id") + F.col("turn")) % 5
+    broken = F.when(kind == 0, F.substring("raw", F.lit(1), F.length("raw") - 9)).when(kind == 1, F.replace("raw", F.lit("}, {"), F.lit("} {"))).when(kind == 2, "").otherwise(F.col("raw"))
+    rows = table(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", raw.alias("raw")).select("conv_id", "turn", T.salvaged_items(broken).alias("items"))
+    return rows.select("conv_id", "turn", F.size("items").alias("items"), F.size(F.filter("items", lambda x: x["oov"])).alias("oov"), F.md5(F.array_join("items.text", "|")).alias("texts"))
 
 
 @query("s_urls", "SELECT event_id, CASE WHEN user_id % 5 > 0 THEN concat('https://example.org/watch?v=', user_id, '&start=', CAST(floor(value) AS BIGINT), '&end=', CAST(ceil(value) AS BIGINT)) END AS url FROM events")
