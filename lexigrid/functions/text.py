@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Letters that are one of A-Z, a-z or 0-9 with marks, or a form of one, with what they are folded to.
+_DECOMPOSED = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in map(chr, [*range(0xAA, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B)])}
+LETTERS = {c: x for c, x in _DECOMPOSED.items() if x != c and len(x) == 1 and x.isascii() and x.isalnum()}
+INSIDE, BEFORE, LETTER = "[‘’ʿʾ`]", "[‘ʿʾ`]", r"[\p{L}\p{N}_]"  # marks of ayn and hamza within a word and at its front
 #: Latin letters with marks and what is left without them.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 # Endings with what stands for them, in the order in which they are tried; irregular forms; words without a sign.
@@ -28,10 +34,12 @@ def words(text: Column) -> Column:
 
 
 def norm_en(text: Column) -> Column:
-    """Without marks, lower-case, possessives dropped, anything else than a-z, 0-9 a single space; null becomes empty."""
-    x = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED + "’", PLAIN + "'")
-    x = F.regexp_replace(F.regexp_replace(x, "'s( |$)", "$1"), "([a-z])'([a-z])", "$1$2")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[^a-z0-9 ]", " "), " +", " "))
+    """Without marks on letters, marks of ayn and hamza within or before a word dropped, lower-case, possessives dropped, apostrophes within a word
+    dropped, anything else than a-z, 0-9 a single space; null becomes empty."""
+    x = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "".join(LETTERS), "".join(LETTERS.values())), r"\p{Mn}", "")
+    x = F.lower(F.regexp_replace(x, f"(?<={LETTER}){INSIDE}(?={LETTER})|(?<!{LETTER}){BEFORE}(?={LETTER})", ""))
+    x = F.regexp_replace(F.regexp_replace(F.replace(x, F.lit("’"), F.lit("'")), f"'s(?!{LETTER})", ""), "(?<=[a-z])'(?=[a-z])", "")
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
 def tok_en(text: Column) -> Column:

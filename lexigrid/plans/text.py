@@ -18,8 +18,16 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-NORM = f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), '{T.MARKED}’', '{T.PLAIN}'''),
-  '''s( |$)', '\\1', 'g'), '([a-z])''([a-z])', '\\1\\2', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"""
+def _twice(x: str, pattern: str) -> str:
+    # without looking around, matches next to each other take two passes
+    return f"regexp_replace(regexp_replace({x}, '{pattern}', '\\1\\2', 'g'), '{pattern}', '\\1\\2', 'g')"
+
+
+_HAMZA = _twice("strip_accents(coalesce(text, ''))", f"({T.LETTER}){T.INSIDE}({T.LETTER})")
+_FRONT = f"replace(lower(regexp_replace({_HAMZA}, '(^|[^\\p{{L}}\\p{{N}}_]){T.BEFORE}({T.LETTER})', '\\1\\2', 'g')), '’', chr(39))"
+_OWN = f"regexp_replace({_FRONT}, '''s([^\\p{{L}}\\p{{N}}_]|$)', '\\1', 'g')"
+_JOINED = _twice(_OWN, "([a-z])''([a-z])")
+NORM = f"trim(regexp_replace({_JOINED}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query("s_norm_en", f"SELECT doc_id, md5({NORM}) AS norm_md5, CAST(length({NORM}) AS BIGINT) AS norm_length FROM documents")
