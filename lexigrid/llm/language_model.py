@@ -65,6 +65,17 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if len(data) == n else "<u4").astype(np.int64)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values, where one of each stands, and for each element which it is."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], order[new], place
+
+
 class _Sent:
     """Distinct keys, sorted and so by bucket, with what is said about each."""
 
@@ -103,7 +114,7 @@ class SuffixTree:
     """
 
     def __init__(self, buckets: int, min_count: int, smoothing: float, parts: int, held: int, depth: int):
-        self.buckets, self.min_count, self.k, self.parts, self.held, self.depth = buckets, min_count, smoothing, parts, held, depth
+        self.buckets, self.min_count, self.k, self.parts, self.held, self.depth = buckets, max(min_count, 1), smoothing, parts, held, depth
         self.n = self.v = 0
 
     def held_out(self, doc: int | None) -> bool:
@@ -126,7 +137,7 @@ class SuffixTree:
             return list(words.rows(_grams(1), block, np.bincount(token[train], minlength=len(word))))
         total = words.counts(answers[_grams(1)])[0]
         offset = np.arange(len(token)) - np.repeat(ends - sizes, sizes)
-        count, key = total[token], word[token]  # at each token: of the run of k words that ends there
+        keys, at, count = word, token, total[token]  # of the runs of k words; which of them ends at each token, and its total count
         p0 = p = (count + 1.0) / (self.n + self.v + 1.0)
         n_known, out = count > 0, []
         for k in range(1, self.depth + 1):
@@ -134,25 +145,26 @@ class SuffixTree:
                 break
             after = np.flatnonzero((offset >= k) & (np.roll(count, 1) >= self.min_count))  # tokens with a context of k words
             deep = after[count[after] >= 2]
-            run, first, place = np.unique(_mix(key[deep - 1] * STEP + word[token[deep]] + np.uint64(k)), return_index=True, return_inverse=True)
+            run, first, place = _distinct(_mix(keys[at[deep - 1]] * STEP + word[token[deep]] + np.uint64(k)))
             runs = _Sent(run, self.buckets)
             if rounds == k:
                 return out + list(runs.rows(_grams(k + 1), block, np.bincount(place[train[deep]], minlength=len(run))))
-            total, own = runs.counts(answers.get(_grams(k + 1), {}))
-            context, first_after, context_at = np.unique(_mix(key[after - 1] + np.uint64(k)), return_index=True, return_inverse=True)
-            contexts, seen = _Sent(context, self.buckets), count[after - 1]
+            run_total, own = runs.counts(answers.get(_grams(k + 1), {}))
+            is_context = np.zeros(len(keys), bool)
+            is_context[at[after - 1]] = True
+            context_of = np.cumsum(is_context) - 1  # contexts are runs, so they are in order as these are
+            contexts, seen = _Sent(keys[is_context], self.buckets), count[after - 1]
             found = np.zeros(len(token), np.int64)
-            found[deep] = total[place]
+            found[deep] = run_total[place]
             if rounds == k + 1:
-                whose = context_at[np.searchsorted(after, deep[first])]
-                out = list(self._state_rows(_states(k), block, contexts, whose, total, own, p[deep[first]], seen[first_after]))
+                whose = context_of[at[deep[first] - 1]]
+                out = list(self._state_rows(_states(k), block, contexts, whose, run_total, own, p[deep[first]], total[is_context]))
             else:
-                n = contexts.told_apart(answers.get(_states(k), {}))[context_at]
+                n = contexts.told_apart(answers.get(_states(k), {}))[context_of[at[after - 1]]]
                 told, p = np.where(found[after] >= 2, found[after], 0), p.copy()
                 p[after] = np.where(n > 0, (told + (seen - n + self.k) * p[after]) / (seen + self.k), p[after])
-            key = key.copy()
-            key[deep] = run[place]
-            count = found
+            keys, at, total, count = run, np.full(len(token), -1, np.int32), run_total, found
+            at[deep] = place
         if rounds < self.depth + 2:
             return out
         sums = lambda x: np.add.reduceat(x, ends - sizes, dtype=float)
