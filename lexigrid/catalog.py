@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lexigrid.registry import QUERIES, SQL, Query
 
-MODULES = ("text", "arabic", "morphology", "filters", "joins", "aggregates", "windows", "ordering", "arrays", "alignment", "sources", "streams", "choice", "search", "state", "archives")
+MODULES = ("text", "arabic", "morphology", "filters", "joins", "turkish", "aggregates", "windows", "ordering", "arrays", "alignment", "sources", "streams", "choice", "search", "state", "archives")
 
 
 def _load() -> None:

@@ -34,38 +34,6 @@ def j_first_match(spark, sf):
     return L.first_match(_vocab(spark, sf), T.candidates_en(F.col("word")), _lex(spark, sf), "word").select("word", "entry")
 
 
-CASCADE = f"""WITH v AS ({VOCAB}), l AS ({LEX}), routes AS (
-  SELECT word, key AS entry, 0 AS route FROM v JOIN l ON word = key
-  UNION ALL SELECT word, any_value(key), 1 FROM v JOIN l ON left(word, 5) = left(key, 5) AND length(word) > 5 AND length(key) >= 5 GROUP BY word HAVING count(*) = 1
-  UNION ALL SELECT word, any_value(key), 2 FROM v JOIN l ON left(word, 6) = left(key, 6) AND starts_with(word, key) AND length(key) >= 6 GROUP BY word HAVING count(*) = 1)"""
-
-
-@query("j_cascade_tr", CASCADE + " SELECT word, arg_min(entry, route) AS entry, min(route) AS route FROM routes GROUP BY word")
-def j_cascade_tr(spark, sf):
-    """Exact, then a unique entry with the same first five letters, then a unique prefix of six or more."""
-    v, lex = _vocab(spark, sf), _lex(spark, sf)
-    exact = v.join(lex, F.col("word") == F.col("key")).select("word", F.col("key").alias("entry"))
-    five = v.where("length(word) > 5").withColumn("five", F.substring("word", 1, 5)).join(lex.where("length(key) >= 5").withColumn("five", F.substring("key", 1, 5)), "five")
-    unique = lambda df: df.groupBy("word").agg(F.count("*").alias("n"), F.first("key").alias("entry")).where("n = 1").select("word", "entry")
-    six = v.withColumn("six", F.substring("word", 1, 6)).join(lex.where("length(key) >= 6").withColumn("six", F.substring("key", 1, 6)), "six").where(F.col("word").startswith(F.col("key")))
-    return L.priority_routes(exact, unique(five), unique(six))
-
-
-@query("j_lemma_index", f"SELECT left(key, 4) AS lemma, arg_min(key, length(key) * 1000000 + 0) AS entry FROM (SELECT key, left(key, 4) AS lemma, count(*) OVER (PARTITION BY left(key, 4)) AS n FROM ({LEX})) WHERE n = 1 GROUP BY ALL")
-def j_lemma_index(spark, sf):
-    """Lemmas (here: first four letters) that name one entry only."""
-    lex = _lex(spark, sf).withColumn("lemma", F.substring("key", 1, 4))
-    return lex.groupBy("lemma").agg(F.count_distinct("key").alias("n"), F.min_by("key", F.length("key")).alias("entry")).where("n = 1").select("lemma", "entry")
-
-
-@query("j_unique_key", f"WITH f AS (SELECT left(key, 5) AS folded, key FROM ({LEX})) SELECT folded, any_value(key) AS entry FROM f WHERE folded NOT IN (SELECT key FROM ({LEX})) GROUP BY folded HAVING count(*) = 1")
-def j_unique_key(spark, sf):
-    lex = _lex(spark, sf)
-    folded = lex.select(F.substring("key", 1, 5).alias("folded"), F.col("key").alias("entry"))
-    one = folded.groupBy("folded").agg(F.count("*").alias("n"), F.first("entry").alias("entry")).where("n = 1")
-    return one.join(lex, F.col("folded") == F.col("key"), "left_anti").select("folded", "entry")
-
-
 GRAMS = "SELECT doc_id, i AS start, concat(w[i + 1], ' ', w[i + 2]) AS key FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents))"
 PHRASES = GRAMS.replace("doc_id", "item_id").replace("documents", "benchmark")
 
