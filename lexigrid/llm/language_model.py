@@ -57,12 +57,13 @@ def _states(words: int) -> int:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Counts in one byte each where all fit, else in four."""
-    return x.astype(np.uint8 if not len(x) or x.max() < 256 else "<u4").tobytes()
+    """Counts in one byte each where all fit, else in four, else in eight."""
+    most = x.max() if len(x) else 0
+    return x.astype("u1" if most < 1 << 8 else "<u4" if most < 1 << 32 else "<i8").tobytes()
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if len(data) == n else "<u4").astype(np.int64)
+    return np.frombuffer(data, {1: "u1", 4: "<u4", 8: "<i8"}[len(data) // max(n, 1) or 1]).astype(np.int64)
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,14 +137,15 @@ class SuffixTree:
         if not rounds:
             return list(words.rows(_grams(1), block, np.bincount(token[train], minlength=len(word))))
         total = words.counts(answers[_grams(1)])[0]
-        offset = np.arange(len(token)) - np.repeat(ends - sizes, sizes)
+        sums = lambda x: np.add.reduceat(x, ends - sizes, dtype=float)
+        offset = np.arange(len(token), dtype=np.int32) - np.repeat((ends - sizes).astype(np.int32), sizes)
         keys, at, count = word, token, total[token]  # of the runs of k words; which of them ends at each token, and its total count
-        p0 = p = (count + 1.0) / (self.n + self.v + 1.0)
-        n_known, out = count > 0, []
+        p = (count + 1.0) / (self.n + self.v + 1.0)
+        base, n_known, out = sums(np.log10(p)), sums(count > 0).astype(np.int64), []
         for k in range(1, self.depth + 1):
             if not len(count):
                 break
-            after = np.flatnonzero((offset >= k) & (np.roll(count, 1) >= self.min_count))  # tokens with a context of k words
+            after = np.flatnonzero((offset[1:] >= k) & (count[:-1] >= self.min_count)) + 1  # tokens with a context of k words
             deep = after[count[after] >= 2]
             run, first, place = _distinct(_mix(keys[at[deep - 1]] * STEP + word[token[deep]] + np.uint64(k)))
             runs = _Sent(run, self.buckets)
@@ -161,14 +163,16 @@ class SuffixTree:
                 out = list(self._state_rows(_states(k), block, contexts, whose, run_total, own, p[deep[first]], total[is_context]))
             else:
                 n = contexts.told_apart(answers.get(_states(k), {}))[context_of[at[after - 1]]]
-                told, p = np.where(found[after] >= 2, found[after], 0), p.copy()
-                p[after] = np.where(n > 0, (told + (seen - n + self.k) * p[after]) / (seen + self.k), p[after])
+                kept = np.flatnonzero(n > 0)
+                where, n, seen = after[kept], n[kept], seen[kept]
+                told = np.where(found[where] >= 2, found[where], 0)
+                p[where] = (told + (seen - n + self.k) * p[where]) / (seen + self.k)
             keys, at, total, count = run, np.full(len(token), -1, np.int32), run_total, found
             at[deep] = place
+            del after, deep, first, place, own, found, seen, context_of, contexts, runs  # before the next words are sorted
         if rounds < self.depth + 2:
             return out
-        sums = lambda x: np.add.reduceat(x, ends - sizes, dtype=float)
-        return {"n_tokens": sizes, "n_known": sums(n_known).astype(np.int64), "base_score": sums(np.log10(p0)), "score": sums(np.log10(p))}
+        return {"n_tokens": sizes, "n_known": n_known, "base_score": base, "score": sums(np.log10(p))}
 
 
 BLOCKS = "block long, ids array<long>, sizes array<int>, words binary, tokens binary"
