@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from reference import language_model, ngram_groups
 
@@ -143,3 +144,9 @@ def test_lm_edges(spark):
     got = lm.score_texts(docs, block_bytes=1000).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 5), (1, 5), (2, 1), (3, 8001)]
     assert len({r.score for r in got if r.doc_id == 1}) == 1
+
+
+def test_lm_counts_of_any_size():
+    for x in ([], [0, 255], [0, 256], [2**32 - 1, 1], [2**32, 1]):
+        data = lm._narrow(np.array(x, np.int64))
+        assert lm._wide(data, len(x)).tolist() == x
