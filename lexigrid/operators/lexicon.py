@@ -15,6 +15,11 @@ def first_wins(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, sent to all tasks in a join if it has no more than ``most`` rows, so that the other side isn't shuffled; a larger one is joined as usual."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def first_match(tokens: DataFrame, candidates: Column, lexicon: DataFrame, *by: str) -> DataFrame:
     """For each token (columns ``by``) the first of its candidates that is in the lexicon; null where none is.
 

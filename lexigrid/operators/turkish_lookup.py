@@ -1,7 +1,7 @@
 """Finding a dictionary's entry for Turkish words and phrases: spellings, compounds, an analyser's lemmas, synonyms, then stems.
 
-All tokens are looked up at once: a table of (token, route, place, form) meets an index of (kind, form) in one join, and a token takes its first hit.  The
-index has one row for a form, so a form that many tokens share adds no rows.
+All tokens are looked up at once: each meets one row of an index by its spelling and one by its spelling without circumflexes, and takes its first hit.  The
+indexes have one row for a form and go to the tokens where they are small, so tokens without a hit are neither repeated nor dealt anew.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
+from lexigrid.operators import lexicon as L
 from lexigrid.operators import morphology as M
 from lexigrid.sources.files import written
 
@@ -24,7 +25,7 @@ KEY, FOLD, TYPED_KEY, COMPOUND, LEMMA, SYNONYM, STEM = range(7)
 
 def spelled(text: Column) -> Column:
     """The normal spelling, with single spaces."""
-    return F.trim(F.regexp_replace(T.norm_tr(text), " +", " "))
+    return F.when(text.rlike("^[a-z0-9çğıöşüâîû]+( [a-z0-9çğıöşüâîû]+)*$"), text).otherwise(F.trim(F.regexp_replace(T.norm_tr(text), " +", " ")))  # most tokens are spelled so
 
 
 def folded_lemmas(readings: DataFrame) -> DataFrame:
@@ -57,19 +58,45 @@ def form_index(keys: DataFrame, synonyms: DataFrame, lemmas: DataFrame) -> DataF
     return reduce(DataFrame.union, [df.select(F.lit(k).alias("kind"), "form", "entry") for k, df in kinds])
 
 
+def best_by_form(index: DataFrame, lemmas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables (form, hit) with one row for each form, its first hit (kind, place, key, entry): of tokens as they stand, as keys, typed or by a lemma of
+    theirs; and of tokens without circumflexes, as words, compounds or synonyms.  Lemmas are resolved here once a word, not once a token."""
+    hit = lambda kind, place: F.struct(kind.alias("kind"), place.cast("int").alias("place"), F.lit("").alias("key"), "entry").alias("hit")
+    kind, word = F.col("kind"), lemmas.where(~F.contains("word", F.lit(" ")))
+    as_is = index.where(kind.isin(KEY, TYPED_KEY)).select("form", hit(kind, F.lit(0)))
+    read = word.join(index.where(kind.isin(LEMMA, SYNONYM)), F.col("lemma") == F.col("form")).where((kind == LEMMA) | (F.col("place") == 1))
+    read = read.select("word", hit(kind, F.when(kind == LEMMA, F.col("place")).otherwise(1)))
+    least = lambda df: df.groupBy("form").agg(F.min("hit").alias("hit"))
+    return least(as_is.union(read)), least(index.where(kind.isin(FOLD, COMPOUND, SYNONYM)).select("form", hit(kind, F.lit(0))))
+
+
 def phrase_hits(phrases: DataFrame, keys: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """(token, place, key, entry): tokens (token, n) of several words, whose words are each an entry's as written or by a lemma; place: of the first word's lemma,
-    0 as written.  Entries are looked for by their first word and number of words, and then compared."""
-    each = phrases.select("token", F.posexplode(F.split("n", " ")).alias("i", "word"))
-    own = each.select("token", "i", T.fold_tr(F.col("word")).alias("form"), F.lit(0).alias("place"))
-    forms = own.union(each.join(lemmas, "word").select("token", "i", "lemma", "place"))
-    by_word = forms.groupBy("token", "i").agg(F.collect_set("form").alias("forms"))  # a word and its few lemmas
-    words = by_word.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("i", "forms"))).alias("words"))  # the words of a phrase
-    first = forms.where("i = 0").groupBy("token", "form").agg(F.min("place").alias("place"))
+    """(token, place, key, entry): tokens (token, n, f) of several words, whose words are each an entry's as written or by a lemma; place: of the first word's
+    lemma, 0 as written.  Entries are looked for by their number of words, first word and last word; words between are then compared.
+
+    A token keeps only forms that some entry begins with, then ends with, so few tokens reach the entries."""
     gloss = keys.where(F.contains("key", F.lit(" "))).select("key", "entry", F.split(T.fold_tr(F.col("key")), " ").alias("gloss"))
-    hit = words.withColumn("size", F.size("words")).join(first, "token").join(gloss.withColumns({"size": F.size("gloss"), "form": F.col("gloss")[0]}), ["size", "form"])
-    same = F.forall(F.arrays_zip("words", "gloss"), lambda x: F.array_contains(x["words"]["forms"], x["gloss"]))
-    return hit.where(same).select("token", "place", "key", "entry")
+    gloss = written(gloss.select("*", F.size("gloss").alias("size"), F.col("gloss")[0].alias("first"), F.element_at("gloss", -1).alias("last")), "phrases")
+
+    def forms(end: str, known: DataFrame) -> DataFrame:
+        """(word, forms): of each word those lemmas that stand at this end of an entry."""
+        some = lemmas.join(known.select(F.col(end).alias("lemma")).distinct(), "lemma", "left_semi")
+        return some.groupBy(F.col("word").alias(f"{end}_word")).agg(F.collect_list(F.struct(F.col("lemma").alias("form"), "place")).alias(f"{end}_forms"))  # a word's few lemmas
+
+    def at(df: DataFrame, end: str, i: int, *more: str) -> DataFrame:
+        own = F.struct(F.element_at("folded", i).alias("form"), F.lit(0).alias("place"))
+        met = df.join(L.small(written(forms(end, gloss), end)), F.element_at("words", i) == F.col(f"{end}_word"), "left")
+        every = F.concat(F.array(own), F.coalesce(F.filter(f"{end}_forms", lambda x: x["form"] != own["form"]), F.array().cast("array<struct<form:string,place:int>>")))
+        return met.select("token", "words", "folded", "size", *more, F.explode(every).alias("x")).select("token", "words", "folded", "size", *more, F.col("x.form").alias(end), F.col("x.place").alias(f"{end}_place"))
+
+    split = phrases.select("token", F.split("n", " ").alias("words"), F.split("f", " ").alias("folded")).withColumn("size", F.size("words"))
+    begun = at(split, "first", 1).join(L.small(gloss.select("size", "first").distinct()), ["size", "first"])
+    met = at(begun, "last", -1, "first", "first_place").join(L.small(gloss), ["size", "first", "last"]).withColumnRenamed("first_place", "place")
+    whole = met.where("size = 2").select("token", "place", "key", "entry")
+    between = lambda c: F.slice(c, F.lit(2), F.greatest(F.col("size") - 2, F.lit(0)))
+    inner = met.where("size > 2").select("token", "place", "key", "entry", F.explode(F.arrays_zip(between("words").alias("word"), between("folded").alias("own"), between("gloss").alias("lemma"))).alias("x")).select("token", "place", "key", "entry", "x.*")
+    same = inner.join(lemmas.select("word", "lemma", F.lit(True).alias("read")), ["word", "lemma"], "left").groupBy("token", "place", "key", "entry")
+    return whole.union(same.agg(F.min((F.col("own") == F.col("lemma")) | F.coalesce("read", F.lit(False))).alias("same")).where("same").drop("same"))
 
 
 def found_signs(tokens: DataFrame, entries: DataFrame, synonyms: DataFrame, readings: DataFrame) -> DataFrame:
@@ -85,21 +112,17 @@ def found_signs(tokens: DataFrame, entries: DataFrame, synonyms: DataFrame, read
     readings = written(readings.select("word", "n", "lemma", "pos", "morphs", "proper"), "readings")
     lemmas = written(folded_lemmas(readings), "lemmas")
     keys = written(all_keys(entries, synonyms), "keys")
-    looked = tokens.where("token IS NOT NULL").select("token").distinct().select("token", spelled(F.col("token")).alias("n")).where("n <> ''").withColumn("f", T.fold_tr(F.col("n")))
+    looked = tokens.where("token IS NOT NULL").select("token").distinct().select("token", spelled(F.col("token")).alias("n")).where("n <> ''").withColumn("f", F.translate("n", "âîû", "aiu"))
     looked = written(looked, "tokens")
     several = F.contains("n", F.lit(" "))
     words, phrases = looked.where(~several), looked.where(several)
-    row = lambda kind, form, place=F.lit(0): F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"), form.alias("form"))
-    n, f = F.col("n"), F.col("f")
-    typed = F.when(n.rlike("^[a-z0-9]+$"), n)
-    own = words.select("token", F.explode(F.array(row(KEY, n), row(FOLD, f), row(TYPED_KEY, typed), row(COMPOUND, f), row(SYNONYM, f))).alias("x"))
-    read = words.join(lemmas, F.col("n") == F.col("word")).select("token", F.explode(F.array(row(LEMMA, F.col("lemma"), F.col("place")), row(SYNONYM, F.when(F.col("place") == 1, F.col("lemma")), F.lit(1)))).alias("x"))
-    forms = own.union(read).union(phrases.select("token", row(KEY, n).alias("x"))).select("token", "x.*").where("form IS NOT NULL")
-    hits = forms.join(form_index(keys, synonyms, lemmas), ["kind", "form"]).select("token", "kind", "place", F.lit("").alias("key"), "entry")
+    index = written(form_index(keys, synonyms, lemmas), "index")
+    as_is, folded = (L.small(written(df.select(F.col("form").alias(by), F.col("hit").alias(f"{by}_hit")), "forms")) for df, by in zip(best_by_form(index, lemmas), "nf", strict=True))
+    hits = looked.join(as_is, "n", "left").join(folded, "f", "left").select("token", F.array_min(F.array("n_hit", "f_hit")).alias("m")).where("m IS NOT NULL").select("token", "m.*")
     by_lemma = phrase_hits(phrases, keys, lemmas).select("token", F.lit(LEMMA), "place", "key", "entry")
     stems = keys.where("stem").select(T.fold_tr(F.col("key")).alias("stem"), "entry").where(F.length("stem") >= PREFIX_MIN).withColumn("start", F.substring("stem", 1, PREFIX_MIN))
-    unknown = words.where(F.length("f") > PREFIX_MIN).join(readings.select(F.col("word").alias("n")).distinct(), "n", "left_anti").withColumn("start", F.substring("f", 1, PREFIX_MIN))
-    begun = unknown.join(stems, "start").where(f.startswith(F.col("stem")) & (F.length("f") > F.length("stem")))
+    long = words.where(F.length("f") > PREFIX_MIN).withColumn("start", F.substring("f", 1, PREFIX_MIN)).join(L.small(stems), "start")
+    begun = long.where(F.startswith("f", "stem") & (F.length("f") > F.length("stem"))).join(readings.select(F.col("word").alias("n")).distinct(), "n", "left_anti")
     begun = begun.groupBy("token").agg(F.min("entry").alias("entry"), F.max("entry").alias("other")).where("entry = other").select("token", F.lit(STEM), F.lit(0), F.lit(""), "entry")
     first = hits.union(by_lemma).union(begun).groupBy("token").agg(F.min(F.struct("kind", "place", "key", "entry")).alias("m"))
     return first.select("token", "m.entry", F.get(F.array(*map(F.lit, ROUTES)), F.col("m.kind")).alias("route"))

@@ -14,6 +14,7 @@ from lexigrid.operators import turkish_lookup as K
 from lexigrid.plans.morphology import MORPHS, TR_POS
 from lexigrid.plans.text import VOCAB
 from lexigrid.registry import query, table
+from lexigrid.sources.files import written
 
 _H = "(ascii(w) * 31 + length(w) * 7 + ascii(right(w, 1)) * 17)"
 _IN = lambda values: ", ".join(f"'{v}'" for v in values)
@@ -72,13 +73,15 @@ def _pair_table(spark, sf, name):
 def turkish_tables(spark, sf):
     """(tokens, entries, synonyms, readings) made of the words and word pairs of documents and benchmark."""
     words = lambda name: table(spark, sf, name).select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
-    vw, bw, dp, bp = words("documents"), words("benchmark"), _pair_table(spark, sf, "documents"), _pair_table(spark, sf, "benchmark")
+    vw, bw, bp = written(words("documents"), "words"), words("benchmark"), _pair_table(spark, sf, "benchmark")
     w, a, b, k = F.col("w"), F.col("a"), F.col("b"), F.col("k")
     h = F.ascii(w) * 31 + F.length(w) * 7 + F.ascii(F.right(w, F.lit(1))) * 17
     entry = lambda x: F.when(F.length(x) % 3 == 0, F.translate(x, "cgisou", "çğışöü")).otherwise(x)
     token = lambda x: F.when(F.length(x) % 5 == 0, F.translate(x, "a", "â")).otherwise(x)
     both = lambda f: F.concat(f(a), F.lit(" "), f(b))
-    tokens = vw.select(token(w).alias("token")).union(dp.select(both(token))).union(dp.where(F.length(a) % 3 == 0).select(F.concat(a, b)))
+    said = table(spark, sf, "documents").select(T.words(F.col("text")).alias("x"))
+    said = said.select(F.explode(F.arrays_zip(F.col("x").alias("a"), F.slice("x", F.lit(2), F.greatest(F.size("x"), F.lit(1))).alias("b"))).alias("p")).select("p.*")  # b is null after the last word
+    tokens = said.select(F.explode(F.array(token(a), both(token), F.when(F.length(a) % 3 == 0, F.concat(a, b)))).alias("token")).where("token IS NOT NULL").distinct()
     entries = bw.select(entry(w).alias("key"), (F.length(w) % 4 != 1).alias("stem")).union(bp.where(F.length(b) % 2 == 0).select(both(entry), F.lit(False)))
     meant = bw.where(F.length(w) > 3).groupBy(F.substring(w, 1, 3).alias("start")).agg(F.min(entry(w)).alias("entry"))
     listed = vw.where(h % 5 == 0).withColumn("start", F.substring(w, 1, 3)).join(meant, "start").select(token(w).alias("word"), "entry")

@@ -43,6 +43,24 @@ def test_stem_is_taken_only_where_one_fits(spark, tables):
     assert got == {"mescidde": ("mescid", "prefix"), "selamet": ("selamet", "exact"), "zekatıyla": ("zekâtı", "prefix")}
 
 
+def test_words_between_the_ends_of_a_phrase(spark, tables):
+    _, synonyms, readings = tables
+    entries = spark.createDataFrame([("kul namaz kitap selam", True), ("kul insan kitap selam", True), ("kul selam", True)], "key string, stem boolean")
+    tokens = spark.createDataFrame([("kul namazı kitabı selam",), ("kul geldi kitabı selam",), ("kul namazı kitabı selam kul",), ("kul insanlar kitap selam",), ("kul kitap selam",)], "token string")
+    got = {r.token: (r.entry, r.route) for r in found_signs(tokens, entries, synonyms, readings).collect()}
+    assert got == {"kul namazı kitabı selam": ("kul namaz kitap selam", "lemma"), "kul insanlar kitap selam": ("kul insan kitap selam", "lemma")}
+
+
+def test_tokens_are_not_dealt_anew_for_each_small_index(spark, tables):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = found_signs(spark.createDataFrame([("kitap",)], "token string"), *tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") <= 2  # the few tokens that begin with a stem against words with a reading; words between the ends of phrases that were met
+
+
 def test_sequences_take_phrases_first(spark, tables):
     sequences = spark.createDataFrame([(1, "namazı kıldı ve kitabı".split()), (2, "hoş geldin insanlar".split()), (3, []), (4, None), (5, ["namaz"] * 3), (6, ["namaz", "namaz", "kılmak", None])], "id int, words array<string>")
     got = sorted(tuple(r) for r in signs_of_sequences(sequences, *tables).collect())
