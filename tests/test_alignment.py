@@ -132,6 +132,51 @@ def test_nearest_template_query(spark, sf):
         assert got[u][0] == t and math.isclose(got[u][1], d, rel_tol=1e-9)
 
 
+def test_warped_pairs_are_the_same_to_the_last_bit():
+    rnd = np.random.default_rng(9)
+    n, m = rnd.integers(1, 33, 200), rnd.integers(1, 33, 200)
+    x, y = rnd.exponential(30, (200, 32)), rnd.exponential(30, (200, 32))
+    assert Q.warped_pairs(x, n, y, m).tolist() == [Q.warped(x[k, : n[k]], y[k, : m[k]]) for k in range(200)]
+
+
+def test_nearest_template_of_copies_and_odd_series(spark):
+    rnd = random.Random(5)
+    some = [[float(rnd.randrange(5)) for _ in range(rnd.choice([1, 2, 5, 40]))] for _ in range(30)] + [[], [float("nan"), 1.0]]
+    series, templates = [(i, some[i % 32]) for i in range(96)], [(200 - i, some[(7 * i) % 32]) for i in range(40)]
+    s, t = spark.createDataFrame(series, "u long, series array<double>"), spark.createDataFrame(templates, "t long, series array<double>")
+    got = {r.u: (r.t, r.distance) for r in A.nearest_template(s, t, "u", "t", block=8).collect()}
+    key = lambda d, name: (True, 0, name) if d is None or math.isnan(d) else (False, d, name)
+    want = {u: min(key(Q.warped(np.array(x), np.array(y)), name) for name, y in templates) for u, x in series}
+    assert {u: key(d, t) for u, (t, d) in got.items()} == want
+
+
+def test_equal_series_are_warped_once(spark):
+    """A thousand copies of a few series cost what the few cost: the pairs that reach a task are those of distinct ones."""
+    rows = spark.range(2000).select(F.col("id").alias("u"), F.array(*[(F.col("id") % 4 + k).cast("double") for k in range(8)]).alias("points"))
+    assert A.distinct_points(rows, "u", "points").count() == 4
+    got = A.nearest_template(rows.withColumnRenamed("points", "series"), rows.select(F.col("u").alias("t"), F.col("points").alias("series")), "u", "t").collect()
+    assert len(got) == 2000 and all(r.t == r.u % 4 and r.distance == 0 for r in got)
+
+
+def test_run_counts_against_slices():
+    rnd = random.Random(6)
+    for _ in range(60):
+        x, y = ([rnd.choice("abc") for _ in range(rnd.randrange(12))] for _ in "xy")
+        for of in (list, "".join):
+            want = []
+            for n in range(1, 7):
+                a, b = ([tuple(s[i : i + n]) for i in range(len(s) - n + 1)] for s in (x, y))
+                want.append((len(a), len(b), sum(min(a.count(r), b.count(r)) for r in set(a))))
+            assert E.run_counts(of(x), of(y), 6) == want
+
+
+def test_clipped_counts_send_no_runs(spark):
+    pairs = spark.createDataFrame([(["a", "b", "a"], ["a", "b"]), ([], ["c"])], "h array<string>, r array<string>")
+    df = E.clipped_counts(pairs, F.col("h"), F.col("r"), 3)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of the sums by n
+    assert sorted(map(tuple, df.collect())) == [(1, 3, 3, 2), (2, 2, 1, 1), (3, 1, 0, 0)]
+
+
 def test_split_by_crc(spark, sf):
     got = {r.doc_id: r.split for r in catalog.queries()["s_crc_split"](spark, sf).collect()}
     assert got == {d: {0: "test", 1: "val"}.get(zlib.crc32(str(d).encode()) % 10, "train") for d in got} and len(got) == 200
