@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,22 +30,33 @@ def overlap_matches(gold: DataFrame, found: DataFrame, by: str, least: float = 0
     return best.select(by, F.col("a").alias("gold_start"), F.col("c").alias("found_start"), "iou")
 
 
-def _runs(of: Column, n: int) -> Column:
-    """All contiguous runs of n elements of an array."""
-    starts = F.when(F.size(of) >= n, F.sequence(F.lit(1), F.size(of) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(of, i, n), "\x00").alias("run")))
+def run_counts(hyp: Sequence, ref: Sequence, most: int) -> list[tuple[int, int, int]]:
+    """For each n up to ``most``: runs of n elements in hyp, in ref, and common to both, each as often as both have it.  Runs are numbered by the run one shorter
+    and the element after it, so their length costs nothing."""
+    code: dict = {}
+    out, sides = [], [[code.setdefault(x, len(code)) for x in side] for side in (hyp, ref)]
+    first = sides
+    for n in range(1, most + 1):
+        if n > 1:
+            code = {}
+            sides = [[code.setdefault(x, len(code)) for x in zip(runs, one[n - 1 :], strict=False)] for runs, one in zip(sides, first, strict=True)]
+        a, b = map(Counter, sides)
+        out.append((len(sides[0]), len(sides[1]), sum(min(k, b[x]) for x, k in a.items() if x in b)))
+    return out
 
 
-def clipped_counts(pairs: DataFrame, hyp: Column, ref: Column, most: int, *by: str) -> DataFrame:
+def clipped_counts(pairs: DataFrame, hyp: Column, ref: Column, most: int) -> DataFrame:
     """A row for each n up to ``most``: runs of n elements in the hypotheses, in the references, and common to both, each counted
-    at most as often as either has it in its pair."""
-    sides = []
-    for array, mine in ((hyp, "h"), (ref, "r")):
-        every = F.flatten(F.array(*(_runs(F.col("of"), n) for n in range(1, most + 1))))
-        counts = pairs.select(*by, array.alias("of")).select(*by, F.explode(every).alias("x")).groupBy(*by, "x.n", "x.run").agg(F.count("*").alias("c"))
-        sides.append(counts.select(*by, "n", "run", *(F.when(F.lit(side == mine), F.col("c")).otherwise(0).alias(side) for side in "hr")))
-    each = sides[0].union(sides[1]).groupBy(*by, "n", "run").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return each.groupBy("n").agg(F.sum("h").alias("hyp"), F.sum("r").alias("ref"), F.sum(F.least("h", "r")).alias("same"))
+    at most as often as either has it in its pair.  Sides are arrays, or strings that are taken letter by letter.
+
+    A pair is counted where it lies; only its ``most`` sums leave the row."""
+
+    @F.pandas_udf("array<struct<n:int,h:bigint,r:bigint,both:bigint>>")
+    def of(hyps: pd.Series, refs: pd.Series) -> pd.Series:
+        return pd.Series([[{"n": n, "h": h, "r": r, "both": both} for n, (h, r, both) in enumerate(run_counts(x, y, most), 1)] for x, y in zip(hyps, refs, strict=True)])
+
+    sums = pairs.select(F.explode(of(hyp, ref)).alias("x")).groupBy("x.n").agg(F.sum("x.h").alias("hyp"), F.sum("x.r").alias("ref"), F.sum("x.both").alias("same"))
+    return sums.where("hyp > 0 OR ref > 0")
 
 
 def bleu(counts: DataFrame, sizes: DataFrame, most: int = 4) -> DataFrame:
