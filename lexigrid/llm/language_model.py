@@ -175,6 +175,19 @@ class SuffixTree:
         return {"n_tokens": sizes, "n_known": n_known, "base_score": base, "score": sums(np.log10(p))}
 
 
+def _release() -> None:
+    """Freed Arrow memory goes back to the system: workers live on and would keep what their largest batch took, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches as slices of so many rows, so that only these become Python objects at once."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, rows):
+            yield batch.slice(s, rows)
+
+
+SLICE_ROWS = 500
 BLOCKS = "block long, ids array<long>, sizes array<int>, words binary, tokens binary"
 
 
@@ -192,11 +205,12 @@ def _pack(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             token = place.astype("<i4")[np.concatenate(tokens)]
             return pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "sizes": sizes, "words": word.astype("<u8").tobytes(), "tokens": token.tobytes()}], schema=schema)
 
-        for batch in batches:
+        for batch in _few(batches, SLICE_ROWS):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if ids and held + len(text) > block_bytes:
                     yield row()
                     block, ids, sizes, tokens, held, number = block + 1, [], [], [], 0, {}
+                    _release()
                 words = text.translate(LOWER).split()
                 tokens.append(np.array([*[number.setdefault(w, len(number) + 1) for w in words], 0], np.int32))
                 ids.append(i)
@@ -223,9 +237,9 @@ def _over(f: Callable) -> Callable:
     """``f`` over each block of the batches."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield f({k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()})
+        for one in _few(batches, 1):
+            yield f({k: v[0] for k, v in one.to_pydict().items()})
+            _release()
 
     return over
 
@@ -233,6 +247,7 @@ def _over(f: Callable) -> Callable:
 def _sum(penalty: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         """Sums of each key's values, for each block that sent it; own: for the smallest of these."""
+        _release()  # what the group before took
         rows = rows.sort_values("block")
         sent = [np.frombuffer(x, "<u8") for x in rows["keys"]]
         cuts = np.cumsum([len(x) for x in sent])[:-1]

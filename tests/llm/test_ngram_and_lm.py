@@ -150,3 +150,17 @@ def test_lm_counts_of_any_size():
     for x in ([], [0, 255], [0, 256], [2**32 - 1, 1], [2**32, 1]):
         data = lm._narrow(np.array(x, np.int64))
         assert lm._wide(data, len(x)).tolist() == x
+
+
+def test_blocks_give_back_their_memory(monkeypatch):
+    """Rows come one at a time, and what one took is freed before the next."""
+    import pyarrow as pa
+
+    from lexigrid.llm import language_model
+
+    seen = []
+    monkeypatch.setattr(language_model, "_release", lambda: seen.append("freed"))
+    batch = pa.RecordBatch.from_pydict({"block": [1, 2, 3]})
+    list(language_model._over(lambda row: seen.append(row["block"]))(iter([batch])))
+    assert seen == [1, "freed", 2, "freed", 3, "freed"]
+    assert [x.num_rows for x in language_model._few(iter([batch]), 2)] == [2, 1]
