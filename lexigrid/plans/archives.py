@@ -96,6 +96,10 @@ def src_zip_splits(spark, sf):
     return spark.read.format("zip_splits").load(folder)
 
 
+#: So many members an archive, for all languages together: some 10 MB of text.
+A_FILE = 50
+
+
 @query("src_zip_utf16", "SELECT lang || '.zip' AS archive, count(*) AS lines, sum(length(u)) AS letters FROM (SELECT lang, substr(replace(replace(text, chr(10), ' '), chr(13), ' '), 1) AS u FROM documents) GROUP BY lang")
 def src_zip_utf16(spark, sf):
     """Documents a line each in UTF-16, archives by language, some hundred documents a member, every second one with a mark."""
@@ -106,6 +110,6 @@ def src_zip_utf16(spark, sf):
         return {f"{m}.txt": (b"\xff\xfe" if m % 2 else b"") + "".join(t + "\r\n" for t in some["text"]).encode("utf-16-le") for m, some in rows.groupby("member")}
 
     d = table(spark, sf, "documents").select("lang", F.expr("doc_id div 100").alias("member"), F.translate("text", "\n\r", "  ").alias("text"))
-    A.write_archives(d, folder, F.concat_ws("-", "lang", "member"), members).agg(F.sum("members")).collect()
+    A.write_archives(d, folder, F.concat_ws("-", "lang", F.expr(f"member div {A_FILE}")), members).agg(F.sum("members")).collect()
     got = spark.read.format("zip_utf16").load(folder)
     return got.groupBy(F.concat(F.split_part("archive", F.lit("-"), F.lit(1)), F.lit(".zip")).alias("archive")).agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("letters"))

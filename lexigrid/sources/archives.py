@@ -1,6 +1,6 @@
 """Files that hold many parts: packs of named arrays, matrices of fixed rows, and texts inside archives, read by part.
 
-Each is a Spark data source whose partitions are files, or ranges of one, known from the folder's listing alone.  A task opens its file where it
+Each is a Spark data source whose partitions are files, several small ones, or ranges of one, known from the folder's listing alone.  A task opens its file where it
 is, reads the index at its end and seeks to the parts asked for; what an option on names or rows excludes is not read.  Files are reached through
 pyarrow's file systems, so a folder may be in any store that these know.
 """
@@ -17,6 +17,7 @@ from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,21 +189,53 @@ class SplitSource(DataSource):
         return _SplitReader(self.options, "splits")
 
 
-class _Utf16Reader(_Reader):
-    def partitions(self) -> list[FilePart]:
-        return [FilePart(p) for p, _ in _files(self.options["path"], ".zip")]
+@dataclass
+class FilesPart(InputPartition):
+    paths: list[str]
 
-    def read(self, partition: FilePart) -> Iterator[tuple]:
-        with _opened(self.options["path"], partition.path) as f, zipfile.ZipFile(f) as z:
-            for member in z.namelist():
-                if member.lower().endswith(".txt") and (self.only is None or member in self.only):
-                    with z.open(member) as m:
-                        mark = m.read(2)
-                    kind = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(mark)
-                    with z.open(member) as m:
-                        m.read(2 if kind else 0)
-                        for i, line in enumerate(io.TextIOWrapper(m, encoding=kind or "utf-16-le"), 1):
-                            yield partition.path.rpartition("/")[2], member, i, line.rstrip("\r\n")
+
+#: Small files share a partition up to so many bytes; each counts as OPEN_BYTES more.  Lines are handed over some BATCH_LETTERS at a time.
+PART_BYTES, OPEN_BYTES, BATCH_LETTERS = 16 << 20, 64 << 10, 1 << 20
+LINES = pa.schema([("archive", pa.string()), ("member", pa.string()), ("line", pa.int64()), ("text", pa.string())])
+
+
+class _Utf16Reader(_Reader):
+    def partitions(self) -> list[FilesPart]:
+        out, held = [], PART_BYTES
+        for path, size in _files(self.options["path"], ".zip"):
+            if held + size + OPEN_BYTES > PART_BYTES:
+                out.append(FilesPart([]))
+                held = 0
+            out[-1].paths.append(path)
+            held += size + OPEN_BYTES
+        return out or [FilesPart([])]
+
+    def read(self, partition: FilesPart) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths:
+            with _opened(self.options["path"], path) as f, zipfile.ZipFile(f) as z:
+                for member in z.namelist():
+                    if member.lower().endswith(".txt") and (self.only is None or member in self.only):
+                        with z.open(member) as m:
+                            mark = m.read(2)
+                        kind = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(mark)
+                        with z.open(member) as m:
+                            m.read(2 if kind else 0)
+                            yield from _line_batches(path.rpartition("/")[2], member, io.TextIOWrapper(m, encoding=kind or "utf-16-le"))
+
+
+def _line_batches(archive: str, member: str, lines: Iterator[str]) -> Iterator[pa.RecordBatch]:
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([archive] * len(texts)), pa.array([member] * len(texts)), pa.array(range(first, first + len(texts)), pa.int64()), pa.array(texts, pa.string())], schema=LINES)
+
+    texts, first, size = [], 1, 0
+    for line in lines:
+        texts.append(line.rstrip("\r\n"))
+        size += len(line)
+        if size > BATCH_LETTERS:
+            yield made()
+            texts, first, size = [], first + len(texts), 0
+    if texts:
+        yield made()
 
 
 class Utf16Source(DataSource):

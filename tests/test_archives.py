@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrid.sources.archives import array_bytes, arrays_of, registered, replaced
+from lexigrid.sources.archives import _line_batches, array_bytes, arrays_of, registered, replaced
 from lexigrid.sources.files import scratch
 
 
@@ -94,5 +94,24 @@ def test_utf16(spark):
     assert got == dict.fromkeys(["bare.txt", "little.txt", "big.txt"], ["مرحبا", "", "ğüzel \U0001f600"])
 
 
+def test_small_archives_share_a_partition(spark, sf):
+    folder = scratch(registered(spark), "t-many")
+    for i in range(300):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            z.writestr("a.txt", f"{i}\r\n".encode("utf-16-le") * 3)
+        replaced(folder, f"z{i:03}.zip", data.getvalue())
+    df = spark.read.format("zip_utf16").load(folder)
+    assert df.rdd.getNumPartitions() == 2
+    assert sorted((r.archive, r.line, r.text) for r in df.collect()) == [(f"z{i:03}.zip", k, str(i)) for i in range(300) for k in (1, 2, 3)]
+
+
+def test_long_members_come_in_batches():
+    lines = ["x" * 1000] * 3000
+    got = list(_line_batches("z.zip", "a.txt", iter(f"{x}\r\n" for x in lines)))
+    assert len(got) == 3 and [x for b in got for x in b.column("line").to_pylist()] == list(range(1, 3001))
+    assert [x for b in got for x in b.column("text").to_pylist()] == lines
+
+
 def test_array_bytes():
     assert np.array_equal(np.lib.format.read_array(io.BytesIO(array_bytes(np.eye(2)))), np.eye(2))
