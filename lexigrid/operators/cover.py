@@ -23,13 +23,12 @@ def gap_cover(gaps: DataFrame, holdings: DataFrame, prefer: list[Column]) -> Dat
     don't appear; nulls hold nothing; repeated rows change nothing.
     """
     rank = F.struct((-F.col("n")).alias("falling"), "word")
-    held = holdings.join(gaps.select("word"), "word", "left_semi")
-    order = Window.partitionBy("word").orderBy(*prefer, "source")
-    first_two = held.groupBy("word", "source").agg(*[F.min(p).alias(f"p{i}") for i, p in enumerate(prefer)])
+    first_two = holdings.join(gaps.select("word", "n", rank.alias("rank")), "word").groupBy("word", "source").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), *[F.min(p).alias(f"p{i}") for i, p in enumerate(prefer)])
     order = Window.partitionBy("word").orderBy(*[f"p{i}" for i in range(len(prefer))], "source")
-    best = written(first_two.withColumn("choice", F.row_number().over(order)).where("choice <= 2").join(gaps.select("word", "n", rank.alias("rank")), "word").select("word", "source", "choice", "n", "rank"), "best")
+    best = written(first_two.withColumn("choice", F.row_number().over(order)).where("choice <= 2").select("word", "source", "choice", "n", "rank"), "best")
     still = best.where("choice = 1").select("word", "source", "n", "rank")
-    hold = written(held.select("source", "word").distinct().join(still.select("source").distinct(), "source", "left_semi"), "holds")
+    # Words that are no gaps may stay in ``hold``: what is joined with it has gaps only, so that holdings move once by word and once by source.
+    hold = written(holdings.select("source", "word").where("word IS NOT NULL").join(still.select("source").distinct(), "source", "left_semi"), "holds")
     every, taken, rounds = hold, None, 0
     while not still.isEmpty():
         waits = still.groupBy("source").agg(F.min("rank").alias("first"))

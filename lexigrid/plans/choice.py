@@ -11,6 +11,7 @@ from lexigrid.operators import series as S
 from lexigrid.operators import support as P
 from lexigrid.plans.windows import _numbered
 from lexigrid.registry import query, table
+from lexigrid.sources.files import written
 
 WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
 
@@ -32,10 +33,11 @@ cov AS (SELECT source, count(*) AS covers, sum(n) AS covers_count FROM (SELECT h
 SELECT source, word AS gap_word, n AS gap_count, choice::INTEGER AS choice, coalesce(covers, 0) AS covers, coalesce(covers_count, 0)::BIGINT AS covers_count FROM once LEFT JOIN cov USING (source) WHERE turn = 1""")
 def j_gap_cover(spark, sf):
     """Words that the benchmark doesn't hold, and documents chosen for them: the shortest that holds a word first."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source"), "n_chars", F.explode(T.words(F.col("text"))).alias("word"))
     known = table(spark, sf, "benchmark").select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
-    gaps = docs.join(known, "word", "left_anti").groupBy("word").agg(F.count("*").alias("n"))
-    return C.gap_cover(gaps, docs.distinct(), [F.col("n_chars")])
+    each = lambda words: table(spark, sf, "documents").select(F.col("doc_id").alias("source"), "n_chars", F.explode(words).alias("word")).join(F.broadcast(known), "word", "left_anti")
+    words = T.words(F.col("text"))
+    gaps = written(each(words).groupBy("word").agg(F.count("*").alias("n")), "gaps")
+    return C.gap_cover(gaps, each(F.array_distinct(words)), [F.col("n_chars")])
 
 
 def value_runs(spark, sf):

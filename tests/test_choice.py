@@ -118,3 +118,20 @@ def test_planted_word_is_supported(spark):
     got = {r.key: r for r in supported_words(df, Plan(trials=10)).collect()}
     assert got["0"].accepted and got["0"].support == 1.0
     assert len(got) == 6 and all(r.support < 0.9 for k, r in got.items() if k != "0")
+
+
+def test_gap_cover_moves_holdings_once_by_word_and_once_by_source(spark, monkeypatch):
+    from lexigrid.operators import cover
+
+    plans, write = {}, cover.written
+    monkeypatch.setattr(cover, "written", lambda df, label: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), write(df, label))[1])
+    g = spark.createDataFrame([("a", 2), ("b", 1)], "word string, n long")
+    h = spark.createDataFrame([(1, "a", 1), (1, "c", 1), (2, "b", 1), (None, None, None)], "source long, word string, p int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, gap_cover(g, h, [F.col("p")]).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == [(1, "a", 2, 1, 1, 2), (2, "b", 1, 1, 1, 1)]
+    assert plans["best"].count("Exchange hashpartitioning") == plans["holds"].count("Exchange hashpartitioning") == 2
