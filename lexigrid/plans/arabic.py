@@ -15,6 +15,7 @@ from lexigrid.operators import guard as G
 from lexigrid.operators import morphology as M
 from lexigrid.plans.text import VOCAB
 from lexigrid.registry import query, table
+from lexigrid.sources.files import written
 
 LATIN = "abcdefghijklmnopqrstuvwxyz0123456789"
 SPELLED = "أبةدَفئهِجكلمنُؤٱرستـإوآىٰ٠١٢٣٤٥٦٧٨٩"
@@ -201,7 +202,7 @@ lma AS (SELECT token, lft.word, sure.key AS entry FROM lft JOIN sure USING (word
 SELECT token, entry, ({list(K.ROUTES)})[1 + route] AS route FROM (SELECT token, entry, route FROM one UNION ALL SELECT token, entry, 3 FROM ali UNION ALL SELECT token, entry, 4 FROM lma)""")
 def j_cascade_ar(spark, sf):
     """Every word of the documents against entries of the benchmark's words."""
-    vw = table(spark, sf, "documents").select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
+    vw = written(table(spark, sf, "documents").select(F.explode(F.array_distinct(T.words(F.col("text")))).alias("w")).distinct(), "vocabulary")  # read three times
     bw = table(spark, sf, "benchmark").select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
     plain, token, w = F.translate("w", LATIN, PLAIN), F.translate("w", LATIN, TOKEN), F.col("w")
     h = F.ascii(w) * 31 + F.length(w) * 7 + F.ascii(F.right(w, F.lit(1))) * 17

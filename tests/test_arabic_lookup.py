@@ -26,3 +26,13 @@ def test_words(spark):
     for token, entry in want.items():
         print(token, got.get(token), entry)
     assert {t: got.get(t) for t in want} == want and got["بيت"] == ("بيت", "form") and "" not in got
+
+
+def test_documents_are_split_once(spark, sf, monkeypatch):
+    from lexigrid.operators import arabic_lookup
+    from lexigrid.plans import arabic
+
+    given = []
+    monkeypatch.setattr(arabic_lookup, "found_entries", lambda *tables: given.extend(tables))
+    arabic.j_cascade_ar(spark, sf)
+    assert len(given) == 4 and not any("documents.parquet" in t._jdf.queryExecution().optimizedPlan().toString() + str(t.inputFiles()) for t in given)
