@@ -57,13 +57,25 @@ def _states(words: int) -> int:
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Counts in one byte each where all fit, else in four, else in eight."""
-    most = x.max() if len(x) else 0
-    return x.astype("u1" if most < 1 << 8 else "<u4" if most < 1 << 32 else "<i8").tobytes()
+    """Whole numbers byte by byte: all lowest bytes, then all next ones, as far as the largest number needs; what is mostly zero shrinks in files and shuffles."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : max(1, -(-most.bit_length() // 8))].T.tobytes()
 
 
 def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, {1: "u1", 4: "<u4", 8: "<i8"}[len(data) // max(n, 1) or 1]).astype(np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.view("<i8").ravel()
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    """Sorted keys as the gaps between them, whose high bytes are mostly zero."""
+    return _narrow(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_wide(data, n).view("<u8"))
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,10 +98,14 @@ class _Sent:
         starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
         self.cuts = [(int(bucket[s]), int(s), int(e)) for s, e in zip(starts, np.append(starts[1:], len(keys)), strict=False)]
 
-    def rows(self, kind: int, block: int, values: np.ndarray) -> Iterator[dict]:
-        pack = _narrow if kind % 2 == 0 else np.ndarray.tobytes
+    def rows(self, kind: int, block: int, counts: np.ndarray, sums: np.ndarray | None = None) -> Iterator[dict]:
+        """``sums``, of contexts: log-likelihood, number and occurrences; sent where the count isn't zero."""
         for b, s, e in self.cuts:
-            yield {"kind": kind, "bucket": b, "block": block, "keys": self.keys[s:e].tobytes(), "values": pack(values[s:e])}
+            row = {"kind": kind, "bucket": b, "block": block, "many": e - s, "keys": _gaps(self.keys[s:e]), "values": _narrow(counts[s:e])}
+            if sums is not None:
+                fit, number, seen = sums[:, s:e][:, counts[s:e] > 0]
+                row |= {"fit": fit.tobytes(), "number": _narrow(number.astype(np.int64)), "seen": _narrow(seen.astype(np.int64))}
+            yield row
 
     def counts(self, answers: dict) -> tuple[np.ndarray, np.ndarray]:
         """For each run the total count, and whether the block is the one to speak for it."""
@@ -101,9 +117,9 @@ class _Sent:
 
     def told_apart(self, answers: dict) -> np.ndarray:
         """For each context its occurrences before words told apart; 0: not retained."""
-        out = np.zeros(len(self.keys))
+        out = np.zeros(len(self.keys), np.int64)
         for b, s, e in self.cuts:
-            out[s:e] = np.frombuffer(answers[b]["total"], "<f8")
+            out[s:e] = _wide(answers[b]["total"], e - s)
         return out
 
 
@@ -123,56 +139,61 @@ class SuffixTree:
 
     def _state_rows(self, kind: int, block: int, contexts: _Sent, place: np.ndarray, count: np.ndarray, own: np.ndarray, shorter: np.ndarray, seen: np.ndarray) -> Iterator[dict]:
         """Each context's sums over the next words that the block speaks for: count, log-likelihood, number; and its occurrences."""
-        mine = own & (count >= 2)
+        mine = np.flatnonzero(own & (count >= 2))
         c, at, size = count[mine].astype(float), place[mine], len(contexts.keys)
-        sums = [np.bincount(at, c, size), np.bincount(at, c * np.log(c / shorter[mine]), size), np.bincount(at, None, size).astype(float), seen.astype(float)]
-        return contexts.rows(kind, block, np.stack(sums, axis=1))
+        n, fit, number = (np.bincount(at, x, size) for x in (c, c * np.log(c / shorter[mine]), None))
+        return contexts.rows(kind, block, n.astype(np.int64), np.stack([fit, number, seen]))
 
     def __call__(self, row: dict, answers: dict[int, dict], rounds: int) -> list[dict] | dict[str, np.ndarray]:
         """Rows to ask after so many rounds, or the scores after the last."""
         word, token, sizes, block = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<i4"), np.array(row["sizes"], np.int64), row["block"]
         ends = np.cumsum(sizes)
-        train = np.repeat([not self.held_out(d) for d in row["ids"]], sizes)
+        train = lambda: np.repeat([not self.held_out(d) for d in row["ids"]], sizes)
         words = _Sent(word, self.buckets)
         if not rounds:
-            return list(words.rows(_grams(1), block, np.bincount(token[train], minlength=len(word))))
+            return list(words.rows(_grams(1), block, np.bincount(token[train()], minlength=len(word))))
         total = words.counts(answers[_grams(1)])[0]
-        sums = lambda x: np.add.reduceat(x, ends - sizes, dtype=float)
-        offset = np.arange(len(token), dtype=np.int32) - np.repeat((ends - sizes).astype(np.int32), sizes)
-        keys, at, count = word, token, total[token]  # of the runs of k words; which of them ends at each token, and its total count
-        p = (count + 1.0) / (self.n + self.v + 1.0)
-        base, n_known, out = sums(np.log10(p)), sums(count > 0).astype(np.int64), []
+        of_word = (total + 1.0) / (self.n + self.v + 1.0)
+        p, out = of_word[token], []
+        more = np.ones(len(token), bool)  # whether another token of the text follows
+        more[ends - 1] = False
+        # of the runs of k words: their keys and total counts, the tokens where one ends, which of them that is, and how often it occurs in all
+        keys, end, at, count = word, np.arange(len(token), dtype=np.int32), token, total[token]
         for k in range(1, self.depth + 1):
-            if not len(count):
+            if not len(end):
                 break
-            after = np.flatnonzero((offset[1:] >= k) & (count[:-1] >= self.min_count)) + 1  # tokens with a context of k words
-            deep = after[count[after] >= 2]
-            run, first, place = _distinct(_mix(keys[at[deep - 1]] * STEP + word[token[deep]] + np.uint64(k)))
+            before = np.flatnonzero((count >= self.min_count) & more[end])  # contexts of k words; the next token comes after each
+            next_too = np.minimum(before + 1, len(end) - 1)
+            goes_on = (end[next_too] == end[before] + 1) & (count[next_too] >= 2)
+            on = before[goes_on]
+            deep = end[on] + 1
+            run, first, place = _distinct(_mix(keys[at[on]] * STEP + word[token[deep]] + np.uint64(k)))
             runs = _Sent(run, self.buckets)
             if rounds == k:
-                return out + list(runs.rows(_grams(k + 1), block, np.bincount(place[train[deep]], minlength=len(run))))
+                return out + list(runs.rows(_grams(k + 1), block, np.bincount(place[train()[deep]], minlength=len(run))))
             run_total, own = runs.counts(answers.get(_grams(k + 1), {}))
             is_context = np.zeros(len(keys), bool)
-            is_context[at[after - 1]] = True
-            context_of = np.cumsum(is_context) - 1  # contexts are runs, so they are in order as these are
-            contexts, seen = _Sent(keys[is_context], self.buckets), count[after - 1]
-            found = np.zeros(len(token), np.int64)
-            found[deep] = run_total[place]
+            is_context[at[before]] = True
+            context_of = np.cumsum(is_context, dtype=np.int32) - 1  # contexts are runs, so they are in order as these are
+            contexts, found = _Sent(keys[is_context], self.buckets), run_total[place]
             if rounds == k + 1:
-                whose = context_of[at[deep[first] - 1]]
+                whose = context_of[at[on[first]]]
                 out = list(self._state_rows(_states(k), block, contexts, whose, run_total, own, p[deep[first]], total[is_context]))
             else:
-                n = contexts.told_apart(answers.get(_states(k), {}))[context_of[at[after - 1]]]
+                n = contexts.told_apart(answers.get(_states(k), {}))[context_of[at[before]]]
+                told = np.zeros(len(before), np.int64)
+                told[goes_on] = np.where(found >= 2, found, 0)
                 kept = np.flatnonzero(n > 0)
-                where, n, seen = after[kept], n[kept], seen[kept]
-                told = np.where(found[where] >= 2, found[where], 0)
+                where, n, told, seen = end[before[kept]] + 1, n[kept], told[kept], count[before[kept]]
                 p[where] = (told + (seen - n + self.k) * p[where]) / (seen + self.k)
-            keys, at, total, count = run, np.full(len(token), -1, np.int32), run_total, found
-            at[deep] = place
-            del after, deep, first, place, own, found, seen, context_of, contexts, runs  # before the next words are sorted
+                del where, told, kept, seen, n
+            keys, end, at, total, count = run, deep, place, run_total, found
+            del before, next_too, goes_on, on, deep, first, place, own, found, context_of, contexts, runs  # before the next words are sorted
         if rounds < self.depth + 2:
             return out
-        return {"n_tokens": sizes, "n_known": n_known, "base_score": base, "score": sums(np.log10(p))}
+        sums = lambda x: np.add.reduceat(x, ends - sizes, dtype=float)
+        known = words.counts(answers[_grams(1)])[0] > 0
+        return {"n_tokens": sizes, "n_known": sums(known[token]).astype(np.int64), "base_score": sums(np.log10(of_word)[token]), "score": sums(np.log10(p))}
 
 
 def _release() -> None:
@@ -187,6 +208,14 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatc
             yield batch.slice(s, rows)
 
 
+class _Numbers(dict):
+    """The number of each word of a block, as met; the end is 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
+
+
 SLICE_ROWS = 500
 BLOCKS = "block long, ids array<long>, sizes array<int>, words binary, tokens binary"
 
@@ -197,7 +226,7 @@ def _pack(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, sizes, tokens, held = TaskContext.get().partitionId() << 24, [], [], [], 0
-        number: dict[bytes, int] = {}  # of each word of the block, as met; the end is 0
+        number = _Numbers()
 
         def row() -> pa.RecordBatch:
             word = np.array([END, *map(xxhash.xxh3_64_intdigest, number)], np.uint64)
@@ -209,10 +238,10 @@ def _pack(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if ids and held + len(text) > block_bytes:
                     yield row()
-                    block, ids, sizes, tokens, held, number = block + 1, [], [], [], 0, {}
+                    block, ids, sizes, tokens, held, number = block + 1, [], [], [], 0, _Numbers()
                     _release()
                 words = text.translate(LOWER).split()
-                tokens.append(np.array([*[number.setdefault(w, len(number) + 1) for w in words], 0], np.int32))
+                tokens.append(np.array([*map(number.__getitem__, words), 0], np.int32))
                 ids.append(i)
                 sizes.append(len(words) + 1)
                 held += len(text)
@@ -222,7 +251,8 @@ def _pack(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return pack
 
 
-ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
+ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("many", pa.int32()), *[(k, pa.binary()) for k in ("keys", "values", "fit", "number", "seen")]])
+ASKED_DDL = "kind int, bucket int, block long, many int, keys binary, values binary, fit binary, number binary, seen binary"
 ANSWER = "kind int, bucket int, block long, total binary, own binary, n long, v long"
 
 
@@ -246,24 +276,26 @@ def _over(f: Callable) -> Callable:
 
 def _sum(penalty: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        """Sums of each key's values, for each block that sent it; own: for the smallest of these."""
+        """Sums of each key's values, for each block that sent it; own: for one of these."""
         _release()  # what the group before took
         rows = rows.sort_values("block")
-        sent = [np.frombuffer(x, "<u8") for x in rows["keys"]]
-        cuts = np.cumsum([len(x) for x in sent])[:-1]
-        key, first, place = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
-        own, split = np.zeros(len(place), bool), lambda x: np.split(x, cuts)
+        many = rows["many"].to_numpy()
+        key, first, place = _distinct(np.concatenate([_keys(x, n) for x, n in zip(rows["keys"], many, strict=True)]))
+        local = np.concatenate([_wide(x, n) for x, n in zip(rows["values"], many, strict=True)])
+        own, split = np.zeros(len(place), bool), lambda x: np.split(x, np.cumsum(many)[:-1])
+        sums = np.bincount(place, local, len(key)).astype(np.int64)
         if rows["kind"].iloc[0] % 2:
-            values = np.concatenate([np.frombuffer(x, "<f8").reshape(-1, 4) for x in rows["values"]])
-            n, fit, number = (np.bincount(place, values[:, k], len(key)) for k in range(3))
-            seen = values[first, 3]
-            rest = np.maximum(seen - n, 0)
-            gain = fit - n * np.log(np.maximum(seen, 1)) + rest * np.log(np.maximum(rest, 1) / np.maximum(seen, 1))
-            total = [x.tobytes() for x in split(np.where((n > 0) & (gain > penalty * number), n, 0.0)[place])]
+            told = np.flatnonzero(local)
+            sizes, at = [np.count_nonzero(x) for x in split(local)], place[told]
+            number, of = (np.concatenate([_wide(x, n) for x, n in zip(rows[k], sizes, strict=True)]) for k in ("number", "seen"))
+            number, fit = np.bincount(at, number, len(key)), np.bincount(at, np.frombuffer(b"".join(rows["fit"]), "<f8"), len(key))
+            seen = np.zeros(len(key))
+            seen[at] = of
+            rest = np.maximum(seen - sums, 0)
+            gain = fit - sums * np.log(np.maximum(seen, 1)) + rest * np.log(np.maximum(rest, 1) / np.maximum(seen, 1))
+            total = [_narrow(x) for x in split(np.where((sums > 0) & (gain > penalty * number), sums, 0)[place])]
             local = known = np.zeros(len(place), np.int64)
         else:
-            local = np.concatenate([_wide(x, len(k)) for x, k in zip(rows["values"], sent, strict=True)])
-            sums = np.bincount(place, local, len(key)).astype(np.int64)
             own[first] = True
             known = own & (sums[place] > 0)
             total = [_narrow(x) for x in split(sums[place])]
@@ -298,7 +330,7 @@ def score_texts(docs: DataFrame, min_count: int = 12, smoothing: float = 4.0, de
         def send(row: dict, rounds: int = rounds) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(tree(row, _answers(row), rounds), schema=ASKED)
 
-        asked = table().mapInArrow(_over(send), "kind int, bucket int, block long, keys binary, values binary")
+        asked = table().mapInArrow(_over(send), ASKED_DDL)
         summed = asked.groupBy("kind", "bucket").applyInPandas(_sum(penalty), ANSWER).repartition(shuffle_partitions(spark), "block")
         answers.append(written_buckets(summed, f"lm_round{rounds}", "block", shuffle_partitions(spark)))
         if not rounds:

@@ -164,3 +164,19 @@ def test_blocks_give_back_their_memory(monkeypatch):
     list(language_model._over(lambda row: seen.append(row["block"]))(iter([batch])))
     assert seen == [1, "freed", 2, "freed", 3, "freed"]
     assert [x.num_rows for x in language_model._few(iter([batch]), 2)] == [2, 1]
+
+
+def test_lm_asks_in_few_bytes():
+    """Sorted keys shrink, contexts before no word told apart carry no sums, and both are read back as they were."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 2**64, 50_000, np.uint64))
+    counts = rng.integers(0, 3, len(keys)) * (rng.random(len(keys)) < 0.2)
+    sums = np.stack([rng.random(len(keys)), counts + 1, counts + 12])
+    rows = list(lm._Sent(keys, 16).rows(lm._states(2), 7, counts, sums))
+    sent = sum(len(pa.compress(v, "lz4_raw", asbytes=True)) for r in rows for v in r.values() if isinstance(v, bytes))
+    assert sent < 9 * len(keys)
+    assert np.array_equal(np.concatenate([lm._keys(r["keys"], r["many"]) for r in rows]), keys)
+    assert np.array_equal(np.concatenate([lm._wide(r["values"], r["many"]) for r in rows]), counts)
+    assert np.array_equal(np.frombuffer(b"".join(r["fit"] for r in rows), "<f8"), sums[0][counts > 0])
