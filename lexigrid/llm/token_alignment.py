@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ from lexigrid.llm.shared import shuffle_partitions, written, written_buckets
 from lexigrid.llm.tokens import vocabulary
 
 CHUNK_BYTES, BLOCK_BYTES, SLICE_BYTES, NEAR = 1 << 16, 4_000_000, 1_000_000, 4096
-MOST_PIECES = 400_000
+MOST_PIECES = 800_000
 ARITY = 16
 #: Before a space between two characters that surely aren't white space: U+0085, U+00A0 and all others begin with C2, E1, E2 or E3.
 SAFE = re.compile(rb"(?:(?<=[!-~])|(?<=[\xc3-\xdf][\x80-\xbf])|(?<=[\xe0\xe4-\xef][\x80-\xbf]{2})|(?<=[\xf0-\xf4][\x80-\xbf]{3}))(?= [!-~\xc3-\xe0\xe4-\xf4])")
@@ -54,6 +55,19 @@ for _k in range(5):
         DIGITS[_ids, _j] = 48 + _ids // 10 ** (_k - _j) % 10
 
 
+def differs(pieces: list[bytes], parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Whether each piece differs from its next ``sizes`` parts, joined."""
+    length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))[np.cumsum(sizes)]
+    wrong, joined = np.diff(ends, prepend=0) != length, b"".join(parts)
+    if wrong.any():  # the others as if these were left out
+        joined = b"".join([joined[s:e] for s, e, w in zip([0, *ends[:-1].tolist()], ends.tolist(), wrong.tolist(), strict=True) if not w])
+    same = np.flatnonzero(~wrong)
+    here = np.frombuffer(b"".join([pieces[i] for i in same.tolist()]), np.uint8) != np.frombuffer(joined, np.uint8)
+    wrong[same[np.searchsorted(np.cumsum(length[same]), np.flatnonzero(here), side="right")]] = True
+    return wrong
+
+
 class Pair:
     """Both tokenizers, the byte lengths of their ids, and the tokens of the pieces met so far."""
 
@@ -88,15 +102,16 @@ class Pair:
         texts = [p.decode(errors="replace") for p in pieces]
         ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)  # it adds the space that each piece begins with
-        for i, (p, x, y) in enumerate(zip(pieces, ids_a, ids_b, strict=True), n):
-            self.wrong[i] = b"".join([self.bytes_a[t] for t in x]) != p or b"".join([self.bytes_b[t] for t in y]) != p
-        for k, got in enumerate((ids_a, ids_b)):
+        self.wrong[n : n + len(pieces)] = False
+        for k, (got, entries) in enumerate(((ids_a, self.bytes_a), (ids_b, self.bytes_b))):
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            used, total = int(self.bounds[k][n]), int(sizes.sum())
+            every = list(chain.from_iterable(got))
+            used, total = int(self.bounds[k][n]), len(every)
             while used + total > len(self.flat[k]):
                 self.flat[k] = np.append(self.flat[k], np.empty_like(self.flat[k]))
-            self.flat[k][used : used + total] = np.fromiter((t for x in got for t in x), np.uint16, total)
+            self.flat[k][used : used + total] = every
             self.bounds[k][n + 1 : n + len(got) + 1] = used + np.cumsum(sizes)
+            self.wrong[n : n + len(pieces)] |= differs(pieces, [entries[t] for t in every], sizes)
         self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
@@ -138,7 +153,8 @@ class Aligned:
 
     def links(self) -> np.ndarray:
         """The id pair of each link, first id << 16 | second id, in order: both tokens of every stretch between two ends."""
-        self.stops = np.union1d(self.end_a, self.end_b)
+        ends = np.sort(np.concatenate([self.end_a, self.end_b]))  # np.union1d hashes them, which takes many times as long
+        self.stops = ends[np.diff(ends, prepend=-1) > 0]
         one, two = self.a[np.searchsorted(self.end_a, self.stops)], self.b[np.searchsorted(self.end_b, self.stops)]
         return (one.astype(np.int64) << 16) | two
 

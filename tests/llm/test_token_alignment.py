@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from plain_alignment import align
 
-from lexigrid.llm.token_alignment import NONE, Fragment, byte_ranges, align_tokens, pair
+from lexigrid.llm.token_alignment import NONE, Aligned, Fragment, align_tokens, byte_ranges, differs, pair
 
 SCHEMA = "doc_id long, text string, block long, pairs string, row string"
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -83,3 +83,27 @@ def test_vocabulary_is_kept_within_bounds(monkeypatch):
     texts = [b" " + made(i, 30).encode() for i in range(4)]
     one = [p.encode([t]) for t in texts]
     assert all(np.array_equal(x[0][0], y[0][0]) and np.array_equal(x[0][1], y[0][1]) for x, y in zip(one, [p.encode([t]) for t in texts], strict=True))
+
+
+def test_pieces_that_differ_are_found_at_once():
+    rng = random.Random(7)
+    pieces, parts, sizes = [], [], []
+    for _ in range(500):
+        own = [rng.choice([b"a", b"bc", b"\xc3\xa9", b" "]) for _ in range(rng.randrange(4))]
+        pieces.append(rng.choice([b"".join(own), b"".join(own)[::-1], b"".join(own) + b"x", b"".join(own)[1:]]))
+        parts += own
+        sizes.append(len(own))
+    joined = [b"".join(parts[e - n : e]) for n, e in zip(sizes, itertools.accumulate(sizes), strict=True)]
+    assert differs(pieces, parts, np.array(sizes)).tolist() == [p != j for p, j in zip(pieces, joined, strict=True)]
+    assert differs([], [], np.array([], np.int64)).tolist() == []
+
+
+def test_ends_are_merged_without_hashing(monkeypatch):
+    """Stops are the sorted union of both tokenizers' ends; ``np.union1d`` took a third of a second a block."""
+    monkeypatch.setattr(np, "union1d", None)
+    p = pair("byte_bpe_50k.json", "piece_bpe_32k.model")
+    for texts in ([made(i, 60) for i in range(5)], []):
+        a, b = ([x for t in p.encode([b" " + t.encode() for t in texts]) for x in [t[k]]] for k in (0, 1)) if texts else ([NONE], [NONE])
+        na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        one = Aligned(p, np.concatenate(a), np.concatenate(b), na, nb)
+        assert len(one.links()) == len(one.stops) and one.stops.tolist() == sorted({*one.end_a.tolist(), *one.end_b.tolist()})
