@@ -1,8 +1,8 @@
 """Source divergence audit: how far the word use of each source of a language lies from that of the language's other sources.
 
 For each language a ``CountVectorizer`` with an absolute minimum of documents and the largest vocabulary size that it takes
-learns the kept terms and turns every document into an exact sparse count vector.  The vectors are written; summing them by
-(language, source, term) gives sparse group vectors.  Pairs of sources are then valued from what the sparse vectors hold:
+learns the kept terms and turns every document into an exact sparse count vector.  Summing these by (language, source, term),
+in the job that makes them, gives sparse group vectors, which are written.  Pairs of sources are then valued from what the sparse vectors hold:
 with p0 the value of an absent term,
 
     sum |p - q| = V |p0 - q0| + sum over p's terms (|p - q0| - |p0 - q0|) + the same for q's terms
@@ -35,8 +35,6 @@ from lexigrid.llm.shared import shared_path, written
 MIN_DOCS, SMOOTHING, TOP, UNIT = 30, 5, 50, 1_000_000_000
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SALTS = 16
-#: What a VectorUDT column is in a Parquet file.
-VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
 
 def terms_of(text: Column) -> Column:
@@ -71,8 +69,8 @@ def _in_slice(k: int, many: int) -> Callable[[Column], Column]:
     return lambda t: F.pmod(F.xxhash64(t), F.lit(many)) == k
 
 
-def document_vectors(spark: SparkSession, terms: DataFrame, slices: dict[int, int], min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables: sparse count vectors (lang_no, slice, source, vector), and vocabularies (lang_no, slice, place, term)."""
+def group_vectors(spark: SparkSession, terms: DataFrame, slices: dict[int, int], min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the sums of each group's count vectors (lang_no, slice, source, place, n_term), and vocabularies (lang_no, slice, place, term)."""
     at, words, found = shared_path(spark, "vectors"), shared_path(spark, "vocabulary"), False
     for no, many in sorted(slices.items()):
         for k in range(many):
@@ -86,13 +84,16 @@ def document_vectors(spark: SparkSession, terms: DataFrame, slices: dict[int, in
                     continue
                 raise
             place, found = f"lang_no={no}/slice={k}", True
-            model.transform(mine).select("source", "vector").write.option("compression", "snappy").parquet(f"{at}/{place}")
+            each = model.transform(mine).select("source", F.unwrap_udt("vector").alias("vector"))
+            entries = each.select("source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("e"))
+            sums = entries.groupBy("source", F.col("e.indices").alias("place")).agg(F.sum(F.col("e.values").cast("long")).alias("n_term"))
+            sums.write.option("compression", "zstd").parquet(f"{at}/{place}")
             kept = pd.DataFrame({"place": range(len(model.vocabulary)), "term": model.vocabulary})
             spark.createDataFrame(kept, "place int, term string").write.parquet(f"{words}/{place}")
     keys = "lang_no int, slice int"
     if not found:
-        return spark.createDataFrame([], f"source string, vector {VECTOR}, {keys}"), spark.createDataFrame([], f"place int, term string, {keys}")
-    return spark.read.schema(f"source string, vector {VECTOR}, {keys}").parquet(at), spark.read.schema(f"place int, term string, {keys}").parquet(words)
+        return spark.createDataFrame([], f"source string, place int, n_term long, {keys}"), spark.createDataFrame([], f"place int, term string, {keys}")
+    return spark.read.schema(f"source string, place int, n_term long, {keys}").parquet(at), spark.read.schema(f"place int, term string, {keys}").parquet(words)
 
 
 def _p(count: str, n: str, v: str) -> Column:
@@ -130,9 +131,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, vocabu
     """(lang, source, part, item, value, rank): ``pair`` rows for each other source, ``term`` rows for each overused term."""
     spark = docs.sparkSession
     terms, langs = _term_table(docs, most_langs)
-    vectors, vocabulary = document_vectors(spark, terms, _slices(terms, min_docs, vocabulary_bytes), min_docs)
-    entries = vectors.select("lang_no", "slice", "source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("e"))
-    summed = entries.groupBy("lang_no", "slice", "source", F.col("e.indices").alias("place")).agg(F.sum(F.col("e.values").cast("long")).alias("n_term"))
+    summed, vocabulary = group_vectors(spark, terms, _slices(terms, min_docs, vocabulary_bytes), min_docs)
     summed = written(summed.join(vocabulary, ["lang_no", "slice", "place"]), "group_counts")
     size = vocabulary.groupBy("lang_no").agg(F.count("*").alias("v"))
     n = summed.groupBy("lang_no", "source").agg(F.sum("n_term").alias("n"))

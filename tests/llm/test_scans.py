@@ -102,3 +102,15 @@ def test_divergence_of_little(spark):
     assert mine(divergence(frame(spark, [(1, "a", "x", "s"), (2, "b", "x", "t")]))) == [("s", "x", "pair", 1, "t", 0), ("t", "x", "pair", 1, "s", 0)]
     with pytest.raises(ValueError, match="more than 2 languages"):
         divergence(frame(spark, [(i, "a", f"l{i}", "s") for i in range(3)]), most_langs=2)
+
+
+def test_divergence_writes_no_vectors_of_documents(spark):
+    """What the vectorizers give is summed by group before it is written, so copies of documents add no rows."""
+    from lexigrid.llm import divergence as d
+
+    rows = [(i, " ".join(["aa", "bb", "aa"][: i % 4]), "x", f"s{i % 2}") for i in range(400)]
+    terms, _ = d._term_table(frame(spark, rows), 10)
+    summed, vocabulary = d.group_vectors(spark, terms, {0: 2}, 30)
+    names = {(r.slice, r.place): r.term for r in vocabulary.collect()}
+    got = sorted((r.source, names[r.slice, r.place], r.n_term) for r in summed.collect())
+    assert got == [("s0", "aa", 100), ("s0", "bb", 100), ("s1", "aa", 300), ("s1", "bb", 100)]
