@@ -1,7 +1,7 @@
 """Source divergence audit: how far the word use of each source of a language lies from that of the language's other sources.
 
-For each language a ``CountVectorizer`` with an absolute minimum of documents and the largest vocabulary size that it takes
-learns the kept terms and turns every document into an exact sparse count vector.  Summing these by (language, source, term),
+The terms in enough documents of their language are found once, by one grouping of the documents' distinct terms.  For each language
+a ``CountVectorizer`` learns them and turns every document into an exact sparse count vector.  Summing these by (language, source, term),
 in the job that makes them, gives sparse group vectors, which are written.  Pairs of sources are then valued from what the sparse vectors hold:
 with p0 the value of an absent term,
 
@@ -10,7 +10,7 @@ with p0 the value of an absent term,
 
 The second and third sums come from a histogram of p's values (few are distinct), the last from a join on terms.
 
-Bounds: CountVectorizer keeps its vocabulary on the driver and in every executor.  Its bytes are bounded first, and a
+Bounds: CountVectorizer keeps its vocabulary on the driver and in every executor.  Its bytes are known first, and a
 language with more than ``vocabulary_bytes`` of them is taken in slices by hash of the term, each with a vectorizer of its own.
 Languages are listed on the driver; more than ``most_langs`` are refused with an error.
 
@@ -52,25 +52,25 @@ def _term_table(docs: DataFrame, most_langs: int) -> tuple[DataFrame, list[str]]
     number = F.array_position(F.array(*map(F.lit, langs)).cast("array<string>"), lang) - 1
     rows = docs.select(F.coalesce("source", F.lit("")).alias("source"), terms_of(F.coalesce("text", F.lit(""))).alias("terms"), number.cast("int").alias("lang_no"))
     path = shared_path(spark, "terms")
-    rows.write.partitionBy("lang_no").option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)  # read three times, then done
+    rows.write.partitionBy("lang_no").option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)  # read twice and for its sources, then done
     return spark.read.schema("source string, terms array<string>, lang_no int").parquet(path), langs
 
 
-def _slices(terms: DataFrame, min_docs: int, vocabulary_bytes: int) -> dict[int, int]:
-    """For each language that may have kept terms, in how many slices its vocabulary is to be taken.  Terms that occur as often as a kept one must
-    are counted, in however few documents: a bound from above.  Hashes will do, as only sizes are asked for."""
-    each = terms.select("lang_no", F.explode("terms").alias("term")).groupBy("lang_no", F.xxhash64("term"))
-    seen = each.agg(F.count("*").alias("n"), F.max(F.octet_length("term")).alias("length")).where(F.col("n") >= min_docs)
-    size = seen.groupBy("lang_no").agg(F.sum(F.col("length") + 64).alias("bytes"))
-    return {r.lang_no: -(-r.bytes // vocabulary_bytes) for r in size.collect()}
+def kept_terms(terms: DataFrame, min_docs: int, vocabulary_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """(lang_no, term) written, the terms in enough documents of their language; and in how many slices each language's are to be taken."""
+    each = terms.select("lang_no", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang_no", "term")
+    kept = written(each.count().where(F.col("count") >= min_docs).select("lang_no", "term"), "kept_terms")
+    size = kept.groupBy("lang_no").agg(F.sum(F.octet_length("term") + 64).alias("bytes"))
+    return kept, {r.lang_no: -(-r.bytes // vocabulary_bytes) for r in size.collect()}
 
 
 def _in_slice(k: int, many: int) -> Callable[[Column], Column]:
     return lambda t: F.pmod(F.xxhash64(t), F.lit(many)) == k
 
 
-def group_vectors(spark: SparkSession, terms: DataFrame, slices: dict[int, int], min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables: the sums of each group's count vectors (lang_no, slice, source, place, n_term), and vocabularies (lang_no, slice, place, term)."""
+def group_vectors(spark: SparkSession, terms: DataFrame, slices: dict[int, int], min_docs: int, kept: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the sums of each group's count vectors (lang_no, slice, source, place, n_term), and vocabularies (lang_no, slice, place, term).
+    With ``kept``, the terms in enough documents, vectorizers learn from it instead of counting documents in ``terms`` once more."""
     at, words, found = shared_path(spark, "vectors"), shared_path(spark, "vocabulary"), False
     for no, many in sorted(slices.items()):
         for k in range(many):
@@ -78,7 +78,8 @@ def group_vectors(spark: SparkSession, terms: DataFrame, slices: dict[int, int],
             if many > 1:
                 mine = mine.withColumn("terms", F.filter("terms", _in_slice(k, many)))
             try:
-                model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1).fit(mine)
+                learnt = mine if kept is None else kept.where(F.col("lang_no") == no).select(F.array("term").alias("terms")).where(_in_slice(k, many)(F.col("terms")[0]))
+                model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=1.0 if kept is not None else float(min_docs), vocabSize=2**31 - 1).fit(learnt)
             except IllegalArgumentException as e:
                 if "vocabulary size should be > 0" in str(e):  # no term is in enough documents
                     continue
@@ -88,8 +89,8 @@ def group_vectors(spark: SparkSession, terms: DataFrame, slices: dict[int, int],
             entries = each.select("source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("e"))
             sums = entries.groupBy("source", F.col("e.indices").alias("place")).agg(F.sum(F.col("e.values").cast("long")).alias("n_term"))
             sums.write.option("compression", "zstd").parquet(f"{at}/{place}")
-            kept = pd.DataFrame({"place": range(len(model.vocabulary)), "term": model.vocabulary})
-            spark.createDataFrame(kept, "place int, term string").write.parquet(f"{words}/{place}")
+            names = pd.DataFrame({"place": range(len(model.vocabulary)), "term": model.vocabulary})
+            spark.createDataFrame(names, "place int, term string").write.parquet(f"{words}/{place}")
     keys = "lang_no int, slice int"
     if not found:
         return spark.createDataFrame([], f"source string, place int, n_term long, {keys}"), spark.createDataFrame([], f"place int, term string, {keys}")
@@ -131,7 +132,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, vocabu
     """(lang, source, part, item, value, rank): ``pair`` rows for each other source, ``term`` rows for each overused term."""
     spark = docs.sparkSession
     terms, langs = _term_table(docs, most_langs)
-    summed, vocabulary = group_vectors(spark, terms, _slices(terms, min_docs, vocabulary_bytes), min_docs)
+    kept, slices = kept_terms(terms, min_docs, vocabulary_bytes)
+    summed, vocabulary = group_vectors(spark, terms, slices, min_docs, kept)
     summed = written(summed.join(vocabulary, ["lang_no", "slice", "place"]), "group_counts")
     size = vocabulary.groupBy("lang_no").agg(F.count("*").alias("v"))
     n = summed.groupBy("lang_no", "source").agg(F.sum("n_term").alias("n"))

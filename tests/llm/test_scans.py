@@ -114,3 +114,16 @@ def test_divergence_writes_no_vectors_of_documents(spark):
     names = {(r.slice, r.place): r.term for r in vocabulary.collect()}
     got = sorted((r.source, names[r.slice, r.place], r.n_term) for r in summed.collect())
     assert got == [("s0", "aa", 100), ("s0", "bb", 100), ("s1", "aa", 300), ("s1", "bb", 100)]
+
+
+def test_divergence_counts_documents_once(spark):
+    """Kept terms are found once for all vectorizers, which learn from them alone: a term that occurs often in few documents is none."""
+    from lexigrid.llm import divergence as d
+
+    terms, langs = d._term_table(frame(spark, texts()), 10)
+    kept, slices = d.kept_terms(terms, 30, 100)
+    got = sorted((langs[r.lang_no], r.term) for r in kept.collect())
+    assert got == sorted([("de", x) for x in ("das", "der", "die", "nur")] + [("en", x) for x in ("common", "don", "t", "the", "x", "\u00c4\u00d6", "\u00e4\u00f6")])
+    assert set(slices) == {langs.index("de"), langs.index("en")} and min(slices.values()) > 1
+    _, vocabulary = d.group_vectors(spark, terms, slices, 30, kept)
+    assert sorted((langs[r.lang_no], r.term) for r in vocabulary.collect()) == got
