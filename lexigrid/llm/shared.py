@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_buckets(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
-    """``df`` as a table bucketed by ``key``: joins on ``key`` then move only the other side."""
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written within are removed when it is written, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def database(spark: SparkSession, label: str) -> str:
+    """A new database under the shared folder: tables dropped from it free their place."""
+    name = f"lexigrid_{label}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_path(spark, label)}'")
+    return name
+
+
+def written_buckets(df: DataFrame, label: str, key: str, buckets: int, home: str | None = None) -> DataFrame:
+    """``df`` as a table bucketed by ``key``: joins on ``key`` then move only the other side.  With ``home``: that database's table ``label``."""
     spark = df.sparkSession
+    if home:
+        with freed_shuffles(spark):
+            df.write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(f"{home}.{label}")
+        return spark.table(f"{home}.{label}")
     path = shared_path(spark, label)
     name = f"lexigrid_{label}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)

@@ -180,3 +180,69 @@ def test_lm_asks_in_few_bytes():
     assert np.array_equal(np.concatenate([lm._keys(r["keys"], r["many"]) for r in rows]), keys)
     assert np.array_equal(np.concatenate([lm._wide(r["values"], r["many"]) for r in rows]), counts)
     assert np.array_equal(np.frombuffer(b"".join(r["fit"] for r in rows), "<f8"), sums[0][counts > 0])
+
+
+def test_lm_run_keys_are_small():
+    """Keys of runs are read back as they were, and take less than half of a hash's bytes."""
+    rng, bits = np.random.default_rng(6), np.uint64(22)
+    context, last = (np.minimum(rng.zipf(1.3, 300_000), 2_000_000).astype(np.uint64) for _ in range(2))
+    keys = np.unique(context << bits | last)
+    for some in (keys, keys[:1], keys[:0]):
+        assert np.array_equal(lm._run_keys(*lm._run_gaps(some, bits), len(some), bits), some)
+    assert sum(map(len, lm._run_gaps(keys, bits))) < 3 * len(keys)
+
+
+class _OneTask:
+    get = staticmethod(lambda: _OneTask)
+    partitionId = staticmethod(lambda: 0)
+
+
+@pytest.mark.parametrize("min_count", [1, 3])
+def test_lm_saves_what_later_rounds_need(monkeypatch, min_count):
+    """Rounds that start from a saved row ask and score as those that start from the words, and the row is smaller."""
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "TaskContext", _OneTask)
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcdefgh") if rnd.random() < 0.5 else f"w{rnd.randint(0, 5000)}" for _ in range(rnd.randint(0, 80))).encode() for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["id", "data"])
+    rows = [x.to_pylist()[0] for x in lm._pack(20_000)(iter([batch]))]
+    tree, answers, penalty, saved = lm.SuffixTree(4, min_count, 4.0, 7, 2, 4), {r["block"]: {} for r in rows}, 0.0, []
+    for rounds in range(6):
+        asked = [x for r in rows for x in tree(dict(r), answers[r["block"]], rounds)]
+        if saved:
+            assert [x for r in saved for x in tree(dict(r), answers[r["block"]], rounds)] == asked
+        sent = pa.RecordBatch.from_pylist(asked, schema=lm.ASKED).to_pandas()
+        got = pd.concat([lm._sum(tree, penalty)(g) for _, g in sent.groupby(["kind", "bucket"])])
+        for a in got.to_dict("records"):
+            answers[a["block"]].setdefault(a["kind"], {})[a["bucket"]] = a
+        if not rounds:
+            tree.n, tree.v, tree.bits = int(got.n.sum()), int(got.v.sum()), np.uint64(int(got.numbers.max()).bit_length())
+            penalty = float(np.log(tree.n) / 2)
+        if rounds == lm.SAVED:
+            saved = [tree(dict(r), answers[r["block"]], rounds + 1, save=True) for r in rows]
+    for r, s in zip(rows, saved, strict=True):
+        assert s["many"] < len(r["tokens"]) / 4
+        want, have = tree(dict(r), answers[r["block"]], 6), tree(dict(s), answers[r["block"]], 6)
+        assert all(np.allclose(want[k], have[k], rtol=1e-12) for k in want)
+
+
+def test_lm_drops_what_it_no_longer_reads(spark):
+    from lexigrid.llm.shared import database, written_buckets
+
+    def names():
+        return {t.name for d in spark.catalog.listDatabases() if d.name.startswith("lexigrid_lm_") and d.name not in before for t in spark.catalog.listTables(d.name)}
+
+    before = {d.name for d in spark.catalog.listDatabases()}
+    docs = spark.createDataFrame([(d, "a b c d e " * 20) for d in range(40)], "doc_id long, text string")
+    scores(docs)
+    assert "state" in names() and not names() & {"blocks", "round0", "round1"}
+    home = database(spark, "lm")
+    table = written_buckets(docs, "t", "doc_id", 2, home)
+    path = table.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    from pathlib import Path
+
+    assert Path(path).exists()
+    spark.sql(f"DROP TABLE {home}.t")
+    assert not Path(path).exists()
