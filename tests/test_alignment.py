@@ -132,6 +132,27 @@ def test_nearest_template_query(spark, sf):
         assert got[u][0] == t and math.isclose(got[u][1], d, rel_tol=1e-9)
 
 
+def test_nearest_of_values_that_all_series_have():
+    """Ranges say nothing here; bounds in whole numbers part nearly all pairs, whatever the values' size, and the nearest is the first of equals."""
+    rnd, warped = np.random.default_rng(3), []
+    n, m = rnd.integers(1, 33, 12), rnd.integers(20, 33, 400)
+    x, y = (np.where(np.arange(32) < k[:, None], rnd.exponential(30, (len(k), 32)).round(2), 0) for k in (n, m))
+    x[3, : n[3]], x[5], n[5] = 4.0, y[7], m[7]
+    y[200], m[200] = y[7], m[7]
+    count = A.warped_pairs
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(A, "warped_pairs", lambda a, *rest: (warped.append(len(a)), count(a, *rest))[1])
+        for move, scale in ((0.0, 1.0), (1e12, 1e-3), (-5e3, 1e6)):
+            p, q = (np.where(np.arange(32) < k[:, None], s * scale + move, 0) for s, k in ((x, n), (y, m)))
+            best, which = A.least_warped(p, n, q, m)
+            for i in range(12):
+                d = count(np.repeat(p[i : i + 1], 400, 0), np.repeat(n[i], 400), q, m)
+                assert (best[i], which[i]) == (d.min(), d.argmin())
+            assert move == 1e12 or sum(warped) < 0.5 * 12 * 400
+            warped.clear()
+    assert which[5] == 7
+
+
 def test_warped_pairs_are_the_same_to_the_last_bit():
     rnd = np.random.default_rng(9)
     n, m = rnd.integers(1, 33, 200), rnd.integers(1, 33, 200)
